@@ -26,16 +26,14 @@ GHOST = "_ghost"
 MINUTE = 60_000_000
 
 
-def time_slice(ts: str | Column, micros: int = MINUTE) -> Column:
-    """Slice number of a timestamp."""
-    column = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(column) / F.lit(micros))
+def time_slice(ts: str, micros: int = MINUTE) -> str:
+    """SQL expression for the slice number of a timestamp column."""
+    return f"floor(unix_micros({ts}) / {micros})"
 
 
-def id_slice(column: str | Column, width: int = 4096) -> Column:
-    """Slice number of a whole-number position."""
-    column = F.col(column) if isinstance(column, str) else column
-    return F.floor(column / F.lit(width))
+def id_slice(column: str, width: int = 4096) -> str:
+    """SQL expression for the slice number of a whole-number position."""
+    return f"floor({column} / {width})"
 
 
 def _agg(kind: str, value: Column, order: Column, reverse: bool) -> Column:
@@ -83,7 +81,10 @@ class Timeline:
 
     keys: Sequence[str]
     order: Sequence[str]
-    slice: Column
+    slice: str
+
+    def sliced(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(SLICE, F.expr(self.slice))
 
     def window(self, reverse: bool = False):
         order = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
@@ -95,7 +96,7 @@ class Timeline:
         """Add prefix aggregates; ``name=(kind, column)`` with kind sum, count, max, min or
         last (latest value that is not null). ``reverse`` runs from the end, ``strict``
         leaves out the row itself."""
-        rows = df.withColumn(SLICE, self.slice)
+        rows = self.sliced(df)
         order = F.struct(*self.order)
         parts = rows.groupBy(*self.keys, SLICE).agg(
             *[_agg(kind, value, order, reverse).alias(f"_p_{n}") for n, (kind, value) in specs.items()]
@@ -128,7 +129,7 @@ class Timeline:
         """Rows with their slice, plus border rows of the neighbours marked in ``_ghost``.
         Evaluate frames of at most ``before``/``after`` rows over ``window()``, then keep
         ``~_ghost``."""
-        rows = df.withColumn(SLICE, self.slice)
+        rows = self.sliced(df)
         out = rows.withColumn(GHOST, F.lit(False))
         if after:
             out = out.unionByName(self._border(rows, df.columns, after, ahead=True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("runs",)
+FAMILIES = ("runs", "memory")
 
 
 def load_all():
