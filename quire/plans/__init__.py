@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("runs", "memory")
+FAMILIES = ("sources", "structure", "memory", "runs")
 
 
 def load_all():
