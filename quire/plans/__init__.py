@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("sources", "structure", "memory", "runs")
+FAMILIES = ("sources", "structure", "facts", "memory", "runs")
 
 
 def load_all():
