@@ -173,3 +173,9 @@ def best_row(df: DataFrame, keys: Sequence[str], order: Column, largest: bool =
     pick = F.max_by if largest else F.min_by
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
+
+
+def each(df: DataFrame, array: Column, name: str, keep: Sequence[str | Column] = ()) -> DataFrame:
+    """One row per element. The outer form with a null filter stops Spark from pushing a
+    ``size(array) > 0`` filter below, which would compute the array twice."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

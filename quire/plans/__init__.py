@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("sources", "structure", "facts", "memory", "runs")
+FAMILIES = ("sources", "structure", "facts", "retrieval", "memory", "runs")
 
 
 def load_all():
