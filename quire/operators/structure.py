@@ -329,7 +329,7 @@ def section_ids(headings: DataFrame) -> DataFrame:
     return clash.withColumn(
         "section_id",
         F.when(F.col("_same") == 1, F.col("section_id")).otherwise(
-            F.concat_ws("-", "base_id", (F.col("_nth") + F.col("_same")).cast("string"))
+            F.concat_ws("-", "base_id", (F.col("_nth") + F.col("_same") - 1).cast("string"))
         ),
     ).drop("_nth", "_same")
 

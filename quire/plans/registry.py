@@ -21,6 +21,10 @@ class Entry:
 
 REGISTRY: dict[str, Entry] = {}
 
+# Text tables whose work is per row. In fewer files than there are cores they would keep only
+# a few cores busy; a table of many files is left as it lies.
+SPREAD = {"documents": "doc_id", "pages": "page_id"}
+
 
 class Tables:
     """The given tables of one scale folder; ``ts`` columns come as UTC instants."""
@@ -33,6 +37,9 @@ class Tables:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name == "events":
             df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in SPREAD and len(df.inputFiles()) < cores:
+            df = df.repartition(cores, SPREAD[name])
         return df
 
 

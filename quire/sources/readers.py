@@ -179,13 +179,13 @@ def markdown_grid(df: DataFrame, text: str) -> DataFrame:
         .withColumn(
             "issue",
             F.when(F.size("_lines") < 2, "needs a header and a separator")
-            .when(~is_separator(F.element_at("_lines", 2)), "separator row is not valid")
+            .when(~is_separator(F.try_element_at("_lines", F.lit(2))), "separator row is not valid")
             .when(F.size("_lines") < 3, "no data rows"),
         )
-        .withColumn("columns", F.when(F.col("issue").isNull(), split_row(F.element_at("_lines", 1))))
+        .withColumn("columns", F.when(F.col("issue").isNull(), split_row(F.try_element_at("_lines", F.lit(1)))))
         .withColumn(
             "alignments",
-            F.when(F.col("issue").isNull(), F.transform(split_row(F.element_at("_lines", 2)), alignment)),
+            F.when(F.col("issue").isNull(), F.transform(split_row(F.try_element_at("_lines", F.lit(2))), alignment)),
         )
         .withColumn("_raw", F.when(F.col("issue").isNull(), raw))
         .withColumn("rows", F.transform("_raw", lambda r: pad_row(r, width)))
