@@ -67,7 +67,8 @@ def test_composition_table(spark):
 
 
 def test_proposals_groups_and_rules(spark, table, rows):
-    led = cut(facts.ledger(facts.block_facts(blocks(spark, "2021年收入10亿元，2022年收入12亿元，2023年收入15亿元，2024年收入19亿元")), facts.table_facts(table)))
+    prose = cut(facts.block_facts(blocks(spark, "2021年收入10亿元，2022年收入12亿元，2023年收入15亿元，2024年收入19亿元")))
+    led = cut(facts.ledger(prose, cut(facts.table_facts(table))))
     assert facts.ledger_issues(led).count() == 0
     plans = spark.createDataFrame([("d", "p1", "b1", None), ("d", "p2", "t1", None)], "doc_id string, plan_id string, id string, chart_intent string")
     one = facts.block_proposals(plans, led).first()
