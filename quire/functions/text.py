@@ -16,7 +16,7 @@ def squeeze(text: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return unless(F.trim(text), F.lit(""))
 
 
 def tokens(text: Column, pattern: str = WORD) -> Column:
@@ -57,3 +57,9 @@ def head_tail(text: Column, limit: Column | int) -> Column:
 def clip(text: Column, limit: int, mark: str = "...") -> Column:
     """First ``limit`` characters, marked if cut."""
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(mark))).otherwise(text)
+
+
+def unless(value: Column | str, other: Column) -> Column:
+    """The value, or null where it equals ``other``."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(value != other, value)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions.rules import all_issues, missing, repeated, rule
 from quire.functions.scan import top_rows
 from quire.functions.spans import let, outside, spans
-from quire.functions.text import squeeze
+from quire.functions.text import squeeze, unless
 
 DECIMAL = "decimal(38,10)"
 
@@ -159,7 +159,7 @@ def label_before(text: Column, start: Column) -> Column:
     part = F.regexp_replace(part, "^[ ：:、，,/]+|[ ：:、，,/]+$", "")
     words = F.regexp_extract_all(part, F.lit(r"[一-鿿A-Za-z][一-鿿A-Za-z0-9+\-]{0,24}"), F.lit(0))
     last = F.try_element_at(words, F.lit(-1))
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(last, LABEL_TAIL, "")), F.lit("")), last)
+    return F.coalesce(unless(F.trim(F.regexp_replace(last, LABEL_TAIL, "")), F.lit("")), last)
 
 
 def fact_id(kind: Column, source: Column, locator: Column) -> Column:
@@ -205,7 +205,7 @@ def classify(
     """Add the struct ``name``: metric, measure, unit family, scale, currency and scenario of a
     number. The label beats the context; the context counts only when it names exactly one
     metric. Built in steps so that no pattern is matched twice."""
-    text = F.concat_ws(" ", F.nullif(F.col("_l"), F.lit("")), F.nullif(F.col("_c"), F.lit("")))
+    text = F.concat_ws(" ", unless(F.col("_l"), F.lit("")), unless(F.col("_c"), F.lit("")))
     named = F.when(F.size("_own") > 0, F.get("_own", F.lit(0))).when(F.size("_around") == 1, F.get("_around", F.lit(0))).otherwise("unknown")
     family = F.col("_unit.family")
     measure = (
@@ -346,15 +346,15 @@ def table_facts(tables: DataFrame, context: str | None = None, lexicon: Lexicon
         cells.where(F.col("column_index") > 0)
         .withColumn("v", cell_number(F.col("cell"), lexicon))
         .where(F.col("v").isNotNull())
-        .withColumn("label", F.nullif(clean(F.col("label")), F.lit("")))
+        .withColumn("label", unless(clean(F.col("label")), F.lit("")))
         .withColumn("periods", period_labels(F.col("header")))
     )
     period = F.when(F.size("periods") == 1, F.get("periods", F.lit(0))).when(
         F.size("periods") > 1, F.trim(F.regexp_replace("header", "[（(][^）)]*[）)]", ""))
     )
     unit = F.coalesce(
-        F.nullif("v.unit", F.lit("")), F.nullif(header_unit(F.col("header"), lexicon.units), F.lit("")),
-        F.nullif(header_unit(first, lexicon.units), F.lit("")), F.lit(""),
+        unless("v.unit", F.lit("")), unless(header_unit(F.col("header"), lexicon.units), F.lit("")),
+        unless(header_unit(first, lexicon.units), F.lit("")), F.lit(""),
     )
     rows = rows.withColumns({"period": period, "unit": unit, "peer": first.rlike("公司|企业|可比|证券") & F.col("label").isNotNull()})
     said = F.when(F.coalesce("period", F.lit("")) != "", F.col("label")).otherwise(F.col("header"))
@@ -539,7 +539,7 @@ def table_candidates(tables: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFra
         .groupBy(*key, "column_index", "header")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.collect_set(F.nullif("v.unit", F.lit(""))).alias("units"),
+            F.collect_set(unless("v.unit", F.lit(""))).alias("units"),
             F.count_if(~total).alias("m"),
             F.count_if(~total & (F.col("v.unit") == "%")).alias("pct"),
             F.count_if(~total & (F.col("v.unit") == "")).alias("bare"),
@@ -706,7 +706,7 @@ def table_series(facts: DataFrame, signature: Sequence[str] = SIGNATURE, keep: i
     key = ["doc_id", "source_id"]
     timed = facts.where((F.col("source_kind") == "table") & (F.coalesce("period", F.lit("")) != ""))
     columns = timed.groupBy(*key, "column_index").agg(
-        F.min(F.nullif("unit", F.lit(""))).alias("_u"), F.max(F.nullif("unit", F.lit(""))).alias("_v")
+        F.min(unless("unit", F.lit(""))).alias("_u"), F.max(unless("unit", F.lit(""))).alias("_v")
     ).where(F.col("_u").eqNullSafe(F.col("_v")))
     groups = columns.groupBy(*key, F.coalesce("_u", F.lit("")).alias("group_unit")).agg(
         F.count(F.lit(1)).alias("width"), F.min("column_index").alias("_first")
@@ -772,7 +772,7 @@ def table_proposals(plans: DataFrame, tables: DataFrame, facts: DataFrame) -> Da
         F.lit(1).alias("series_no"), F.col("row_index").alias("point"), F.col("row_label").alias("category"), "fact_id", "unit",
     )
     points = shares.unionByName(trend).unionByName(compared)
-    mixed = points.groupBy("doc_id", "plan_id").agg(F.min(F.nullif("unit", F.lit(""))).alias("a"), F.max(F.nullif("unit", F.lit(""))).alias("b")).where(
+    mixed = points.groupBy("doc_id", "plan_id").agg(F.min(unless("unit", F.lit(""))).alias("a"), F.max(unless("unit", F.lit(""))).alias("b")).where(
         ~F.col("a").eqNullSafe(F.col("b"))
     )
     return points.join(mixed, ["doc_id", "plan_id"], "left_anti")
@@ -827,7 +827,7 @@ def metric_groups(points: DataFrame, facts: DataFrame) -> DataFrame:
     edge = forecast_boundary(joined.where(F.col("intent") == "trend"), key, "series_no", "point", F.col("scenario"))
     flat = joined.groupBy(*key, "intent").agg(
         F.min("scenario").alias("c1"), F.max("scenario").alias("c2"), F.min("measure_kind").alias("measure_kind"),
-        F.count_distinct(F.nullif("period", F.lit(""))).alias("periods"),
+        F.count_distinct(unless("period", F.lit(""))).alias("periods"),
         F.sort_array(F.collect_list(F.struct("series_no", "point", "fact_id"))).alias("_f"), F.min("metric_key").alias("metric_key"),
         F.min("unit").alias("unit"), F.min("unit_family").alias("unit_family"), F.min("unit_scale").alias("unit_scale"),
         F.min("currency").alias("currency"), F.min("scope").alias("scope"),
@@ -880,7 +880,7 @@ def chart_issues(points: DataFrame, facts: DataFrame, allowed: DataFrame, charts
     sizes = points.groupBy(*key, "series_no").agg(F.count(F.lit(1)).alias("n"))
     shape = sizes.groupBy(*key).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("lines"))
     sums = known.groupBy(*key).agg(
-        F.count_distinct(F.nullif("unit", F.lit(""))).alias("units"), F.max(F.nullif("unit", F.lit(""))).alias("fact_unit"),
+        F.count_distinct(unless("unit", F.lit(""))).alias("units"), F.max(unless("unit", F.lit(""))).alias("fact_unit"),
         F.min("normalized_value").alias("low"), F.sum("normalized_value").alias("total"),
     )
     full = charts.join(shape, key, "left").join(sums, key, "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.scan import GHOST, SLICE, Timeline, best_row, top_rows
-from quire.functions.text import any_of, blank_to_null, clip, jaccard, squeeze
+from quire.functions.text import any_of, blank_to_null, clip, jaccard, squeeze, unless
 
 DAY = 86_400_000_000
 
@@ -223,7 +223,7 @@ def merge_experience(existing: DataFrame, delta: DataFrame, keys: Sequence[str])
 
     def union(c: str) -> Column:
         both = F.concat(F.coalesce(F.col(f"o.{c}"), none), F.coalesce(F.col(f"n.{c}"), none))
-        return F.array_distinct(F.filter(F.transform(both, F.trim), lambda x: x != ""))
+        return F.array_distinct(F.filter(F.transform(both, lambda x: F.trim(x)), lambda x: x != ""))
 
     own = F.greatest(F.lit(1), F.size(F.array_distinct(F.coalesce(F.col("n.chain_ids"), none))))
     support = F.when(F.col("n.chain_ids").isNull(), F.col("o.support")).otherwise(
@@ -605,5 +605,5 @@ def round_tokens(df: DataFrame, keys: Sequence[str], line_chars: Column, raw_cha
         *keys,
         "chars",
         F.floor(F.col("chars") / 3).alias("tokens"),
-        F.round(F.col("_lines") / F.nullif(F.col("raw"), F.lit(0)), 4).alias("ratio"),
+        F.round(F.col("_lines") / unless(F.col("raw"), F.lit(0)), 4).alias("ratio"),
     )

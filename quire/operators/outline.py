@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quire.functions.rules import all_issues, missing, repeated, rule
 from quire.functions.scan import Timeline, each, id_slice, top_rows
 from quire.functions.spans import let
+from quire.functions.text import unless
 
 # Patterns of citations, list markers, numbers and lead sentences.
 CITE = r"\[\^cite_id:[^\]]+\]"
@@ -148,9 +149,9 @@ def greedy_cover(missing_numbers: DataFrame, candidates: DataFrame) -> DataFrame
 
 def owned_labels(slides: DataFrame, sections: DataFrame, figures: DataFrame, refs: DataFrame) -> DataFrame:
     """Section label and figure-page title from the source; ``changed`` counts the repairs."""
-    titles = sections.select("doc_id", F.col("section_id").alias("section_ref"), F.nullif(F.trim("title"), F.lit("")).alias("_section"))
+    titles = sections.select("doc_id", F.col("section_id").alias("section_ref"), unless(F.trim("title"), F.lit("")).alias("_section"))
     one = refs.where(F.col("kind") == "figure").groupBy("doc_id", "slide_id").agg(F.min("id").alias("figure_id"))
-    cap = figures.select("doc_id", "figure_id", F.nullif(F.trim("caption"), F.lit("")).alias("_caption"), F.col("section_id").alias("_figure_section"))
+    cap = figures.select("doc_id", "figure_id", unless(F.trim("caption"), F.lit("")).alias("_caption"), F.col("section_id").alias("_figure_section"))
     rows = slides.join(one, ["doc_id", "slide_id"], "left").join(cap, ["doc_id", "figure_id"], "left")
     page = F.col("slide_type") == "figure_page"
     rows = rows.withColumn("section_ref", F.when(page, F.coalesce("_figure_section", "section_ref")).otherwise(F.col("section_ref")))
@@ -170,7 +171,7 @@ def takeaway(text: Column, most: int = 42) -> Column:
         return F.length(F.regexp_replace(c, r"\s+", ""))
 
     def build(s: Column) -> Column:
-        parts = F.filter(F.transform(F.split(s, "[，,]"), F.trim), lambda x: x != "")
+        parts = F.filter(F.transform(F.split(s, "[，,]"), lambda x: F.trim(x)), lambda x: x != "")
         kept = F.when((F.size(parts) > 1) & (size(F.get(parts, F.lit(0))) <= 8), F.slice(parts, 2, 1000)).otherwise(parts)
         start = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
 
@@ -440,9 +441,9 @@ def speaker_issues(slides: DataFrame, scripts: DataFrame, refs: DataFrame, scrip
 
 def filled_messages(slides: DataFrame) -> DataFrame:
     """Blank messages take the first bullet that says something, else the title."""
-    said = F.filter(F.transform("bullet_points", F.trim), lambda x: x != "")
-    own = F.nullif(F.trim("key_message"), F.lit(""))
-    return slides.withColumn("key_message", F.coalesce(own, F.get(said, F.lit(0)), F.nullif(F.trim("title"), F.lit("")), F.col("key_message")))
+    said = F.filter(F.transform("bullet_points", lambda x: F.trim(x)), lambda x: x != "")
+    own = unless(F.trim("key_message"), F.lit(""))
+    return slides.withColumn("key_message", F.coalesce(own, F.get(said, F.lit(0)), unless(F.trim("title"), F.lit("")), F.col("key_message")))
 
 
 def one_terminal(df: DataFrame, keys: Sequence[str], order: Sequence[str], terminal: Column, closing: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.spans import let
+from quire.functions.text import unless
 
 # Colours and fonts that never count as a finding, slide size, contrast floor.
 SAFE_COLORS = ("#ffffff", "#fff", "white", "transparent", "inherit", "initial", "currentcolor", "#000000", "#000", "black")
@@ -205,7 +206,7 @@ def layout_stats(pages: DataFrame, id: str, html: str) -> DataFrame:
         F.when(F.col("chars") > 600, "less text"), F.when(F.col("images") > 2, "fewer or smaller images"),
         F.when(F.col("font_max") > 24, "smaller largest font"), F.when(F.col("has_table"), "simpler table"), F.when(F.col("has_code"), "smaller code"),
     )
-    return rows.withColumn("advice", F.coalesce(F.nullif(advice, F.lit("")), F.lit("check absolute positions")))
+    return rows.withColumn("advice", F.coalesce(unless(advice, F.lit("")), F.lit("check absolute positions")))
 
 
 def luminance(color: Column) -> Column:
@@ -265,7 +266,7 @@ def palette_issues(pages: DataFrame, id: str, html: str, palette: Mapping[str, s
 def font_issues(pages: DataFrame, id: str, html: str, allowed: Sequence[str]) -> DataFrame:
     """Inline fonts that name none of the allowed ones."""
     found = F.regexp_extract_all(html, F.lit(r"(?i)font-family\s*:\s*([^;\"']+)"), F.lit(1))
-    rows = pages.select(id, F.explode(F.array_distinct(F.transform(found, F.trim))).alias("font"))
+    rows = pages.select(id, F.explode(F.array_distinct(F.transform(found, lambda x: F.trim(x)))).alias("font"))
     ok = reduce(lambda a, b: a | b, [F.lower("font").contains(a.lower()) for a in allowed], F.lit(False))
     return rows.where(~ok)
 
@@ -313,7 +314,7 @@ def normal_url(url: Column) -> Column:
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
-    path = F.coalesce(F.nullif(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), F.lit("")), F.lit("/"))
+    path = F.coalesce(unless(F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), F.lit("")), F.lit("/"))
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     pairs = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda x: x != "")), "&")
     return F.concat(scheme, F.lit("://"), host, path, F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(""))
@@ -330,9 +331,9 @@ def host_allowed(host: Column, allowed: Sequence[str]) -> Column:
 
 def page_briefs(docs: DataFrame, text: str, separator: str = r"\n\s*---+\s*\n") -> DataFrame:
     """Pages of a manuscript with title, counts, purpose and content shape."""
-    parts = F.filter(F.transform(F.split(text, separator), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != "")
     rows = docs.select("doc_id", parts.alias("_p")).select("doc_id", F.size("_p").alias("pages"), F.posexplode("_p").alias("i", "segment"))
-    lines = F.transform(F.split("segment", "\r?\n"), F.trim)
+    lines = F.transform(F.split("segment", "\r?\n"), lambda x: F.trim(x))
     heading = F.filter(lines, lambda x: x.startswith("#") | ((x != "") & ~x.rlike(r"^[-*+]|^\d+[.)]\s")))
     title = F.coalesce(F.regexp_replace(F.get(heading, F.lit(0)), r"^#+\s*", ""), F.concat(F.lit("Slide "), (F.col("i") + 1).cast("string")))
     body = F.trim(F.array_join(F.filter(F.split("segment", "\r?\n"), lambda x: ~F.trim(x).startswith("#")), "\n"))

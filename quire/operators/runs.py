@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.scan import GHOST, Timeline, time_slice
+from quire.functions.text import unless
 
 # Tool classes, look-ahead length and comparison tolerance.
 CHANGE_TOOLS = (
@@ -114,10 +115,10 @@ def run_metrics(calls: DataFrame, is_modify: Column | None = None, tools: ToolCl
         F.count_if("modify").alias("modify_tasks"),
         F.count(F.lit(1)).alias("tasks"),
         F.sum("edits").alias("edits"),
-        (F.count_if(F.col("modify") & F.col("safe_finalize")) / F.nullif(F.count_if("modify"), F.lit(0))).alias(
+        (F.count_if(F.col("modify") & F.col("safe_finalize")) / unless(F.count_if("modify"), F.lit(0))).alias(
             "closed_loop"
         ),
-        (F.sum("verified") / F.nullif(F.sum("edits"), F.lit(0))).alias("strict_verify"),
+        (F.sum("verified") / unless(F.sum("edits"), F.lit(0))).alias("strict_verify"),
         F.avg(F.when(F.col("modify"), F.col("first_edit_s"))).alias("first_edit_s"),
         (F.sum("core_ms") / 1000).alias("core_s"),
     )
@@ -272,9 +273,9 @@ def normal_calls(payload: DataFrame, column: str = "payload") -> DataFrame:
     given = reduce(lambda a, b: a | b, [get(n).isNotNull() for n in millis])
     flag = F.lower(F.trim(F.coalesce(get("is_error"), get("error"), F.lit("false"))))
     seconds = F.coalesce(
-        F.nullif(get("duration_s").try_cast("double"), F.lit(0.0)), get("elapsed_s").try_cast("double")
+        unless(get("duration_s").try_cast("double"), F.lit(0.0)), get("elapsed_s").try_cast("double")
     )
-    named = [F.nullif(F.trim(get(n)), F.lit("")) for n in ("tool_name", "name", "tool")]
+    named = [unless(F.trim(get(n)), F.lit("")) for n in ("tool_name", "name", "tool")]
     first_given = F.coalesce(*[get(n) for n in millis]).try_cast("double")
     return payload.select(
         *[c for c in payload.columns if c != column],
@@ -343,7 +344,7 @@ def overall_row(probes: DataFrame, dimension: DataFrame, dimensions: Sequence[st
     """One row: strict rate, mean lift, and the mean lift of each dimension."""
     left = probes.agg(
         F.count(F.lit(1)).alias("paired_probe_count"),
-        (F.count_if("strict_positive") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("strict_positive_persona_rate"),
+        (F.count_if("strict_positive") / unless(F.count(F.lit(1)), F.lit(0))).alias("strict_positive_persona_rate"),
         F.avg("overall_lift").alias("mean_overall_lift"),
     )
     right = dimension.agg(
@@ -372,7 +373,7 @@ def reconcile(stored: DataFrame, rebuilt: DataFrame, keys: Sequence[str], values
 def weighted_table(scores: DataFrame, keys: Sequence[str], value: str, weight: str, column: str) -> DataFrame:
     """Weighted mean per (keys, column) and whether it is the best of its column. A missing
     or non-positive weight counts as one."""
-    w = F.greatest(F.lit(1), F.coalesce(F.nullif(F.col(weight), F.lit(0)), F.lit(1)).cast("bigint"))
+    w = F.greatest(F.lit(1), F.coalesce(unless(F.col(weight), F.lit(0)), F.lit(1)).cast("bigint"))
     means = (
         scores.where(F.col(value).isNotNull())
         .groupBy(*keys, column)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.rules import all_issues, missing, repeated, rule
 from quire.functions.scan import GHOST, SLICE, Timeline, id_slice, top_rows
-from quire.functions.text import squeeze
+from quire.functions.text import squeeze, unless
 from quire.sources.readers import alignment, is_separator, pad_row, split_row
 
 # Line patterns of the Markdown subset.
@@ -240,7 +240,7 @@ def parse_blocks(docs: DataFrame, text: str = "text", plain: Column | None = Non
         F.when(F.col("type") == "heading", F.col("title"))
         .when(F.col("type") == "code", F.array_join(inner, "\n"))
         .when(F.col("type") == "blockquote", F.trim(F.array_join(F.transform("lines", lambda x: clean_inline(F.regexp_extract(x, QUOTE, 1))), "\n")))
-        .when(F.col("type") == "paragraph", F.coalesce(F.nullif(F.trim(joined), F.lit("")), squeeze(raw)))
+        .when(F.col("type") == "paragraph", F.coalesce(unless(F.trim(joined), F.lit("")), squeeze(raw)))
     )
     table = F.col("type") == "table"
     grid = F.transform(F.filter(F.slice("lines", 3, 1_000_000_000), lambda x: ~_blank(x)), split_row)
@@ -269,7 +269,7 @@ def parse_blocks(docs: DataFrame, text: str = "text", plain: Column | None = Non
 
 def citations(text: Column) -> Column:
     """Distinct citation ids in order."""
-    ids = F.transform(F.regexp_extract_all(text, F.lit(CITE), F.lit(1)), F.trim)
+    ids = F.transform(F.regexp_extract_all(text, F.lit(CITE), F.lit(1)), lambda x: F.trim(x))
     return F.array_distinct(F.filter(ids, lambda x: x != ""))
 
 
@@ -1124,7 +1124,7 @@ def bind_assets(pages: DataFrame, scored: DataFrame) -> DataFrame:
 def extractive_summary(text: Column, cues: Sequence[str], limit: int = 8000) -> Column:
     """Headings, cue lines (else the first 30 longer lines), image and table lines of a text,
     each distinct and capped, as one clipped string. Folded inside the row."""
-    lines = F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     heads = F.filter(lines, lambda x: x.startswith("#"))
     body = F.filter(lines, lambda x: ~x.startswith("#"))
     images = F.filter(body, lambda x: x.contains("![") & x.contains("]("))

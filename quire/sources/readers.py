@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quire.schemas import BUNDLE, CONTENT_ITEM
+from quire.functions.text import unless
 
 BUNDLE_PARTS = ("pages", "blocks", "reading_order", "sections", "tables", "figures")
 
@@ -237,7 +238,7 @@ def discover_logs(spark: SparkSession, root: str, glob: str = "*.json") -> DataF
     )
     return files.select(
         "path",
-        F.nullif(F.regexp_extract("path", r"([^/]+)/\.memory/", 1), F.lit("")).alias("run"),
+        unless(F.regexp_extract("path", r"([^/]+)/\.memory/", 1), F.lit("")).alias("run"),
         F.regexp_extract("path", r"/task_(\d+)/", 1).try_cast("int").alias("task_idx"),
         F.element_at(F.split("path", "/"), -1).alias("file"),
         F.col("value").alias("payload"),
