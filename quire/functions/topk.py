@@ -134,7 +134,9 @@ def _sparse_part(weighted: DataFrame, id: str, terms: DataFrame, k: int, cap: in
                 good = total[s] > 0
                 if good.any():
                     keep.add(q, total[s][good], ids[key[s][good] % len(ids)])
-        yield keep.frame(names)
+        out = keep.frame(names)
+        if len(out):
+            yield out
 
     return rows.mapInPandas(run, _schema(terms, weighted, id))
 
@@ -162,7 +164,9 @@ def _dense_part(vectors: DataFrame, id: str, vector: str, queries: DataFrame, k:
             ids = frame["id"].to_numpy()
             for q in range(len(names)):
                 keep.add(q, score[q], ids)
-        yield keep.frame(names)
+        out = keep.frame(names)
+        if len(out):
+            yield out
 
     rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("vector"))
     return rows.mapInPandas(run, _schema(queries, vectors, id))

@@ -67,7 +67,8 @@ def collected_batches(df: DataFrame, line: Timeline, tokens: Column, tokens_cap:
                     held, at, nxt = key, 0, [0, 1, 2]
                 nxt = [n + jump if n == at else n for n in nxt]
                 at += 1
-            yield pd.DataFrame(out, columns=[*by, "f0", "f1", "f2"])
+            if out:
+                yield pd.DataFrame(out, columns=[*by, "f0", "f1", "f2"])
         if held is not None:
             yield pd.DataFrame([(*held, *(n - at for n in nxt))], columns=[*by, "f0", "f1", "f2"])
 
@@ -172,7 +173,8 @@ def cooled_down(df: DataFrame, key: str, ts: str, id: str, seconds: int = 3600)
                 keep.append(passed)
                 if passed:
                     held, until = k, s + seconds
-            yield frame[keep][[key, id]]
+            if any(keep):
+                yield frame[keep][[key, id]]
 
     return rows.mapInPandas(run, f"`{key}` {types[key]}, `{id}` {types[id]}")
 
@@ -229,7 +231,8 @@ def collect_rounds(stream: DataFrame, rounds: int = ROUNDS, tokens: int = TOKENS
             state.update((json.dumps(held),))
             if held["p"]:
                 state.setTimeoutDuration(idle_s * 1000)
-        yield pd.DataFrame(out, columns=["user_id", "round_ids", "tokens", "reason"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "round_ids", "tokens", "reason"])
 
     return stream.groupBy("user_id").applyInPandasWithState(
         step, FLUSHED, "held string", "append", GroupStateTimeout.ProcessingTimeTimeout
@@ -252,7 +255,8 @@ def close_rounds(stream: DataFrame) -> DataFrame:
                 out.append((key[0], held["n"], held["calls"], held["chars"] // 3))
                 held["open"] = False
         state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["user_id", "round_id", "calls", "tokens"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "round_id", "calls", "tokens"])
 
     return stream.groupBy("user_id").applyInPandasWithState(
         step, "user_id string, round_id int, calls int, tokens int", "held string", "append", GroupStateTimeout.NoTimeout
@@ -272,7 +276,8 @@ def live_cooldown(stream: DataFrame, seconds: int = 3600) -> DataFrame:
                 out.append((key[0], ts))
                 until = s + seconds
         state.update((until,))
-        yield pd.DataFrame(out, columns=["url", "ts"])
+        if out:
+            yield pd.DataFrame(out, columns=["url", "ts"])
 
     return stream.groupBy("url").applyInPandasWithState(
         step, "url string, ts timestamp", "until long", "append", GroupStateTimeout.NoTimeout
