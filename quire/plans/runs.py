@@ -83,7 +83,7 @@ run_rows as (
     "h01_run_metrics",
     f"""with {CALLS_SQL}, {VERIFIED_SQL}, {TASK_SQL}, {RUN_SQL}
     select run_id, modify_tasks, tasks, edits, round(closed_loop, 6) as closed_loop,
-      round(strict_verify, 6) as strict_verify, round(first_edit_s, 6) as first_edit_s, round(core_s, 6) as core_s
+      round(strict_verify, 6) as strict_verify, round(first_edit_s, 9) as first_edit_s, round(core_s, 6) as core_s
     from run_rows""",
 )
 def h01(t: Tables) -> DataFrame:
@@ -92,7 +92,7 @@ def h01(t: Tables) -> DataFrame:
         {
             "closed_loop": F.round("closed_loop", 6),
             "strict_verify": F.round("strict_verify", 6),
-            "first_edit_s": F.round("first_edit_s", 6),
+            "first_edit_s": F.round("first_edit_s", 9),
             "core_s": F.round("core_s", 6),
         }
     )
@@ -204,8 +204,8 @@ def h06(t: Tables) -> DataFrame:
       round(case when metric = 'core_ratio' then
           case when min(a) filter (where verdict <> 'na') <= 1e-12 then 0.0
             else exp(avg(ln(nullif(greatest(a, 0), 0))) filter (where verdict <> 'na')) end
-        else avg(a) filter (where verdict <> 'na') end, 6) as a_value,
-      round(case when metric = 'core_ratio' then 1.0 else avg(b) filter (where verdict <> 'na') end, 6) as b_value
+        else avg(a) filter (where verdict <> 'na') end, 9) as a_value,
+      round(case when metric = 'core_ratio' then 1.0 else avg(b) filter (where verdict <> 'na') end, 9) as b_value
     from judged group by grouping sets ((model, metric), (metric))""",
 )
 def h07(t: Tables) -> DataFrame:
@@ -218,7 +218,7 @@ def h07(t: Tables) -> DataFrame:
         runs.Metric("core_ratio", ratio, F.when(ratio.isNotNull(), 1.0), higher_is_better=False, geometric=True),
     ]
     return runs.pair_summary(whole, metrics).withColumns(
-        {"a_value": F.round("a_value", 6), "b_value": F.round("b_value", 6)}
+        {"a_value": F.round("a_value", 9), "b_value": F.round("b_value", 9)}
     )
 
 

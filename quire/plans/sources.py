@@ -31,11 +31,12 @@ def a02(t: Tables) -> DataFrame:
 def a04(t: Tables) -> DataFrame:
     cells = t.part.select(
         "p_partkey",
-        F.format_number("p_retailprice", 2).alias("price"),
+        F.format_string("%,.2f", "p_retailprice").alias("price"),
         F.concat(F.col("p_size").cast("string"), F.lit("%")).alias("size"),
         F.when(F.col("p_size") > 25, F.col("p_name")).otherwise("  ").alias("name"),
     )
-    rows = readers.load_rows(t.spark, rows=cells).unpivot(["p_partkey"], ["price", "size", "name"], "field", "cell")
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("cell")) for c in ("price", "size", "name")])
+    rows = readers.load_rows(t.spark, rows=cells).select("p_partkey", F.inline(fields))
     got = rows.withColumn("v", readers.coerce_scalar(F.col("cell")))
     return got.select(
         F.col("p_partkey").cast("bigint").alias("p_partkey"), "field", F.col("v.kind").alias("kind"),
