@@ -22,13 +22,17 @@ MAX_TERMS = 100_000
 DIGITS = 6
 
 
-def _parts(queries: DataFrame, size: int, limit: int) -> list[DataFrame]:
-    """The query table in parts that each stay under the limit on average; one part if it fits."""
-    n = -(-size // limit)
-    if n <= 1:
-        return [queries]
+def _batches(queries: DataFrame, limit: int) -> Iterator[pd.DataFrame]:
+    """The query table as local batches, one if it fits the limit, else parts by query that
+    stay near it."""
+    first = queries.limit(limit + 1).toPandas()
+    if len(first) <= limit:
+        yield first
+        return
+    n = -(-queries.count() // limit)
     slot = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    return [queries.where(slot == i) for i in range(n)]
+    for i in range(n):
+        yield queries.where(slot == i).toPandas()
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,14 +88,12 @@ def sparse_topk(weighted: DataFrame, id: str, terms: DataFrame, k: int, cap: int
     the sum of weight products over shared terms; only scores above zero count. With ``cap``
     the sum is divided by max(terms of the query, min(``size`` of the document, cap)). Returns
     (query_id, id, score, rank)."""
-    size = terms.count()
-    parts = [_sparse_part(weighted, id, p, k, cap) for p in _parts(terms, size, MAX_TERMS)]
+    parts = [_sparse_part(weighted, id, terms, b, k, cap) for b in _batches(terms, MAX_TERMS)]
     best = reduce(DataFrame.unionByName, parts)
     return top_rows(best, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def _sparse_part(weighted: DataFrame, id: str, terms: DataFrame, k: int, cap: int | None) -> DataFrame:
-    batch = terms.toPandas()  # bounded by MAX_TERMS
+def _sparse_part(weighted: DataFrame, id: str, terms: DataFrame, batch: pd.DataFrame, k: int, cap: int | None) -> DataFrame:
     names = np.array(sorted(batch["query_id"].unique().tolist()), dtype=object)
     where = {n: i for i, n in enumerate(names)}
     vocabulary = sorted(batch["term"].unique().tolist())
@@ -144,14 +146,12 @@ def _sparse_part(weighted: DataFrame, id: str, terms: DataFrame, k: int, cap: in
 def dense_topk(vectors: DataFrame, id: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """``queries``: (query_id, vector). The score is one minus the squared distance. Returns
     (query_id, id, score, rank)."""
-    size = queries.count()
-    parts = [_dense_part(vectors, id, vector, p, k) for p in _parts(queries, size, MAX_QUERIES)]
+    parts = [_dense_part(vectors, id, vector, queries, b, k) for b in _batches(queries, MAX_QUERIES)]
     best = reduce(DataFrame.unionByName, parts)
     return top_rows(best, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def _dense_part(vectors: DataFrame, id: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    batch = queries.toPandas()  # bounded by MAX_QUERIES
+def _dense_part(vectors: DataFrame, id: str, vector: str, queries: DataFrame, batch: pd.DataFrame, k: int) -> DataFrame:
     names = batch["query_id"].to_numpy()
     m = np.vstack(batch["vector"].to_numpy()).astype("float64") if len(batch) else np.zeros((0, 1))
     square = (m * m).sum(axis=1)[:, None]

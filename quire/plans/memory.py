@@ -197,7 +197,7 @@ def g08(t: Tables) -> DataFrame:
     "g09_over_capacity",
     f"""with {MEMORY_SQL}, ranked as (select event_id, row_number() over (order by round(score, 9), event_id) as rank,
       count(*) over () as total from valued)
-    select event_id, rank from ranked where total > 200 and rank <= greatest(total - 9000, floor(total * 0.2))""",
+    select event_id, rank from ranked where total > 9000 and rank <= greatest(total - 9000, floor(total * 0.2))""",
 )
 def g09(t: Tables) -> DataFrame:
     rows = memory_rows(t).select("event_id", F.round("score", 9).alias("score"))
