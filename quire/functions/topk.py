@@ -158,7 +158,7 @@ def _dense_part(vectors: DataFrame, id: str, vector: str, queries: DataFrame, ba
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = _Keeper(len(names), k)
-        for frame in batches:
+        for frame in batches if len(names) else ():
             v = np.vstack(frame["vector"].to_numpy()).astype("float64")
             score = np.round(1.0 - (square + (v * v).sum(axis=1)[None, :] - 2.0 * (m @ v.T)), DIGITS)
             ids = frame["id"].to_numpy()
