@@ -12,6 +12,12 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"), "doc_id")
 
 
+def op1_suffix_index(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.suffix_index import without_repeats
+
+    return without_repeats(_documents(spark, folder)).drop("kept")
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.simhash import near_duplicates
 
@@ -39,7 +45,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return resolved(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op6_line_rules, op7_mixing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_index, op2_simhash, op6_line_rules, op7_mixing, op10_warc)}
 
 SQL = {
     "op6_line_rules": r"""
