@@ -24,6 +24,12 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder))
 
 
+def op4_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.vectors import near_vectors
+
+    return near_vectors(spread(table(spark, folder, "embeddings"), "vec_id"))
+
+
 def op6_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.line_rules import line_rules
 
@@ -45,9 +51,16 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return resolved(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_index, op2_simhash, op6_line_rules, op7_mixing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_index, op2_simhash, op4_vectors, op6_line_rules, op7_mixing, op10_warc)}
 
 SQL = {
+    "op4_vectors": """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and embedding is not null),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select vec_id, vec_id as other from embeddings union select r.vec_id, l.b from r join l on r.other = l.a),
+n as (select a, count(*) as n from l group by a)
+select vec_id, cast(coalesce(max(n), 0) as bigint) as n_links, min(other) as component_id, vec_id = min(other) as kept
+from r left join n on n.a = r.vec_id group by vec_id""",
     "op6_line_rules": r"""
 with d as (select row_number() over () as rid, doc_id, coalesce(source, chr(0)) as host, coalesce(text, '') as text from documents),
 w as (select rid, doc_id, host, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
