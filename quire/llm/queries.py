@@ -24,6 +24,12 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder))
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.language import language_ids
+
+    return language_ids(_documents(spark, folder))
+
+
 def op4_vectors(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.vectors import near_vectors
 
@@ -44,6 +50,12 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken, "mix.n_copies")
 
 
+def op9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.passages import quality
+
+    return quality(_documents(spark, folder), table(spark, folder, "labels"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.warc import read_archives, resolved, write_archives
 
@@ -51,7 +63,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return resolved(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_index, op2_simhash, op4_vectors, op6_line_rules, op7_mixing, op10_warc)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_suffix_index, op2_simhash, op3_language, op4_vectors, op6_line_rules, op7_mixing, op9_passages, op10_warc)
+}
 
 SQL = {
     "op4_vectors": """
