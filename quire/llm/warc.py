@@ -59,15 +59,16 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
     files = max(1, -(-total // archive_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
     own = own.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
     refs = record_types(own.withColumnRenamed("body", "html"))
-    refs = refs.select(F.col("page_id").alias("rp"), F.col("digest").alias("rd"), "refers_to")
-    rows = own.join(refs, own["page_id"].eqNullSafe(refs["rp"]) & (own["digest"] == refs["rd"]), "left")
+    refs = refs.select(record_id(F.col("page_id"), F.col("digest")).alias("ident"), "refers_to")
+    # The join goes by the deal into files, so payloads move once.
+    rows = own.withColumn("ident", record_id(F.col("page_id"), F.col("digest"))).repartition(int(files), "ident").join(refs, "ident", "left")
     again = F.col("refers_to").isNotNull()
     body = F.when(again, F.lit("")).otherwise(F.col("body"))
     safe = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "%", "%25"), "\r", "%0D"), "\n", "%0A")
     lines = [
         F.lit("WARC/1.0"),
         F.concat(F.lit("WARC-Type: "), F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
-        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"), F.col("digest"))),
+        F.concat(F.lit("WARC-Record-ID: "), F.col("ident")),
         F.lit("WARC-Date: 2024-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Target-URI: "), safe),
         F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string")),
@@ -78,9 +79,7 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), body).alias("value")
-    rows.select("page_id", "digest", record).repartition(int(files), "page_id", "digest").select("value").write.option(
-        "lineSep", END.decode()
-    ).option("compression", "gzip").text(path)
+    rows.select(record).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
     return path
 
 
