@@ -50,6 +50,15 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken, "mix.n_copies")
 
 
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm.byte_bpe import tokenized
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return tokenized(_documents(spark, folder), path, public_tokenizers.PATTERN, with_ids=False).drop("ids")
+
+
 def op9_passages(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.passages import quality
 
@@ -65,7 +74,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_index, op2_simhash, op3_language, op4_vectors, op6_line_rules, op7_mixing, op9_passages, op10_warc)
+    for f in (op1_suffix_index, op2_simhash, op3_language, op4_vectors, op6_line_rules, op7_mixing, op8_byte_bpe, op9_passages, op10_warc)
 }
 
 SQL = {
