@@ -36,6 +36,12 @@ def op4_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(spread(table(spark, folder, "embeddings"), "vec_id"))
 
 
+def op5_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.disclosure import personal_data
+
+    return personal_data(_documents(spark, folder))
+
+
 def op6_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.line_rules import line_rules
 
@@ -74,7 +80,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_index, op2_simhash, op3_language, op4_vectors, op6_line_rules, op7_mixing, op8_byte_bpe, op9_passages, op10_warc)
+    for f in (op1_suffix_index, op2_simhash, op3_language, op4_vectors, op5_disclosure, op6_line_rules, op7_mixing, op8_byte_bpe, op9_passages, op10_warc)
 }
 
 SQL = {
