@@ -34,9 +34,12 @@ SPAN = WIDTH - GRAM + 1  # grams in a window
 BLOCK = 23  # window offsets that share a core: three blocks cover the 69 offsets
 CORE = WIDTH - BLOCK + 1
 CHUNK = 1 << 18  # bytes hashed at a time
+FLUSH = 16  # chunks whose entries are sorted together
+BATCH_ROWS = "1000"  # of Arrow batches
 POS_BITS = 20
 GROUP_ROWS = 50_000  # larger groups are not held by a task but counted by window hash
 BATCHES = 4
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 COPARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 U = np.uint64
@@ -137,26 +140,35 @@ def entries(chunk):
 
 def scan(texts: DataFrame) -> DataFrame:
     """(key, content, uid, loc, again) of ``texts`` (uid, text). Content that stands earlier in the
-    same Arrow batch is marked ``again`` and dealt by its place, so copies never pile up on a key."""
+    same few chunks is marked ``again`` and dealt by its place, so copies never pile up on a key."""
 
     def run(batches):
         for batch in batches:
             uid = batch.column("uid").to_numpy()
-            parts = [e for e in map(entries, pieces([x.as_py() or b"" for x in batch.column("body")])) if e is not None]
-            if not parts:
-                continue
-            key, content, row, start, gram, more = (np.concatenate(c) for c in zip(*parts))
-            ident = uid[row]
-            loc = (start << 14) | (gram << 7) | more
-            order = np.lexsort((loc, ident, content, key))
-            k, c = key[order], content[order]
-            again = np.zeros(len(key), bool)
-            again[order[1:]] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-            key = np.where(again, mixed(loc.astype(np.uint64) + ident.astype(np.uint64) * U(BASE)), key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ident), pa.array(loc), pa.array(again)],
-                ["key", "content", "uid", "loc", "again"],
-            )
+            parts = []
+            for chunk in pieces(x.as_py() or b"" for x in batch.column("body")):
+                found = entries(chunk)
+                if found is not None:
+                    parts.append(found)
+                if len(parts) == FLUSH:
+                    yield sorted_entries(parts, uid)
+                    parts = []
+            if parts:
+                yield sorted_entries(parts, uid)
+
+    def sorted_entries(parts, uid):
+        key, content, row, start, gram, more = (np.concatenate(c) for c in zip(*parts))
+        ident = uid[row]
+        loc = (start << 14) | (gram << 7) | more
+        order = np.lexsort((loc, ident, content, key))
+        k, c = key[order], content[order]
+        again = np.zeros(len(key), bool)
+        again[order[1:]] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+        key = np.where(again, mixed(loc.astype(np.uint64) + ident.astype(np.uint64) * U(BASE)), key)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ident), pa.array(loc), pa.array(again)],
+            ["key", "content", "uid", "loc", "again"],
+        )
 
     return texts.select("uid", F.col("text").cast("binary").alias("body")).mapInArrow(run, "key long, content long, uid long, loc long, again boolean")
 
@@ -172,10 +184,14 @@ class SuffixIndex:
 
     def _table(self, df: DataFrame) -> tuple[str, str]:
         name, path = f"suffixes_{uuid.uuid4().hex}", fresh_path(self.spark, "suffixes")
-        df.write.bucketBy(self.buckets, "key").sortBy("key", "content").option("path", path).saveAsTable(name)
+        with setting(self.spark, ARROW_ROWS, BATCH_ROWS):
+            self._write(df, name, path)
         release(self.spark)
         return name, path
 
+    def _write(self, df: DataFrame, name: str, path: str) -> None:
+        df.write.bucketBy(self.buckets, "key").sortBy("key", "content").option("path", path).saveAsTable(name)
+
     def _drop(self, level: tuple[str, str]) -> None:
         self.spark.sql(f"drop table {level[0]}")
         discard(self.spark, level[1])
@@ -186,7 +202,7 @@ class SuffixIndex:
     def insert(self, texts: DataFrame) -> None:
         """Add a batch (uid, text) whose uids come after those of all batches before it."""
         array = scan(texts).repartition(self.buckets, "key")
-        # Rows of equal content are at most one per Arrow batch here.
+        # Rows of equal content are at most one per few megabytes of text here.
         nth = F.row_number().over(Window.partitionBy("key", "content").orderBy("uid", "loc"))
         array = array.withColumn("again", F.col("again") | (nth > 1))
         fresh = self._table(array)
@@ -361,7 +377,8 @@ def partial_hits(texts: DataFrame, partial: DataFrame) -> list[DataFrame]:
     """(uid, start, stop): windows of partly matching entries that stand earlier."""
     buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = blocks(texts, partial).repartition(buckets, "core").sortWithinPartitions("core")
-    found = cut(compared(parts), "compared")
+    with setting(texts.sparkSession, ARROW_ROWS, BATCH_ROWS):
+        found = cut(compared(parts), "compared")
     release(texts.sparkSession)
     sure = found.where("window is null").select("uid", "start", "stop")
     many = found.where("window is not null")
