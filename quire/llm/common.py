@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 # Rows of a table that a task may hold as a broadcast map; above it a shuffled join is used.
 BROADCAST_ROWS = 100_000
 
+LOCAL: dict[str, str] = {}  # folders of local sessions that name none
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it. Only a local
     session without the setting gets a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL.get(spark.sparkContext.applicationId)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:

@@ -12,6 +12,7 @@ from quire.llm.common import cut, held_out, release
 
 PASSAGE_WORDS = 96
 SAMPLE = 3000  # labelled texts learnt from, the first by hash of the id
+STEPS = 300
 THRESHOLD = 0.3
 CHUNK = 1 << 18  # bytes encoded at a time
 GRAMS = 256
@@ -151,7 +152,9 @@ class Network:
         return {"W": xs.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ da[:, None], "c": z.T @ g[:, None], "d": g.sum(keepdims=True)}
 
     def fit(self, x, bags, y, epochs=12, size=64, rate=0.01, decay=1e-3, seed=12):
-        """Adam over batches of texts; ``bags`` is sorted and numbers the texts of ``y``."""
+        """Adam over batches of texts; ``bags`` is sorted and numbers the texts of ``y``. Few
+        texts are gone over more often, for at least ``STEPS`` steps."""
+        epochs = max(epochs, -(-STEPS * size // len(y)))
         self.mean = x.mean(0)
         self.scale = (1 / np.maximum(x.std(0), 0.02)).astype(np.float32)
         first = np.searchsorted(bags, np.arange(len(y) + 1))

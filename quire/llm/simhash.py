@@ -121,9 +121,11 @@ def near_duplicates(docs: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, limit: int = 3) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component; a component whose
-    ids are all null keeps its rows, and rows that repeat the kept doc_id are reduced to one."""
+    """The rows of ``docs`` that are the smallest doc_id of their component, same columns. A
+    repeated row (doc_id and text) stays once. Rows without a doc_id stay, as none of them can be
+    named the one to keep."""
     found = near_duplicates(docs.select("doc_id", "text"), limit)
     keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    # Both steps go by doc_id, so texts move once.
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
