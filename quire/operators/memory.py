@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.graph import components, links
 from quire.functions.scan import GHOST, SLICE, Timeline, best_row, top_rows
 from quire.functions.text import any_of, blank_to_null, clip, jaccard, squeeze, unless
+from quire.session import cut
 
 DAY = 86_400_000_000
 
@@ -76,58 +78,55 @@ def new_rows(delta: DataFrame, existing: DataFrame, id: str) -> DataFrame:
 # --- clusters --------------------------------------------------------------------------
 
 
-def bounded_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice: str, limit: int) -> DataFrame:
-    """Split every key into ``block`` numbers of at most ``limit`` rows along ``order``. A key
-    of up to ``limit`` rows is one block; a larger one is cut between neighbours in the order."""
-    numbered = Timeline(tuple(keys), tuple(order), slice).numbered(df, "_rn")
-    return numbered.withColumn("block", F.floor((F.col("_rn") - 1) / limit)).drop("_rn")
-
-
-def _greedy_vectors(frame: pd.DataFrame, id: str, vector: str, order: Sequence[str], similar: float, size: int):
-    frame = frame.sort_values(list(order)).reset_index(drop=True)
-    m = np.vstack(frame[vector].to_numpy()).astype("float64")
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-    sim = m @ m.T
-    leader = np.full(len(m), -1)
-    for i in range(len(m)):
-        if leader[i] >= 0:
-            continue
-        members = [i]
-        leader[i] = i
-        for j in np.flatnonzero((leader < 0) & (sim[i] >= similar)):
-            if j > i and len(members) < size and (sim[members, j] >= similar).all():
-                members.append(j)
-                leader[j] = i
-    return pd.DataFrame({"id": frame[id], "cluster": frame[id].to_numpy()[leader]})
+def _clusters(df: DataFrame, id: str, order: Sequence[str], edges: DataFrame, size: int | None) -> DataFrame:
+    """``(id, cluster)``: rows in order join the first cluster that takes them, else open one.
+    With ``size`` a cluster takes a row linked to all its members while there is room, else a
+    row linked to any member. What a row can join depends only on rows linked to it, so the
+    rule runs inside connected components; a component is as large as its links make it."""
+    edges = cut(edges)
+    at = df.select(F.col(id).alias("node"), F.struct(*[F.col(c) for c in order]).alias("at"))
+    roots = components(edges).join(at, "node")
+    spots = roots.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("line"))
+    near = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
+    rows = spots.select("root", F.posexplode("line").alias("rn", "l")).select("root", "rn", F.col("l.node").alias("node"))
+    rows = rows.join(near, rows["node"] == near["a"]).select("root", "rn", "node", "near")
+    kind = df.schema[id].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("rn")
+        opened: list[list] = []
+        home: dict = {}
+        for node, near in zip(frame["node"], frame["near"]):
+            linked = set(near)
+            takes = sorted({home[x] for x in linked if x in home})
+            if size is not None:
+                takes = [c for c in takes if len(opened[c]) < size and linked.issuperset(opened[c])]
+            if not takes:
+                opened.append([])
+                takes = [len(opened) - 1]
+            home[node] = takes[0]
+            opened[takes[0]].append(node)
+        return pd.DataFrame({"id": list(home), "cluster": [opened[c][0] for c in home.values()]})
+
+    joined = rows.groupBy("root").applyInPandas(run, f"id {kind}, cluster {kind}")
+    return df.select(F.col(id).alias("id")).join(joined, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def similar_clusters(
-    df: DataFrame,
-    keys: Sequence[str],
-    id: str,
-    vector: str,
-    order: Sequence[str],
-    slice: str,
-    similar: float = SIMILAR,
-    size: int = CLUSTER_SIZE,
-    limit: int = 2000,
+    df: DataFrame, keys: Sequence[str], id: str, vector: str, order: Sequence[str], similar: float = SIMILAR, size: int = CLUSTER_SIZE
 ) -> DataFrame:
-    """Greedy clusters inside each key: a row joins the first earlier leader to whose members
-    it is all similar, while there is room. ``(id, cluster)``, cluster = leader id. Keys beyond
-    ``limit`` rows are cut into blocks first, so one task never holds more than a block."""
-    blocks = bounded_blocks(df, keys, order, slice, limit)
+    """Greedy clusters inside each key: a row joins the first earlier cluster to whose members
+    it is all similar, while there is room. ``(id, cluster)``, cluster = leader id."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _greedy_vectors(frame, id, vector, order, similar, size)
-
-    kind = df.schema[id].dataType.simpleString()
-    return blocks.groupBy(*keys, "block").applyInPandas(run, f"id {kind}, cluster {kind}")
+    def unit(frame: pd.DataFrame) -> np.ndarray:
+        m = np.vstack(frame[vector].to_numpy()).astype("float64") if len(frame) else np.zeros((0, 1))
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        return unit(left) @ unit(right).T >= similar
 
-def _set_jaccard(a: set, b: set) -> float:
-    union = len(a | b)
-    return len(a & b) / union if union else 0.0
+    return _clusters(df, id, order, links(df, keys, id, [vector], compare), size)
 
 
 def overlap_clusters(
@@ -136,34 +135,28 @@ def overlap_clusters(
     id: str,
     sets: Sequence[str],
     order: Sequence[str],
-    slice: str,
     weights: Sequence[float] = PART_WEIGHTS,
     threshold: float = CLUSTER_SIM,
-    limit: int = 2000,
 ) -> DataFrame:
     """Clusters by weighted set overlap: a row joins the first cluster whose closest member
     reaches the threshold, else opens one. ``(id, cluster)``, cluster = first member id."""
-    blocks = bounded_blocks(df, keys, order, slice, limit)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order)).reset_index(drop=True)
-        rows = [[set(frame[s][i]) for s in sets] for i in range(len(frame))]
-        clusters: list[list[int]] = []
-        owner = np.zeros(len(frame), dtype=int)
-        for i, row in enumerate(rows):
-            def near(j: int) -> float:
-                return sum(w * _set_jaccard(a, b) for w, a, b in zip(weights, row, rows[j], strict=True))
-
-            home = next((c for c in clusters if max(map(near, c)) >= threshold), None)
-            if home is None:
-                home = []
-                clusters.append(home)
-            home.append(i)
-            owner[i] = home[0]
-        return pd.DataFrame({"id": frame[id], "cluster": frame[id].to_numpy()[owner]})
-
-    kind = df.schema[id].dataType.simpleString()
-    return blocks.groupBy(*keys, "block").applyInPandas(run, f"id {kind}, cluster {kind}")
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        score = np.zeros((len(left), len(right)))
+        for name, weight in zip(sets, weights, strict=True):
+            a, b = [set(x) for x in left[name]], [set(x) for x in right[name]]
+            where = {t: k for k, t in enumerate(set().union(*a))}
+            # Rows by token; only tokens of the left part can be shared.
+            m, n = np.zeros((len(a), len(where))), np.zeros((len(b), len(where)))
+            for hot, rows in ((m, a), (n, b)):
+                for i, row in enumerate(rows):
+                    hot[i, [where[t] for t in row if t in where]] = 1
+            both = m @ n.T
+            union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both
+            score += weight * np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        return score >= threshold
+
+    return _clusters(df, id, order, links(df, keys, id, list(sets), compare), None)
 
 
 def weighted_overlap(pairs: Sequence[tuple[Column, Column]], weights: Sequence[float] = PART_WEIGHTS) -> Column:

@@ -56,11 +56,33 @@ def g02_preference(t: Tables) -> DataFrame:
     )
 
 
-@query("g03_similar_clusters")
+# Sequential clusters in SQL: one step per row of a key, with the clusters so far as a list.
+WALK = """
+    with recursive r as (select {key} as key, {id} as id, row_number() over (partition by {key} order by {id}) as rn from {table}),
+    n as ({near}),
+    w as (select distinct key, cast(0 as bigint) as rn, cast([] as struct(id bigint, cluster bigint)[]) as st from r
+      union all
+      select w.key, r.rn, list_append(w.st, struct_pack(id := r.id, cluster := coalesce(
+        list_filter(list_transform(list_filter(w.st, lambda s: s.id = s.cluster), lambda s: s.cluster), lambda c: {takes})[1], r.id)))
+      from w join r on r.key = w.key and r.rn = w.rn + 1 left join n on n.id = r.id),
+    done as (select key, st from w qualify row_number() over (partition by key order by rn desc) = 1)
+    select s.id, s.cluster from (select unnest(st) as s from done)"""
+MEMBERS = "list_filter(w.st, lambda m: m.cluster = c)"
+VECTOR_NEAR = """
+      select a.vec_id as id, list(b.vec_id) as near from embeddings a join embeddings b on a.label = b.label and b.vec_id < a.vec_id
+      and list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.3 group by 1"""
+VECTOR_TAKES = f"len({MEMBERS}) < 5 and len(list_filter({MEMBERS}, lambda m: not coalesce(list_contains(n.near, m.id), false))) = 0"
+SET_NEAR = """
+      select a.event_id as id, list(b.event_id) as near from events a join events b on a.user_id = b.user_id and b.event_id < a.event_id
+      and 0.45 * cast(a.event_type = b.event_type as int)
+        + 0.35 * cast(json_extract_string(a.props, '$.k') = json_extract_string(b.props, '$.k') as int)
+        + 0.2 * cast(floor(a.value) = floor(b.value) as int) >= 0.58 group by 1"""
+SET_TAKES = f"len(list_filter({MEMBERS}, lambda m: coalesce(list_contains(n.near, m.id), false))) > 0"
+
+
+@query("g03_similar_clusters", WALK.format(key="label", id="vec_id", table="embeddings", near=VECTOR_NEAR, takes=VECTOR_TAKES))
 def g03(t: Tables) -> DataFrame:
-    return memory.similar_clusters(
-        t.embeddings, ["label"], "vec_id", "embedding", ["vec_id"], id_slice("vec_id"), similar=0.3
-    )
+    return memory.similar_clusters(t.embeddings, ["label"], "vec_id", "embedding", ["vec_id"], similar=0.3)
 
 
 SET_SQL = "list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]+'))"
@@ -99,7 +121,7 @@ def g04(t: Tables) -> DataFrame:
     return neighbours(t).select("doc_id", "prev_doc_id", F.round("score", 6).alias("score"))
 
 
-@query("g04_overlap_clusters")
+@query("g04_overlap_clusters", WALK.format(key="user_id", id="event_id", table="events", near=SET_NEAR, takes=SET_TAKES))
 def g04_clusters(t: Tables) -> DataFrame:
     rows = t.events.select(
         "user_id", "event_id", F.array("event_type").alias("tools"),
@@ -107,7 +129,7 @@ def g04_clusters(t: Tables) -> DataFrame:
         F.array(F.floor("value").cast("string")).alias("words"), "ts",
     )
     return memory.overlap_clusters(
-        rows, ["user_id"], "event_id", ["tools", "keys", "words"], ["event_id"], id_slice("event_id"), limit=500
+        rows, ["user_id"], "event_id", ["tools", "keys", "words"], ["event_id"]
     )
 
 

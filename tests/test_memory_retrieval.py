@@ -2,8 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import embed, topk
-from quire.functions.scan import id_slice
+from quire.functions import embed, graph, topk
 from quire.operators import memory, retrieval
 
 
@@ -12,7 +11,7 @@ def test_similar_clusters_match_a_plain_loop(spark):
     base = rng.normal(size=(6, 8))
     vecs = [(base[i % 6] + rng.normal(scale=0.15, size=8)).tolist() for i in range(60)]
     df = spark.createDataFrame([("u", i, v) for i, v in enumerate(vecs)], "user string, id long, v array<double>")
-    got = {r["id"]: r["cluster"] for r in memory.similar_clusters(df, ["user"], "id", "v", ["id"], id_slice("id", 16)).collect()}
+    got = {r["id"]: r["cluster"] for r in memory.similar_clusters(df, ["user"], "id", "v", ["id"]).collect()}
     m = np.array(vecs)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     want, used = {}, set()
@@ -28,10 +27,35 @@ def test_similar_clusters_match_a_plain_loop(spark):
     assert got == want
 
 
-def test_blocks_bound_a_hot_key(spark):
-    df = spark.createDataFrame([("hot", i) for i in range(500)] + [("a", 900)], "k string, id int")
-    sizes = memory.bounded_blocks(df, ["k"], ["id"], "floor(id / 37)", 120).groupBy("k", "block").count()
-    assert sizes.agg(F.max("count"), F.count("*")).first()[:] == (120, 6)
+def test_blocks_do_not_change_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(150, 3)).tolist()
+    df = spark.createDataFrame([("u", i, v) for i, v in enumerate(vecs)], "user string, id long, v array<double>")
+    sets = df.select("user", "id", F.array(F.col("id") % 5).alias("t"), F.array(F.col("id") % 3).alias("k"), F.array(F.col("id") % 7).alias("w"))
+
+    def both():
+        return (
+            sorted(map(tuple, memory.similar_clusters(df, ["user"], "id", "v", ["id"]).collect())),
+            sorted(map(tuple, memory.overlap_clusters(sets, ["user"], "id", ["t", "k", "w"], ["id"]).collect())),
+        )
+
+    whole = both()
+    monkeypatch.setattr(memory, "links", lambda *a: graph.links(*a, block_rows=16))
+    assert both() == whole
+    part = [[], []]
+    for i in range(150):
+        home = next((c for c in part[1] if any(0.45 * (i % 5 == j % 5) + 0.35 * (i % 3 == j % 3) + 0.2 * (i % 7 == j % 7) >= 0.58 for j in c)), None)
+        if home is None:
+            home = []
+            part[1].append(home)
+        home.append(i)
+    assert whole[1] == sorted((i, c[0]) for c in part[1] for i in c)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
 def test_overlap_clusters(spark, rows):
@@ -39,7 +63,7 @@ def test_overlap_clusters(spark, rows):
         [("u", 1, ["t"], ["k1", "k2"], ["w"]), ("u", 2, ["t"], ["k1", "k2"], ["x"]), ("u", 3, ["z"], ["k9"], ["q"]), ("u", 4, ["t"], ["k1"], ["w"])],
         "user string, id int, tools array<string>, keys array<string>, words array<string>",
     )
-    assert rows(memory.overlap_clusters(df, ["user"], "id", ["tools", "keys", "words"], ["id"], id_slice("id"))) == [(1, 1), (2, 1), (3, 3), (4, 1)]
+    assert rows(memory.overlap_clusters(df, ["user"], "id", ["tools", "keys", "words"], ["id"])) == [(1, 1), (2, 1), (3, 3), (4, 1)]
 
 
 def test_blank_lessons_stay_apart(spark):
