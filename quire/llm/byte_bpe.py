@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20  # characters tokenised at a time
 QUERY_BYTES = 1 << 18  # of new words in one recursive query
 DECODE_TOKENS = 1 << 18
-KNOWN_WORDS = 200_000  # encoded words that a task remembers; more words are encoded again
+KNOWN_WORDS = 300_000  # encoded words that a task remembers; more words are encoded again
 LONG_WORD = 512  # bytes; one round per merge is quadratic, so longer words merge by a heap
 
 # A row per word with its tokens in order. Each round lays the pairs of neighbours out as rows,
@@ -64,22 +64,25 @@ class Codec:
         pieces = pa.table({"id": ids, "piece": ["".join(chr(256 + b) for b in t) for t in ranks]})
         self._load("pieces", pieces)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
 
     def _load(self, name, data):
         self.con.register("given", pa.table(data) if isinstance(data, dict) else data)
         self.con.execute(f"create or replace table {name} as select * from given")
         self.con.unregister("given")
 
-    def _query(self, words: list[bytes]) -> list[list[int]]:
+    def _query(self, words: list[bytes]) -> list[bytes]:
         sizes = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), np.uint8)
         pos = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self._load("start", {"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "id": self.single[data]})
-        got = self.con.sql(ENCODE).to_arrow_table()
-        out: list[list[int]] = [[]] * len(words)
-        for w, ids in zip(got["w"].to_pylist(), got["ids"].to_pylist()):
-            out[w] = ids
+        out = [b""] * len(words)
+        for part in self.con.sql(ENCODE).to_arrow_table().to_batches():
+            lists = part.column("ids")
+            data = np.asarray(lists.values, np.int32).tobytes()
+            ends = (np.asarray(lists.offsets) * 4).tolist()
+            for w, a, b in zip(part.column("w").to_pylist(), ends, ends[1:]):
+                out[w] = data[a:b]
         return out
 
     def _heap(self, word: bytes) -> list[int]:
@@ -111,33 +114,33 @@ class Codec:
             data = w.encode("utf-8", "replace")
             rank = self.ranks.get(data)
             if rank is not None:
-                self.known[w] = (rank,)
+                self.known[w] = rank.to_bytes(4, "little")
             elif len(data) > LONG_WORD:
-                self.known[w] = tuple(self._heap(data))
+                self.known[w] = np.array(self._heap(data), "<i4").tobytes()
             else:
                 todo.append((w, data))
                 size += len(data)
             if todo and (size >= QUERY_BYTES or n == len(new)):
                 for (word, _), ids in zip(todo, self._query([d for _, d in todo])):
-                    self.known[word] = tuple(ids)
+                    self.known[word] = ids
                 todo, size = [], 0
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [self.pattern.findall(t) for t in texts]
         self.learn(chain.from_iterable(words))
-        return [list(chain.from_iterable(map(self.known.__getitem__, w))) for w in words]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, w)), "<i4") for w in words]
 
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each id list: pieces in the order of their positions. Long lists are taken
         in parts and several short ones together, so a query holds a bounded number of tokens."""
         out = [bytearray() for _ in ids]
-        held: list[tuple[int, list[int]]] = []
+        held: list[tuple[int, np.ndarray]] = []
         size = 0
 
         def flush():
-            sizes = np.array([len(x) for _, x in held])
-            flat = np.fromiter(chain.from_iterable(x for _, x in held), np.int32, int(sizes.sum()))
-            self._load("tokens", {"d": np.repeat(np.arange(len(held), dtype=np.int32), sizes), "pos": np.arange(len(flat), dtype=np.int32), "id": flat})
+            flat = np.concatenate([x for _, x in held])
+            owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for _, x in held])
+            self._load("tokens", {"d": owner, "pos": np.arange(len(flat), dtype=np.int32), "id": flat})
             got = self.con.sql(DECODE).to_arrow_table()
             text = dict(zip(got["d"].to_pylist(), got["text"].to_pylist()))
             for k, (i, _) in enumerate(held):
@@ -145,9 +148,8 @@ class Codec:
 
         for i, x in enumerate(ids):
             for at in range(0, len(x), DECODE_TOKENS):
-                part = x[at : at + DECODE_TOKENS]
-                held.append((i, part))
-                size += len(part)
+                held.append((i, x[at : at + DECODE_TOKENS]))
+                size += len(held[-1][1])
                 if size >= DECODE_TOKENS:
                     flush()
                     held, size = [], 0
@@ -187,7 +189,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -
                 ids = codec.encode(texts)
                 back = codec.decode(ids)
                 rows = [
-                    (len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(b).hexdigest(), b == t.encode("utf-8", "replace"), i if with_ids else None)
+                    (len(i), hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest(), hashlib.sha256(b).hexdigest(), b == t.encode("utf-8", "replace"), i if with_ids else None)
                     for t, i, b in zip(texts, ids, back)
                 ]
                 n, a, b, same, i = zip(*rows)
