@@ -1,8 +1,9 @@
-"""Best matches of a bounded batch of queries over a corpus of any size.
+"""Best matches of queries over a corpus of any size.
 
-The batch travels to the data: every task scores its own documents against all queries of
-the batch with numpy and keeps the best k of each, so pairs of query and document are never
-shuffled. A batch beyond the bound is split by query and the corpus is read once per part."""
+Sparse scores are joins and sums. For dense scores a bounded batch of query vectors travels to
+the data: every task scores its own rows against all queries of the batch with numpy and keeps
+the best k of each, so pairs of query and document are never shuffled. A batch beyond the bound
+is split by query and the corpus is read once per part."""
 
 from __future__ import annotations
 
@@ -13,12 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from quire.functions.scan import top_rows
 
 MAX_QUERIES = 2_000
-MAX_TERMS = 100_000
 DIGITS = 6
 
 
@@ -69,78 +69,26 @@ def _schema(queries: DataFrame, ids: DataFrame, id: str) -> StructType:
     )
 
 
-def _whole_docs(batches: Iterator[pd.DataFrame], id: str) -> Iterator[pd.DataFrame]:
-    """Batches re-cut so that no document is split between two of them."""
-    rest = None
-    for frame in batches:
-        if rest is not None:
-            frame = pd.concat([rest, frame], ignore_index=True)
-        last = frame[id].to_numpy() == frame[id].iloc[-1]
-        rest = frame[last]
-        if not last.all():
-            yield frame[~last]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def sparse_topk(weighted: DataFrame, id: str, terms: DataFrame, k: int, cap: int | None = None) -> DataFrame:
     """``weighted``: (id, term, weight) postings; ``terms``: (query_id, term, weight). The score is
     the sum of weight products over shared terms; only scores above zero count. With ``cap``
     the sum is divided by max(terms of the query, min(``size`` of the document, cap)). Returns
-    (query_id, id, score, rank)."""
-    parts = [_sparse_part(weighted, id, terms, b, k, cap) for b in _batches(terms, MAX_TERMS)]
-    best = reduce(DataFrame.unionByName, parts)
-    return top_rows(best, ["query_id"], [F.desc("score"), F.col("id")], k)
-
+    (query_id, id, score, rank).
 
-def _sparse_part(weighted: DataFrame, id: str, terms: DataFrame, batch: pd.DataFrame, k: int, cap: int | None) -> DataFrame:
-    names = np.array(sorted(batch["query_id"].unique().tolist()), dtype=object)
-    where = {n: i for i, n in enumerate(names)}
-    vocabulary = sorted(batch["term"].unique().tolist())
-    slot = {t: i for i, t in enumerate(vocabulary)}
-    batch = batch.assign(t=batch["term"].map(slot), q=batch["query_id"].map(where)).sort_values(["t", "q"])
-    starts = np.searchsorted(batch["t"].to_numpy(), np.arange(len(vocabulary) + 1))
-    query_size = batch.groupby("q").size().reindex(range(len(names)), fill_value=1).to_numpy()
-    owner, factor = batch["q"].to_numpy(dtype="int64"), batch["weight"].to_numpy(dtype="float64")
-    spark = terms.sparkSession
-    known = spark.createDataFrame(
-        [(t, i) for t, i in slot.items()], StructType([StructField("term", StringType()), StructField("_t", LongType())])
-    )
-    # The vocabulary is bounded by MAX_TERMS, so it may be broadcast.
+    Postings meet the query terms by an equi join, the sums of a document are combined before
+    their shuffle, and each task then keeps k rows per query. Nothing runs before the result is
+    asked for, and no side is collected."""
+    own = terms.select("query_id", "term", F.col("weight").alias("_factor"))
     size = F.col("size") if cap is not None else F.lit(1)
-    hits = weighted.join(F.broadcast(known), "term").select(
-        F.col(id).alias("id"), "_t", F.col("weight").cast("double").alias("weight"), size.cast("bigint").alias("size")
-    )
-    rows = hits.repartition("id").sortWithinPartitions("id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = _Keeper(len(names), k)
-        for frame in _whole_docs(batches, "id"):
-            ids, lead, doc = np.unique(frame["id"].to_numpy(), return_index=True, return_inverse=True)
-            t = frame["_t"].to_numpy()
-            width = starts[t + 1] - starts[t]
-            row = np.repeat(np.arange(len(t)), width)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(starts[t], width)
-            value = frame["weight"].to_numpy()[row] * factor[at]
-            # Sum by (query, document) over the pairs that exist.
-            key, back = np.unique(owner[at] * len(ids) + doc[row], return_inverse=True)
-            total = np.bincount(back, value, len(key))
-            query = key // len(ids)
-            if cap is not None:
-                own = np.minimum(frame["size"].to_numpy()[lead][key % len(ids)], cap)
-                total = total / np.maximum(query_size[query], own)
-            total = np.round(total, DIGITS)
-            cut = np.searchsorted(query, np.arange(len(names) + 1))
-            for q in np.unique(query):
-                s = slice(cut[q], cut[q + 1])
-                good = total[s] > 0
-                if good.any():
-                    keep.add(q, total[s][good], ids[key[s][good] % len(ids)])
-        out = keep.frame(names)
-        if len(out):
-            yield out
-
-    return rows.mapInPandas(run, _schema(terms, weighted, id))
+    docs = weighted.select(F.col(id).alias("id"), "term", F.col("weight").cast("double").alias("_weight"), size.cast("bigint").alias("_size"))
+    pairs = docs.join(own, "term").groupBy("query_id", "id").agg(F.sum(F.col("_weight") * F.col("_factor")).alias("_total"), F.max("_size").alias("_size"))
+    total = F.col("_total")
+    if cap is not None:
+        sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("_terms"))
+        pairs = pairs.join(sizes, "query_id")
+        total = total / F.greatest(F.col("_terms"), F.least(F.col("_size"), F.lit(cap)))
+    scored = pairs.select("query_id", "id", F.round(total, DIGITS).alias("score")).where(F.col("score") > 0)
+    return top_rows(scored, ["query_id"], [F.desc("score"), F.col("id")], k).select("query_id", "score", "id", "rank")
 
 
 def dense_topk(vectors: DataFrame, id: str, vector: str, queries: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ financial domain. Values are decimals from parse to audit."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,12 @@ YEAR_RANGE = r"((?:19|20)\d{2})\s*[-–—至]\s*((?:19|20)\d{2})年?"
 METRIC_CUE = r"(?i)同比|环比|增长率|增速|CAGR|毛利率|净利率|市占率|占比|份额|营收|收入|利润|现金流|市场规模|销量|产量"
 ADMIN_CUE = r"(?i)页码|第\s*\d+\s*页|股票代码|证券代码|报告编号|发布日期|报告日期"
 LABEL_TAIL = r"(?i)(?:同比|环比|增长率|增速|CAGR|毛利率|净利率|市占率|占比|份额|构成)$"
+# What stands between a metric's name and its number.
+LABEL_STOP = "[^，,。；;：:]*$"
+LABEL_LEAD = "^(?:预计|其中|分别|约|达到|为|是|达)+"
+LABEL_LINK = r"(?:分别为|约为|达到|为|是|达)\s*$"
+LABEL_EDGE = "^[ ：:、，,/]+|[ ：:、，,/]+$"
+LABEL_WORD = r"[一-鿿A-Za-z][一-鿿A-Za-z0-9+\-]{0,24}"
 TOTAL_ROW = r"(?i)合计|总计|total"
 MISSING = ("", "-", "--", "—", "N/A", "n/a", "NA", "null")
 
@@ -152,14 +159,10 @@ def period_labels(text: Column) -> Column:
 def label_before(text: Column, start: Column) -> Column:
     """Word in front of a number: text since the last boundary, without periods and linking
     words; the last word counts."""
-    part = F.regexp_extract(F.left(text, start), "[^，,。；;：:]*$", 0)
-    part = F.regexp_replace(F.regexp_replace(part, YEAR_RANGE, ""), PERIOD, "")
-    part = F.regexp_replace(part, "^(?:预计|其中|分别|约|达到|为|是|达)+", "")
-    part = F.regexp_replace(part, r"(?:分别为|约为|达到|为|是|达)\s*$", "")
-    part = F.regexp_replace(part, "^[ ：:、，,/]+|[ ：:、，,/]+$", "")
-    words = F.regexp_extract_all(part, F.lit(r"[一-鿿A-Za-z][一-鿿A-Za-z0-9+\-]{0,24}"), F.lit(0))
-    last = F.try_element_at(words, F.lit(-1))
-    return F.coalesce(unless(F.trim(F.regexp_replace(last, LABEL_TAIL, "")), F.lit("")), last)
+    cleared = reduce(lambda t, drop: F.regexp_replace(t, drop, ""), (YEAR_RANGE, PERIOD, LABEL_LEAD, LABEL_LINK, LABEL_EDGE), F.regexp_extract(F.left(text, start), LABEL_STOP, 0))
+    last = F.try_element_at(F.regexp_extract_all(cleared, F.lit(LABEL_WORD), F.lit(0)), F.lit(-1))
+    bare = F.trim(F.regexp_replace(last, LABEL_TAIL, ""))
+    return F.when(bare == "", last).otherwise(bare)
 
 
 def fact_id(kind: Column, source: Column, locator: Column) -> Column:

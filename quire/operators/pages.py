@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from quire.functions.spans import let
 from quire.functions.text import unless
 
+# Weights and thresholds of template quality.
+TEMPLATE_WEIGHTS = {
+    "text_share": 0.45, "slot_share": 0.35, "base": 0.2, "no_body": 0.25, "bare": 0.2,
+    "background_pair": 0.4, "surface_pair": 0.4, "derived_pair": 0.22, "text_surface": 0.15, "visual": 0.2,
+    "sound": 0.58, "safe": 0.72,
+}
 # Colours and fonts that never count as a finding, slide size, contrast floor.
 SAFE_COLORS = ("#ffffff", "#fff", "white", "transparent", "inherit", "initial", "currentcolor", "#000000", "#000", "black")
 SAFE_FONTS = (
@@ -421,30 +427,34 @@ def template_quality(profiles: DataFrame) -> DataFrame:
     no_text = (F.col("_content") > 0) & (F.col("_content_text") == 0)
     ratio = F.col("_content_text") / F.greatest(F.col("_content"), F.lit(1))
     slots = F.col("_texts") / F.greatest(F.col("_texts") + F.col("_images"), F.lit(1))
-    raw = 0.45 * ratio + 0.35 * F.least(F.lit(1.0), slots * 2) + 0.2 - F.when(no_body, 0.25).otherwise(0.0) - F.when(mostly_bare, 0.2).otherwise(0.0)
+    w = TEMPLATE_WEIGHTS
+    raw = w["text_share"] * ratio + w["slot_share"] * F.least(F.lit(1.0), slots * 2) + w["base"]
+    raw = raw - F.when(no_body, w["no_body"]).otherwise(0.0) - F.when(mostly_bare, w["bare"]).otherwise(0.0)
     structure = F.when(F.col("_n") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
     same_hue = F.abs(hue(normal_color(F.col("background"))) - hue(normal_color(F.col("surface")))) <= 30
     derived = F.coalesce(F.col("_background") & F.col("_surface") & (F.col("_sf") - F.col("_bg") >= 0.35) & same_hue, F.lit(False))
     visual = F.least(
         F.lit(1.0),
-        F.when(F.col("_background") & F.col("_inverse_text"), 0.4).otherwise(0.0)
-        + F.when(F.col("_surface") & F.col("_primary_text"), F.when(derived, 0.22).otherwise(0.4)).when(F.col("_text") & F.col("_surface"), 0.15).otherwise(0.0)
-        + F.when(F.col("_visual") > 0, 0.2).otherwise(0.0),
-    )
-    issues = F.array_compact(
-        F.array(
-            F.when(F.col("_n") == 0, "no usable layouts found"), F.when(no_text, "content layouts contain no text slots"),
-            F.when(no_body, "body font size is missing or zero"), F.when(mostly_bare, "almost all layouts have zero text slots"),
-            F.when(F.col("_background") & ~F.col("_text"), "background color detected without text color"),
-            F.when(F.col("_background") & ~F.col("_inverse_text"), "background color detected without inverse text color"),
-            F.when(F.col("_surface") & ~F.col("_primary_text"), "surface color detected without primary text color"),
-            F.when((F.col("_visual") == 0) & (F.col("_images") == 0), "template exposes no visual asset layouts"),
-            F.when(derived, "surface appears derived rather than evidenced in template"),
-        )
+        F.when(F.col("_background") & F.col("_inverse_text"), w["background_pair"]).otherwise(0.0)
+        + F.when(F.col("_surface") & F.col("_primary_text"), F.when(derived, w["derived_pair"]).otherwise(w["surface_pair"]))
+        .when(F.col("_text") & F.col("_surface"), w["text_surface"]).otherwise(0.0)
+        + F.when(F.col("_visual") > 0, w["visual"]).otherwise(0.0),
     )
+    found = {
+        "layouts.none": F.col("_n") == 0,
+        "content.textless": no_text,
+        "body.unsized": no_body,
+        "layouts.bare": mostly_bare,
+        "background.alone": F.col("_background") & ~F.col("_text"),
+        "background.no_inverse": F.col("_background") & ~F.col("_inverse_text"),
+        "surface.no_primary": F.col("_surface") & ~F.col("_primary_text"),
+        "visual.none": (F.col("_visual") == 0) & (F.col("_images") == 0),
+        "surface.derived": derived,
+    }
+    issues = F.array_compact(F.array(*[F.when(holds, code) for code, holds in found.items()]))
     rows = rows.withColumns({"_structure": structure, "_score": visual, "_derived": derived, "issues": issues})
-    sound = (F.col("_structure") >= 0.58) & ~no_text & ~no_body & ~mostly_bare
-    safe = (F.col("_score") >= 0.72) & ~F.col("_derived")
+    sound = (F.col("_structure") >= w["sound"]) & ~no_text & ~no_body & ~mostly_bare
+    safe = (F.col("_score") >= w["safe"]) & ~F.col("_derived")
     mode = F.when(sound & safe, "strict_structural").when(sound, "adaptive_structural").otherwise("style_reference")
     return rows.select(
         "template_id", F.round("_structure", 3).alias("structure_score"), F.round("_score", 3).alias("visual_score"), mode.alias("mode"), "issues"

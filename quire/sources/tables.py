@@ -53,8 +53,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
-    """A small summary table as one headed file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A summary table as headed files, one per partition of ``df``; a small result of an
+    aggregation is one partition already."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_version(df: DataFrame, root: str, version: int, partition: Sequence[str] = ()) -> str:

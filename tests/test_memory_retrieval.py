@@ -111,9 +111,17 @@ def test_hints_params_errors(spark, rows):
     assert [g[0] for g in got] == [True, False, True, True, True] and got[0][1] == "boom" and got[4][1] == "E1: m"
 
 
-@pytest.mark.parametrize("limit", [100_000, 3])
-def test_sparse_topk_matches_numpy(spark, monkeypatch, limit):
-    monkeypatch.setattr(topk, "MAX_TERMS", limit)
+def test_search_plans_start_no_job(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "id int, text string").repartition(2)
+    asked = spark.createDataFrame([(1, "beta gamma")], "query_id int, text string")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    plans = [retrieval.bm25(docs, "id", "text", asked, 3), retrieval.overlap_search(docs, "id", "text", asked, 3)]
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert [[r["id"] for r in p.orderBy("rank").collect()] for p in plans] == [[2, 1], [1, 2]]
+
+
+def test_sparse_topk_matches_numpy(spark):
     rng = np.random.default_rng(4)
     docs = [(d, f"t{t}", float(rng.integers(1, 5))) for d in range(80) for t in rng.choice(12, 4, replace=False)]
     asked = [(q, f"t{t}", float(rng.integers(1, 4))) for q in range(4) for t in rng.choice(14, 3, replace=False)]
