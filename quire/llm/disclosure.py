@@ -111,19 +111,25 @@ def terms(spans: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, spans: DataFrame, near: DataFrame, least_docs: int, general: float, remove: float) -> DataFrame:
     """(kind, value, term, verdict): the pairs over the threshold. Counts are of documents, over
     the whole corpus; only terms that stand near one entity often enough are counted."""
-    pair = near.select("key", "kind", "value", "term").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("n_te"))
-    pair = cut(pair.where(F.col("n_te") >= least_docs), "pairs")
+    total = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
+    n_e = spans.select("key", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e"))
+    n_te = near.select("key", "kind", "value", "term").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("n_te"))
+    # The documents with the term near any entity are at most all with the term, so a pair under
+    # the threshold with their number is under it for good. Frequent words end here.
+    n_near = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    information = F.log2(F.col("n") / F.col("n_e"))
+
+    def reached(share: float, n_t: str) -> Column:
+        return F.log2(F.col("n") * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) >= F.lit(share) * information - 1e-9
+
+    pair = n_te.where(F.col("n_te") >= least_docs).join(n_e, ["kind", "value"]).join(n_near, "term").crossJoin(total)
+    pair = cut(pair.where((information > 0) & reached(general, "n_near")), "pairs")
     wanted = small(cut(pair.select("term").distinct(), "terms"))
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), TERM + "+"))
     n_t = docs.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = spans.select("key", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e"))
-    total = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
-    scored = pair.join(n_t, "term").join(n_e, ["kind", "value"]).crossJoin(total)
-    information = F.log2(F.col("n") / F.col("n_e"))
-    mutual = F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    reached = lambda share: mutual >= F.lit(share) * information - 1e-9
-    verdict = F.when(reached(remove), F.lit(5)).when(reached(general), F.lit(4))
-    return scored.where(information > 0).select("kind", "value", "term", verdict.alias("verdict")).where("verdict is not null")
+    scored = pair.join(n_t, "term")
+    verdict = F.when(reached(remove, "n_t"), F.lit(5)).when(reached(general, "n_t"), F.lit(4))
+    return scored.select("kind", "value", "term", verdict.alias("verdict")).where("verdict is not null")
 
 
 def all_spans(docs: DataFrame, least_docs: int = LEAST_DOCS, general: float = GENERAL, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
