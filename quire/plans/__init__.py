@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("sources", "structure", "facts", "outline", "citations", "retrieval", "memory", "runs", "pages", "streams")
+FAMILIES = ("sources", "structure", "markdown", "facts", "outline", "citations", "retrieval", "memory", "runs", "pages", "streams")
 
 
 def load_all():
