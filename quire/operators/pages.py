@@ -225,11 +225,14 @@ def luminance(color: Column) -> Column:
     return 0.2126 * r + 0.7152 * g + 0.0722 * b
 
 
+def ratio(x: Column, y: Column) -> Column:
+    """Contrast of two luminances; 21 where one is missing."""
+    return F.when(x.isNull() | y.isNull(), 21.0).otherwise((F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05))
+
+
 def contrast(a: Column, b: Column) -> Column:
     """Contrast of two colours; 21 where one is not a colour."""
-    x, y = luminance(a), luminance(b)
-    ratio = (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
-    return F.when(x.isNull() | y.isNull(), 21.0).otherwise(ratio)
+    return ratio(luminance(a), luminance(b))
 
 
 def contrast_issues(pages: DataFrame, id: str, html: str, least: float = LEAST_CONTRAST) -> DataFrame:
@@ -241,10 +244,12 @@ def contrast_issues(pages: DataFrame, id: str, html: str, least: float = LEAST_C
     rows = pages.select(id, F.explode(F.array_distinct(F.concat(inline, css_rules(F.col(html))))).alias("r"))
     bg = normal_color(F.regexp_extract("r.body", rf"(?i)background(?:-color)?\s*:\s*({COLOR})", 1))
     fg = normal_color(F.regexp_extract("r.body", rf"(?i)(?<!-)color\s*:\s*({COLOR})", 1))
-    pairs = rows.select(id, F.col("r.selector").alias("location"), bg.alias("background"), fg.alias("color")).where(
+    # One-element arrays are steps: each value is computed once, and the code stays small.
+    pairs = rows.select(id, F.col("r.selector").alias("location"), F.inline(F.array(F.struct(bg.alias("background"), fg.alias("color"))))).where(
         (F.col("background") != "") & (F.col("color") != "")
     )
-    return pairs.withColumn("contrast", F.round(contrast(F.col("background"), F.col("color")), 2)).where(F.col("contrast") < least)
+    light = pairs.select("*", F.inline(F.array(F.struct(luminance(F.col("background")).alias("_b"), luminance(F.col("color")).alias("_c")))))
+    return light.select(*pairs.columns, F.round(ratio(F.col("_b"), F.col("_c")), 2).alias("contrast")).where(F.col("contrast") < least)
 
 
 def palette_issues(pages: DataFrame, id: str, html: str, palette: Mapping[str, str]) -> DataFrame:
