@@ -55,28 +55,29 @@ def copies(rate: Column, ident: Column, seed: int = 7) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def mix_rates(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 7) -> DataFrame:
-    """``docs`` with size, source_size, target and n_copies in the struct ``mix``.
+def mix_rates(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, seed: int = 7, name: str = "mix") -> DataFrame:
+    """``docs`` with size, source_size, target and n_copies in the struct ``name``.
 
     Sizes are summed per source before the shuffle, so a source with a third of all rows is
     one row of each task. Null or empty texts have size 0 and follow the rate of their source;
     a null source is a source of its own, last in order; repeated rows draw alike."""
     sized = docs.withColumn("__size", word_count())
     sizes = sized.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    targets = small(cut(source_targets(sizes, share, cap, weights), "targets")).withColumnRenamed("source", "__source")
+    targets = small(cut(source_targets(sizes, share, cap, weights), "targets"))
+    targets = targets.select(*[F.col(c).alias(f"__{c}") for c in targets.columns])
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["__source"]), "left")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     mix = F.struct(
         F.col("__size").alias("size"),
-        "source_size",
-        "target",
-        copies(rate, F.col("doc_id"), seed).alias("n_copies"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        copies(rate, joined["doc_id"], seed).alias("n_copies"),
     )
-    return joined.select(*[joined[c] for c in docs.columns], mix.alias("mix"))
+    return joined.select(*docs.columns, mix.alias(name))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as its rate and draw say, same columns."""
-    rated = mix_rates(docs, **options)
-    again = F.explode(F.sequence(F.lit(1), F.col("mix.n_copies").cast("int")))
-    return rated.where("mix.n_copies > 0").select(*docs.columns, again.alias("__copy")).drop("__copy")
+    rated = mix_rates(docs, name="__mix", **options)
+    again = F.explode(F.sequence(F.lit(1), F.col("__mix.n_copies").cast("int")))
+    return rated.where("__mix.n_copies > 0").select(*docs.columns, again.alias("__copy")).drop("__copy")

@@ -222,7 +222,7 @@ def scorer(model: Network | None):
 
 
 def scored(docs: DataFrame, model: Network | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` in the struct ``quality_score``, from the whole
+    """``docs`` with ``score`` and ``predicted`` in the struct ``__quality``, from the whole
     text alone; null and empty texts get the score of a text without words."""
     run = scorer(model)
 
@@ -233,7 +233,7 @@ def scored(docs: DataFrame, model: Network | None, threshold: float = THRESHOLD)
 
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("body"))
     out = packed.mapInArrow(add, f"row {packed.schema['row'].dataType.simpleString()}, score double")
-    return out.select("row.*", F.struct("score", (F.col("score") >= threshold).cast("int").alias("predicted")).alias("quality_score"))
+    return out.select("row.*", F.struct("score", (F.col("score") >= threshold).cast("int").alias("predicted")).alias("__quality"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -241,11 +241,11 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     model = train(docs, labels, sample)
     release(docs.sparkSession)
     out = scored(docs.select("doc_id", "text"), model, threshold)
-    return out.select("doc_id", held_out().alias("held_out"), "quality_score.score", "quality_score.predicted")
+    return out.select("doc_id", held_out().alias("held_out"), "__quality.score", "__quality.predicted")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, same columns."""
     model = train(docs, labels, sample)
     release(docs.sparkSession)
-    return scored(docs, model, threshold).where("quality_score.predicted = 1").select(*docs.columns)
+    return scored(docs, model, threshold).where("__quality.predicted = 1").select(*docs.columns)

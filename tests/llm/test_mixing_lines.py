@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm.line_rules import line_rules, measure, repeated_words, without_common_lines
 from quire.llm.mixing import mix_rates, mix_sources, source_targets
@@ -46,8 +47,9 @@ def test_mix(spark):
         total[r.source] += r.size * r.n_copies
     for r in rated:
         assert total[r.source] == pytest.approx(r.target, rel=0.15)
-    mixed = mix_sources(docs)
-    assert mixed.columns == docs.columns
+    clash = docs.withColumns({c: F.lit("own") for c in ("target", "source_size", "mix", "n_copies", "weight")})
+    mixed = mix_sources(clash)
+    assert mixed.columns == clash.columns
     want = Counter({r.doc_id: 0 for r in rated})
     for r in rated:
         want[r.doc_id] += r.n_copies
@@ -87,7 +89,7 @@ def test_line_rules(spark):
     rows = [(i, f"{good} {i}\nCookie  NOTICE here", "h") for i in range(8)]
     rows += [(100 + i, "cookie notice here\nfew words are left now in this one small text ok", "h") for i in range(4)]
     rows += [(200, "cookie notice here\n" * 2 + good, "other"), (201, None, "h"), (None, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", __import__("pyspark").sql.functions.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit(1))
     got = {r.doc_id: r for r in line_rules(docs, doc_limit=5, min_words=12).collect()}
     assert len(got) == len(rows)
     assert all(got[i].kept and got[i].removed_words == 3 for i in range(8))

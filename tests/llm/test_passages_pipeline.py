@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import passages
@@ -70,6 +71,8 @@ def test_quality(spark):
     again = {(r.doc_id, r.score) for r in quality(docs.repartition(5), labels).collect()}
     assert all((r.doc_id, pytest.approx(r.score, abs=1e-9)) for r in got) and len(again) == docs.count()
     assert quality(docs, labels.limit(0)).first().score == 0.5
+    clash = docs.withColumns({c: F.lit(1) for c in ("score", "predicted", "row", "body", "quality_score", "held_out")})
+    assert good_documents(clash, labels).columns == clash.columns
     assert good_documents(docs.limit(0), labels).count() == 0
 
 
