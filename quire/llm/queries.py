@@ -84,6 +84,18 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_suffix_index": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, p, md5(array_slice(h, 2 * p + 1, 2 * p + 200)) as k from d, unnest(range(0, n - 99)) as t(p)),
+dup as (select doc_id, p from w qualify row_number() over (partition by k order by doc_id, p) > 1),
+cut as (select *, coalesce(p > lag(p) over (partition by doc_id order by p) + 100, true) as new from dup),
+num as (select *, sum(new::int) over (partition by doc_id order by p) as run from cut),
+runs as (select doc_id, run, min(p) as a, max(p) + 100 as z from num group by 1, 2),
+gaps as (select *, coalesce(lag(z) over (partition by doc_id order by a), 0) as last from runs),
+kept as (select doc_id, count(*) as n_spans, sum(z - a) as n_removed, max(z) as z, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' order by a) as head
+  from gaps join d using (doc_id) group by doc_id)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(head || substr(h, 2 * z + 1), h))) as kept_sha256 from d left join kept using (doc_id)""",
     "op4_vectors": """
 with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and embedding is not null),
 l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.98),
