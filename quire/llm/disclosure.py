@@ -7,6 +7,8 @@ entity's information content: log2(N n(t,e) / (n(t) n(e))) >= share * log2(N / n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,16 @@ def matches(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "key", found.alias("found"))
 
 
+def may_match() -> Column:
+    """Texts with a match of some form. The others have no span of any kind, as terms are only
+    looked for near matches."""
+    tries = []
+    for form, sign in zip(FORMS, SIGNS):
+        hit = F.rlike("text", F.lit(form))
+        tries.append(F.contains("text", F.lit(sign)) & hit if sign else hit)
+    return F.coalesce(reduce(lambda a, b: a | b, tries), F.lit(False))
+
+
 def document_key() -> Column:
     return F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))).alias("key")
 
@@ -180,7 +192,9 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
         f"cast(r.start - if(i = 0, 0, __regions[i - 1].stop) as int)), {marks}[r.kind])), ''), "
         "substring(text, cast(element_at(__regions, -1).stop + 1 as int)))"
     )
-    joined = docs.withColumn("__key", document_key()).join(per.select(F.col("key").alias("__key"), F.col("regions").alias("__regions")), "__key", "left")
+    # Only texts with a match meet the spans; the others never move.
+    found = docs.where(may_match()).withColumn("__key", document_key())
+    joined = found.join(per.select(F.col("key").alias("__key"), F.col("regions").alias("__regions")), "__key", "left")
     text = F.when(F.col("__regions").isNull(), F.col("text")).otherwise(rebuilt)
-    done = joined.withColumn("text", text).select(*docs.columns)
+    done = joined.withColumn("text", text).select(*docs.columns).union(docs.where(~may_match()).select(*docs.columns))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
