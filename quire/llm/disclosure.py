@@ -1,5 +1,6 @@
 """Personal data: emails, addresses, cards and phones by form, and the terms that disclose them
-by their co-occurrence over the corpus. DataFrame functions only.
+by their co-occurrence over the corpus: over whole documents with ``context`` None, as the query
+and the pipeline have it, or within ``context`` characters of a match. DataFrame functions only.
 
 A term discloses an entity when their pointwise mutual information reaches a share of the
 entity's information content: log2(N n(t,e) / (n(t) n(e))) >= share * log2(N / n(e)). Terms at
@@ -32,35 +33,37 @@ CONTEXT = 48  # characters on either side of an entity in which terms are looked
 TERM = r"[^\p{L}\p{N}]"
 SQL_TERM = TERM.replace("\\", "\\\\")  # as SQL writes it
 LEAST_TERM = 3  # characters of a term
-LEAST_DOCS = 3  # documents in which a term stands near an entity
+LEAST_DOCS = 3  # documents that hold a term with an entity: the minimum support, see README
 GENERAL, REMOVE = 0.8, 1.0
 
 
-def _found(kind: int) -> Column:
+def _found(kind: int, context: int) -> Column:
     """Matches of a form with the length of the gap before each, and the text around it."""
     m, p = f"m{kind}", f"p{kind}"
     return F.expr(
         f"transform({m}, (m, i) -> struct({kind} as kind, i as nth, length({p}[i]) as gap, m as hit, "
-        f"right({p}[i], {CONTEXT}) as before, left({p}[i + 1], {CONTEXT}) as after))"
+        f"right({p}[i], {context}) as before, left({p}[i + 1], {context}) as after))"
     )
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, found) per row; ``key`` names the document: its id and the hash of its text."""
+def matches(docs: DataFrame, context: int | None = CONTEXT) -> DataFrame:
+    """(doc_id, key, found, t) per row; ``key`` names the document: its id and the hash of its
+    text. ``t`` is the text where a form matches and whole documents are looked at, else null."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select("doc_id", document_key(), text.alias("t"))
     for kind, (form, sign) in enumerate(zip(FORMS, SIGNS)):
         has = F.contains("t", F.lit(sign)) if sign else F.rlike("t", F.lit(r"[0-9][\x20-]?[0-9]"))
         out = out.withColumn(f"m{kind}", F.when(has, F.regexp_extract_all("t", F.lit(form), F.lit(0))))
         out = out.withColumn(f"p{kind}", F.when(F.size(f"m{kind}") > 0, F.split("t", form, -1)))
-    arrays = [F.when(F.size(f"m{k}") > 0, _found(k)) for k in range(BASE)]
+    arrays = [F.when(F.size(f"m{k}") > 0, _found(k, context or 0)) for k in range(BASE)]
     found = F.flatten(F.array_compact(F.array(*arrays)))
-    return out.select("doc_id", "key", found.alias("found"))
+    whole = F.when((F.size("found") > 0) & F.lit(context is None), F.col("t"))
+    return out.select("doc_id", "key", found.alias("found"), "t").withColumn("t", whole)
 
 
 def may_match() -> Column:
     """Texts with a match of some form. The others have no span of any kind, as terms are only
-    looked for near matches."""
+    hidden in documents that hold the entity they disclose."""
     tries = []
     for form, sign in zip(FORMS, SIGNS):
         hit = F.rlike("text", F.lit(form))
@@ -110,17 +113,33 @@ def _tokens(side: str, keep: str) -> Column:
     )
 
 
-def terms(spans: DataFrame) -> DataFrame:
+def terms(spans: DataFrame, context: int = CONTEXT) -> DataFrame:
     """(key, kind, value, term, start, stop): terms in the contexts of entities."""
-    left = _tokens("before", f"(x.i > 0 or length(before) < {CONTEXT}) and x.at + x.size < length(before)")
-    right = _tokens("after", f"x.at > 0 and (x.at + x.size < length(after) or length(after) < {CONTEXT})")
+    left = _tokens("before", f"(x.i > 0 or length(before) < {context}) and x.at + x.size < length(before)")
+    right = _tokens("after", f"x.at > 0 and (x.at + x.size < length(after) or length(after) < {context})")
     a = spans.select("key", "kind", "value", (F.col("start") - F.length("before")).alias("from"), F.explode(left).alias("t"))
     b = spans.select("key", "kind", "value", F.col("stop").alias("from"), F.explode(right).alias("t"))
     at = F.col("from") + F.col("t.at")
     return a.union(b).select("key", "kind", "value", "t.term", at.alias("start"), (at + F.col("t.size")).alias("stop"))
 
 
-def disclosing(docs: DataFrame, spans: DataFrame, near: DataFrame, least_docs: int, general: float, remove: float) -> DataFrame:
+def _reached(share: float, n_t: str, n_te: str = "n_te") -> Column:
+    information = F.log2(F.col("n") / F.col("n_e"))
+    return (information > 0) & (F.log2(F.col("n") * F.col(n_te) / (F.col(n_t) * F.col("n_e"))) >= F.lit(share) * information - 1e-9)
+
+
+def verdicts(docs: DataFrame, pair: DataFrame, general: float, remove: float) -> DataFrame:
+    """(kind, value, term, verdict): the pairs (kind, value, term, n_te, n_e, n) over the
+    threshold with the number of all documents with the term."""
+    wanted = small(cut(pair.select("term").distinct(), "terms"))
+    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), TERM + "+"))
+    n_t = docs.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    scored = pair.join(n_t, "term")
+    verdict = F.when(_reached(remove, "n_t"), F.lit(5)).when(_reached(general, "n_t"), F.lit(4))
+    return scored.select("kind", "value", "term", verdict.alias("verdict")).where("verdict is not null")
+
+
+def near_disclosing(docs: DataFrame, spans: DataFrame, near: DataFrame, least_docs: int, general: float, remove: float) -> DataFrame:
     """(kind, value, term, verdict): the pairs over the threshold. Counts are of documents, over
     the whole corpus; only terms that stand near one entity often enough are counted."""
     total = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
@@ -129,29 +148,70 @@ def disclosing(docs: DataFrame, spans: DataFrame, near: DataFrame, least_docs: i
     # The documents with the term near any entity are at most all with the term, so a pair under
     # the threshold with their number is under it for good. Frequent words end here.
     n_near = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    information = F.log2(F.col("n") / F.col("n_e"))
+    pair = n_te.where(F.col("n_te") >= least_docs).join(n_e, ["kind", "value"]).join(n_near, "term").crossJoin(total)
+    return verdicts(docs, cut(pair.where(_reached(general, "n_near")), "pairs"), general, remove)
 
-    def reached(share: float, n_t: str) -> Column:
-        return F.log2(F.col("n") * F.col("n_te") / (F.col(n_t) * F.col("n_e"))) >= F.lit(share) * information - 1e-9
 
-    pair = n_te.where(F.col("n_te") >= least_docs).join(n_e, ["kind", "value"]).join(n_near, "term").crossJoin(total)
-    pair = cut(pair.where((information > 0) & reached(general, "n_near")), "pairs")
-    wanted = small(cut(pair.select("term").distinct(), "terms"))
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), TERM + "+"))
-    n_t = docs.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pair.join(n_t, "term")
-    verdict = F.when(reached(remove, "n_t"), F.lit(5)).when(reached(general, "n_t"), F.lit(4))
-    return scored.select("kind", "value", "term", verdict.alias("verdict")).where("verdict is not null")
+def _words(text: str) -> Column:
+    """The distinct terms of a whole text."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), TERM + "+")), lambda w: F.length(w) >= LEAST_TERM)
 
 
-def all_spans(docs: DataFrame, least_docs: int = LEAST_DOCS, general: float = GENERAL, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+def disclosing(docs: DataFrame, entities: DataFrame, held: DataFrame, least_docs: int, general: float, remove: float) -> DataFrame:
+    """(kind, value, term, verdict): the pairs over the threshold. Counts are of documents, over
+    the whole corpus. ``entities`` (key, kind, value, n_e) are those of at least ``least_docs``
+    documents, ``held`` (key, t) the documents that hold them."""
+    total = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
+    # The documents that hold a term and some entity are at most all with the term, and those
+    # with one entity at most n_e: a pair under the threshold with these numbers is under it for
+    # good, before it is counted. Frequent words end here.
+    held_terms = held.select("key", F.explode(_words("t")).alias("term"))
+    n_held = small(cut(held_terms.groupBy("term").agg(F.count("*").alias("n_held")).where(F.col("n_held") >= least_docs), "held_terms"))
+    both = held_terms.join(n_held, "term").join(entities, "key").crossJoin(total)
+    both = both.where(_reached(general, "n_held", "n_e"))
+    pair = both.groupBy("kind", "value", "term", "n_e", "n_held", "n").agg(F.count("*").alias("n_te"))
+    return verdicts(docs, cut(pair.where((F.col("n_te") >= least_docs) & _reached(general, "n_held")), "pairs"), general, remove)
+
+
+def term_spans(base: DataFrame, entities: DataFrame, held: DataFrame, told: DataFrame) -> DataFrame:
+    """(key, kind, start, stop): every place of a disclosing term in every document that holds
+    its entity, but for those inside a base span. A window is over the words of one text."""
+    told = cut(told, "told")
+    pairs = held.select("key", F.explode(_words("t")).alias("term")).join(told.select("term").distinct(), "term", "left_semi")
+    marks = cut(pairs.join(entities, "key").join(told, ["kind", "value", "term"]).groupBy("key", "term").agg(F.max("verdict").alias("kind")), "marks")
+    texts = held.join(marks.select("key").distinct(), "key", "left_semi")
+    so_far = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    words = texts.select("key", F.posexplode(F.split("t", TERM, -1)).alias("i", "w"))
+    # A separator is one character, so places follow from the lengths.
+    stop = (F.sum(F.length("w") + 1).over(so_far) - 1).cast("long")
+    placed = words.withColumn("stop", stop).where(F.length("w") >= LEAST_TERM)
+    placed = placed.select("key", F.lower("w").alias("term"), (F.col("stop") - F.length("w")).alias("start"), "stop")
+    spans = placed.join(marks, ["key", "term"]).select("key", "kind", "start", "stop")
+    own = base.select(F.col("key").alias("k"), F.col("start").alias("a"), F.col("stop").alias("z"))
+    inside = (F.col("key") == F.col("k")) & (F.col("a") <= F.col("start")) & (F.col("z") >= F.col("stop"))
+    return spans.join(own, inside, "left_anti")
+
+
+def all_spans(docs: DataFrame, least_docs: int = LEAST_DOCS, general: float = GENERAL, remove: float = REMOVE, context: int | None = CONTEXT) -> tuple[DataFrame, DataFrame]:
     """``found`` (doc_id, key), one row per row of ``docs``, and ``spans`` (key, kind, start, stop)."""
-    found = cut(matches(docs), "matches")
+    found = cut(matches(docs, context), "matches")
     base = cut(base_spans(found), "base")
-    near = cut(terms(base), "near")
-    told = disclosing(docs, base, near, least_docs, general, remove)
-    more = near.join(told, ["kind", "value", "term"]).groupBy("key", "start", "stop").agg(F.max("verdict").alias("kind"))
-    return found.select("doc_id", "key"), base.select("key", "kind", "start", "stop").union(more.select("key", "kind", "start", "stop"))
+    own = base.select("key", "kind", "start", "stop")
+    if context is not None:
+        near = cut(terms(base, context), "near")
+        told = near_disclosing(docs, base, near, least_docs, general, remove)
+        more = near.join(told, ["kind", "value", "term"]).groupBy("key", "start", "stop").agg(F.max("verdict").alias("kind"))
+        return found.select("doc_id", "key"), own.union(more.select("key", "kind", "start", "stop"))
+    once = base.select("key", "kind", "value").distinct()
+    # No pair has more documents than its entity.
+    n_e = once.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least_docs)
+    entities = cut(once.join(n_e, ["kind", "value"]), "entities")
+    holders = small(cut(entities.select("key").distinct(), "holders"))
+    held = found.where(F.col("t").isNotNull()).join(holders, "key", "left_semi").dropDuplicates(["key"]).select("key", "t")
+    held = cut(held, "held")
+    told = disclosing(docs, entities, held, least_docs, general, remove)
+    more = term_spans(base, entities, held, told)
+    return found.select("doc_id", "key"), own.union(more)
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:

@@ -39,7 +39,7 @@ def op4_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def op5_disclosure(spark: SparkSession, folder: str) -> DataFrame:
     from quire.llm.disclosure import personal_data
 
-    return personal_data(_documents(spark, folder))
+    return personal_data(_documents(spark, folder), context=None)
 
 
 def op6_line_rules(spark: SparkSession, folder: str) -> DataFrame:

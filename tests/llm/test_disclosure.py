@@ -119,3 +119,62 @@ def test_sanitised(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert personal_data(docs).count() == 0 and sanitised(docs).count() == 0
+
+
+def disclosed_whole(texts):
+    """{text number: term spans} by plain counting over whole texts."""
+    runs = lambda s: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", s)]
+    held = [{x[2] for x in runs(t)} for t in texts]
+    n_t = {w: sum(w in h for h in held) for w in set().union(*held)}
+    found, n = {}, len(texts)
+    for i, t in enumerate(texts):
+        for kind, _, _, value in plain(t):
+            found.setdefault((kind, value), set()).add(i)
+    out = {}
+    for docs in found.values():
+        e = len(docs)
+        if e == n:
+            continue
+        for w in set().union(*(held[i] for i in docs)):
+            k = sum(w in held[i] for i in docs)
+            pmi, ic = math.log2(n * k / (n_t[w] * e)), math.log2(n / e)
+            kind = "remove" if pmi >= ic - 1e-9 else "general" if pmi >= 0.8 * ic - 1e-9 else None
+            if kind is None or k < 3 or len(w) < 3:
+                continue
+            for i in docs:
+                own = [(a, b) for _, a, b, _ in plain(texts[i])]
+                for a, b, x in runs(texts[i]):
+                    if x == w and not any(s <= a and b <= z for s, z in own):
+                        old = out.setdefault(i, {}).get((a, b))
+                        out[i][a, b] = "remove" if "remove" in (old, kind) else kind
+    return out
+
+
+def test_whole_documents(spark):
+    rng = random.Random(9)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    texts = corpus() + [f"Wilhelmina \U0001F600 Öztürk {filler(60)} office {filler(60)} WILHELMINA {filler(60)} mail wo@firm.example" for _ in range(4)]
+    texts += [f"office {filler(30)}", texts[-1].replace("Wilhelmina", "")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    more, seen = disclosed_whole(texts), set()
+    for r in personal_data(docs, context=None).collect():
+        t = texts[r.doc_id]
+        base = sorted((KINDS.index(k), a, b) for k, a, b, _ in plain(t))
+        extra = sorted((KINDS.index(k), a, b) for (a, b), k in more.get(r.doc_id, {}).items())
+        seen |= {t[a:b] for _, a, b in extra}
+        assert r.spans == ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in base + extra)
+    assert {"Wilhelmina", "WILHELMINA", "Öztürk", "office", "Zebulon"} <= seen
+    for r in sanitised(docs, context=None).collect():
+        if "wo@firm.example" in texts[r.doc_id]:
+            assert "wilhelmina" not in r.text.lower() and "Öztürk" not in r.text and "[EMAIL]" in r.text
+
+
+def test_query_reads_whole_documents(spark, tmp_path):
+    from quire.llm.queries import op5_disclosure
+
+    rng = random.Random(10)
+    filler = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    texts = [f"Wilhelmina {filler()} mail wo@firm.example" for _ in range(4)] + [filler() for _ in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in op5_disclosure(spark, str(tmp_path)).collect()}
+    assert all("remove:0:10" in got[i] for i in range(4)) and not any(got[i] for i in range(4, 34))
