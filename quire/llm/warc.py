@@ -16,7 +16,6 @@ from quire.llm.common import cut, fresh_path
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
-HEAD_BYTES = 1 << 16  # no header block is longer
 SMALLEST_REVISIT = 100
 ARCHIVE_BYTES = 32 << 20
 
@@ -24,6 +23,7 @@ FOUND = (
     "file string, at long, next long, record_id string, record_type string, refers_to string, "
     "url string, page_id long, payload_bytes long, payload_digest string, stated_digest string"
 )
+PLACED = FOUND + ", file_bytes long"
 
 
 def record_types(pages: DataFrame, least_bytes: int = SMALLEST_REVISIT) -> DataFrame:
@@ -85,7 +85,7 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
 
 def parse_at(data: bytes, at: int):
     """The record that the magic at ``at`` would start, as (next, headers, payload span), or None."""
-    stop = data.find(END, at, at + HEAD_BYTES)
+    stop = data.find(END, at)
     if stop < 0:
         return None
     heads = {}
@@ -105,7 +105,10 @@ def parse_at(data: bytes, at: int):
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Every place in every archive that looks like a record, true or inside a payload, with
-    the place of its successor. One file is one row; files are bounded by their writer."""
+    the place of its successor. One file is one row; files are bounded by their writer.
+
+    A record starts the file or follows a record's end, so other magic is passed over. An end
+    then stands between any two candidates, and their headers, of any length, are read once."""
 
     def run(frames):
         for frame in frames:
@@ -113,6 +116,8 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
                 rows = []
                 for hit in re.finditer(re.escape(MAGIC), data):
+                    if hit.start() and data[hit.start() - len(END) : hit.start()] != END:
+                        continue
                     found = parse_at(data, hit.start())
                     if found is None:
                         continue
@@ -123,21 +128,23 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((
                         file, hit.start(), nxt, get(b"warc-record-id"), get(b"warc-type"), get(b"warc-refers-to"),
                         url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
-                        int(page) if page else None, b - a, hashlib.sha256(memoryview(data)[a:b]).hexdigest(), digest and digest.rpartition(":")[2],
+                        int(page) if page else None, b - a, hashlib.sha256(memoryview(data)[a:b]).hexdigest(), digest and digest.rpartition(":")[2], len(data),
                     ))
+                if data and (not rows or rows[0][1] != 0):
+                    raise ValueError(f"{file}: no record at the start")
                 for i in range(0, len(rows), 10_000):
                     yield _frame(rows[i : i + 10_000])
 
-    names = [x.split()[0] for x in FOUND.split(", ")]
+    names = [x.split()[0] for x in PLACED.split(", ")]
 
     def _frame(rows):
         out = pd.DataFrame(rows, columns=names)
-        for c in ("at", "next", "page_id", "payload_bytes"):
+        for c in ("at", "next", "page_id", "payload_bytes", "file_bytes"):
             out[c] = out[c].astype("Int64")
         return out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInPandas(run, FOUND)
+    return files.mapInPandas(run, PLACED)
 
 
 def reachable(at: np.ndarray, nxt: np.ndarray, start: int = 0) -> np.ndarray:
@@ -162,12 +169,16 @@ def reachable(at: np.ndarray, nxt: np.ndarray, start: int = 0) -> np.ndarray:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records that the chain from the start of each file reaches. Magic inside a payload
     has a successor too, but nothing reachable leads to it. A group is the candidates of one
-    archive, bounded by the archive's size."""
+    archive, bounded by the archive's size. A chain that does not end where its file ends is an
+    error, as the records behind it would be lost."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
         keep = reachable(pdf["at"].to_numpy(np.int64), pdf["next"].to_numpy(np.int64))
-        return pdf[keep]
+        last, size = pdf["next"][keep].max(), pdf["file_bytes"].iloc[0]
+        if last != size:
+            raise ValueError(f"{pdf['file'].iloc[0]}: the records end at byte {last} of {size}")
+        return pdf[keep].drop(columns="file_bytes")
 
     return candidates(spark, path).groupBy("file").applyInPandas(run, FOUND)
 

@@ -2,6 +2,7 @@ import gzip
 import random
 
 import numpy as np
+import pytest
 
 from quire.llm.common import components, written
 from quire.llm.simhash import fingerprint, links, near_duplicates, without_near_duplicates
@@ -95,3 +96,24 @@ def test_round_trip(spark):
         hits = [r for r in got if r.page_id == i and r.payload_digest == sha(data)]
         assert hits and all((r.payload_bytes, r.record_type, r.refers_to, r.url) == (len(data), "revisit" if again else "response", min(same) if again else None, u) for r in hits)
     assert resolved(read_archives(spark, write_archives(pages.limit(0)))).count() == 0
+
+
+def test_long_url(spark):
+    urls = ["u", "data:," + "%" * 25_000, "data:," + "x" * 65_536 + "\n", "v" * 300_000, "w"]
+    same = "<p>" + "y" * 200
+    rows = [(i, u, same if i % 3 == 0 else f"page {i}") for i, u in enumerate(urls * 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r for r in resolved(read_archives(spark, write_archives(pages))).collect()}
+    assert len(got) == len(rows) and all(r.verified for r in got.values())
+    for i, u, h in rows:
+        assert (got[i].url, got[i].payload_digest, got[i].payload_bytes) == (u, sha(h.encode()), len(h))
+
+
+def test_broken_chain(spark, tmp_path):
+    rec = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for i, data in enumerate((rec + b"lost", rec + rec.replace(b": 3", b": 4") + rec, b"lost" + rec)):
+        path = tmp_path / str(i)
+        path.mkdir()
+        (path / "a.gz").write_bytes(gzip.compress(data))
+        with pytest.raises(Exception, match="records end at byte|no record at the start"):
+            read_archives(spark, str(path)).collect()
