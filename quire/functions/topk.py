@@ -122,10 +122,9 @@ def _dense_part(vectors: DataFrame, id: str, vector: str, queries: DataFrame, ba
 
 def nearest_prototype(vectors: DataFrame, vector: str, prototypes: DataFrame, threshold: float, k: int = 1, default: str = "general") -> DataFrame:
     """Names of the up to k prototypes most similar to each vector with similarity above the
-    threshold, best first; ``default`` if none. Prototypes are a bounded table."""
-    batch = prototypes.limit(MAX_QUERIES + 1).toPandas().sort_values("name").reset_index(drop=True)
-    if len(batch) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} prototypes; classify in groups")
+    threshold, best first; ``default`` if none. All prototypes go to each task; they are scored
+    ``MAX_QUERIES`` at a time and the best of the parts merged."""
+    batch = prototypes.toPandas().sort_values("name").reset_index(drop=True)
     names = batch["name"].to_numpy()
     p = np.vstack(batch["vector"].to_numpy()).astype("float64")
     size = np.linalg.norm(p, axis=1, keepdims=True)
@@ -135,11 +134,18 @@ def nearest_prototype(vectors: DataFrame, vector: str, prototypes: DataFrame, th
     def match(column: pd.Series) -> pd.Series:
         v = np.vstack(column.to_numpy()).astype("float64")
         norm = np.linalg.norm(v, axis=1, keepdims=True)
-        sim = np.round(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ p.T, DIGITS)
+        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+        best, at = np.empty((len(v), 0)), np.empty((len(v), 0), np.int64)
+        for start in range(0, len(p), MAX_QUERIES):
+            # Earlier parts come first, so equal similarities stay in the order of the names.
+            part = np.round(v @ p[start : start + MAX_QUERIES].T, DIGITS)
+            top = np.argsort(-part, axis=1, kind="stable")[:, :k]
+            best, at = np.hstack([best, np.take_along_axis(part, top, 1)]), np.hstack([at, top + start])
+            top = np.argsort(-best, axis=1, kind="stable")[:, :k]
+            best, at = np.take_along_axis(best, top, 1), np.take_along_axis(at, top, 1)
         out = []
-        for row in sim:
-            order = np.argsort(-row, kind="stable")[:k]
-            hit = [{"name": names[i], "similarity": float(row[i])} for i in order if row[i] > threshold]
+        for row, order in zip(best, at):
+            hit = [{"name": names[i], "similarity": float(s)} for s, i in zip(row, order) if s > threshold]
             out.append(hit or [{"name": default, "similarity": 0.0}])
         return pd.Series(out)
 

@@ -192,3 +192,19 @@ def test_copies_are_embedded_once(spark):
     assert embed.embed_distinct(df, "t", count).count() == 10
     embed.embed_distinct(df, "t", count).collect()
     assert seen.value <= 4
+
+
+def test_quota_beyond_place_100(spark, rows):
+    data = [(i, "click", 1000.0 - i) for i in range(300)] + [(300 + i, "error", 10.0 - i) for i in range(5)] + [(400, None, 1.0)]
+    df = spark.createDataFrame(data, "id long, kind string, value double").repartition(4)
+    got = retrieval.quota_pick(df, "kind", {"error": 2, "click": 4}, {"click": 6}, 9, [F.desc("value"), F.col("id")])
+    want = [(0, 1), (1, 1), (2, 1), (3, 1), (300, 1), (301, 1), (4, 2), (5, 2), (302, 2)]
+    assert rows(got, "pick", "id", "phase") == sorted(((n + 1, i, p) for n, (i, p) in enumerate(want)), key=repr)
+
+
+def test_many_prototypes(spark):
+    v = np.random.default_rng(6).normal(size=(4500, 16)).tolist()
+    names = spark.createDataFrame([(f"p{i:05d}", x) for i, x in enumerate(v)] + [("q", v[7])], "name string, vector array<double>")
+    asked = spark.createDataFrame([(i, v[i]) for i in (7, 2100, 4400)], "id int, vector array<double>")
+    got = {r.id: [m.name for m in r.matches] for r in topk.nearest_prototype(asked, "vector", names, 0.5, 2).collect()}
+    assert got[7] == ["p00007", "q"] and got[2100][0] == "p02100" and got[4400][0] == "p04400"
