@@ -78,9 +78,24 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return resolved(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.lexical import ranked
+
+    return ranked(_documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.merkle import manifest
+
+    return manifest(_documents(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_index, op2_simhash, op3_language, op4_vectors, op5_disclosure, op6_line_rules, op7_mixing, op8_byte_bpe, op9_passages, op10_warc)
+    for f in (
+        op1_suffix_index, op2_simhash, op3_language, op4_vectors, op5_disclosure, op6_line_rules, op7_mixing, op8_byte_bpe, op9_passages, op10_warc,
+        op11_lexical, op12_merkle,
+    )
 }
 
 SQL = {
@@ -134,4 +149,40 @@ select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
   case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
   case when n >= 100 and page_id <> first then first end as refers_to
 from p left join f using (d)""",
+    "op11_lexical": r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from t group by all),
+n as (select doc_id, cast(sum(tf) as bigint) as n from tf group by all),
+c as (select count(*) as docs, cast(sum(n) as bigint) as l from n),
+w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, c group by term, docs),
+q as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+qt as (select item_id, term, count(*) as times from q group by all),
+s as (select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // l))))) as bigint) as score
+  from qt join tf using (term) join w using (term) join n using (doc_id), c group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0
+qualify rank <= 10""",
+    "op12_merkle": """
+with recursive d as (select row_number() over () as rid, *, coalesce(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_value(0, 0, 0, 0, 0, 0, 0, 0)::bigint[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 5 = 0, false) as bad,
+    concat(coalesce(len(doc_id::varchar) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(len(n_chars::varchar) || ':' || n_chars, '-')) as head,
+    coalesce(octet_length(encode(text)) || ':', '-') as size from documents),
+f as (select rid, doc_id, source, sha256(concat(head, size, text)) as leaf,
+    case when bad then sha256(concat(head, size, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) end as changed from d),
+p as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from f),
+t as (select source, 0 as k, pos, n, leaf as node from p
+  union all select source, k + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' order by pos)) from t where n > 1 group by source, k, pos // 16, n),
+s as (select source, node as subroot, row_number() over (order by source nulls first) - 1 as seat, count(*) over () as n from t where n = 1),
+g as (select 0 as k, seat as pos, n, subroot as node from s
+  union all select k + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' order by pos)) from g where n > 1 group by k, pos // 16, n),
+tr as (select source, k, pos // 16 as run, list(node order by pos) as nodes from t where n > 1 group by all),
+gr as (select k, pos // 16 as run, list(node order by pos) as nodes from g where n > 1 group by all),
+steps as (select rid, 0 as tier, k, nodes, (pos >> (4 * k)) % 16 as own from p join tr on p.source is not distinct from tr.source and run = pos >> (4 * k + 4)
+  union all select rid, 1, k, nodes, (seat >> (4 * k)) % 16 from p join s on p.source is not distinct from s.source join gr on run = seat >> (4 * k + 4)),
+sides as (select rid, row_number() over (partition by rid order by tier, k) as i, array_to_string(nodes[1:own], '') as l, array_to_string(nodes[own + 2:16], '') as r from steps),
+fold as (select rid, 1 as i, coalesce(changed, leaf) as node from f union all select rid, i + 1, sha256(l || node || r) from fold join sides using (rid, i)),
+done as (select rid, arg_max(node, i) as folded_root from fold group by rid),
+proof as (select rid, sha256(string_agg(l || r, '' order by i)) as proof from sides group by rid)
+select doc_id, leaf, subroot, g.node as root, coalesce(proof, sha256('')) as proof_sha256, folded_root, folded_root = g.node as verified
+from p join s on p.source is not distinct from s.source join done using (rid) left join proof using (rid), g where g.n = 1""",
 }
