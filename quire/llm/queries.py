@@ -90,11 +90,17 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(_documents(spark, folder))
 
 
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.llm.toxicity import toxicity
+
+    return toxicity(_documents(spark, folder), table(spark, folder, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_index, op2_simhash, op3_language, op4_vectors, op5_disclosure, op6_line_rules, op7_mixing, op8_byte_bpe, op9_passages, op10_warc,
-        op11_lexical, op12_merkle,
+        op11_lexical, op12_merkle, op13_toxicity,
     )
 }
 
