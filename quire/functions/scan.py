@@ -1,16 +1,18 @@
 """Ordered work per key that does not put a whole key into one task.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here a
-timeline is cut into slices by a value that never decreases along the order (a minute,
-a block of ids). Rows are grouped by (key, slice); only slice summaries, one row per
-slice, are windowed by key. Two forms cover the needs:
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here rows are dealt
+by ranges of (key, order), so that a key spreads by its number of rows, and a range is a slice.
+Rows are grouped by (key, slice); what passes between slices is small. Two forms cover the needs:
 
 * ``running``: a prefix aggregate is the aggregate of the earlier slices plus the
   prefix inside the slice;
 * ``halo``: a frame of n rows before or after needs only the n border rows of the
   neighbouring slices, which are copied in and marked as ghosts.
 
-Both are exact for any slicing; slices only decide the balance.
+Only a key that a range cuts has work between its slices: at most two keys a slice, known when
+the rows are placed. A caller that has slices of its own may name them by an expression that
+never decreases along the order. Both forms are exact for any slicing; slices only decide the
+balance.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 SLICE = "_slice"
 GHOST = "_ghost"
 MINUTE = 60_000_000
@@ -77,14 +81,57 @@ def _merge(kind: str, carried: Column, own: Column) -> Column:
 
 @dataclass(frozen=True)
 class Timeline:
-    """Keys, a total order inside the key, and the slice expression."""
+    """Keys, a total order inside the key, and the slice expression if there is one. Without it
+    rows are placed by ranges: one shuffle, whose result is written, as the ranges of a second
+    run may differ."""
 
     keys: Sequence[str]
     order: Sequence[str]
-    slice: str
-
-    def sliced(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(SLICE, F.expr(self.slice))
+    slice: str | None = None
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """Rows with their slice; rows that have one keep it, so steps can follow each other.
+        Slices of keys that go on in another slice are odd."""
+        if SLICE in df.columns:
+            return df
+        if self.slice is not None:
+            return df.withColumn(SLICE, F.expr(self.slice))
+        by = [F.col(c).asc() for c in (*self.keys, *self.order)]
+        if not by:
+            raise ValueError("a timeline needs a key or an order")
+        dealt = cut(df.repartitionByRange(*by).withColumn(SLICE, F.spark_partition_id().cast("long") * 2))
+        shared = self._shared(dealt)
+        if shared is None:
+            return dealt.withColumn(SLICE, F.col(SLICE).alias(SLICE, metadata={"whole": True}))
+        if not self.keys:
+            return dealt.withColumn(SLICE, F.col(SLICE) + 1)
+        known = F.broadcast(shared.select(*[F.col(k).alias(f"_s_{k}") for k in self.keys], F.lit(1).alias("_odd")))
+        match = F.lit(True)
+        for k in self.keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+        odd = F.col(SLICE) + F.coalesce(F.col("_odd"), F.lit(0))
+        return dealt.join(known, match, "left").withColumn(SLICE, odd).select(*dealt.columns)
+
+    def _shared(self, dealt: DataFrame) -> DataFrame | None:
+        """The keys that lie in more than one slice, fewer than there are slices; None if none.
+        They are the last key of a slice and the first of a later one."""
+        spark = dealt.sparkSession
+        if not self.keys:
+            return spark.range(1) if dealt.select(SLICE).distinct().limit(2).count() > 1 else None
+        key = F.struct(*self.keys)
+        ends = dealt.groupBy(SLICE).agg(F.min(key).alias("a"), F.max(key).alias("z"))
+        both = ends.select(SLICE, F.explode(F.array("a", "z")).alias("k")).distinct()
+        rows = both.groupBy("k").count().where("count > 1").select("k.*").collect()
+        return spark.createDataFrame(rows, dealt.select(*self.keys).schema) if rows else None
+
+    def _between(self, rows: DataFrame) -> DataFrame | None:
+        """The rows whose keys have work between slices. The filter is on the keys of every
+        window here, so Spark applies it where the placed rows are read."""
+        if self.slice is not None:
+            return rows
+        if rows.schema[SLICE].metadata.get("whole"):
+            return None
+        return rows.where(F.col(SLICE) % 2 == 1)
 
     def window(self, reverse: bool = False):
         order = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
@@ -96,9 +143,15 @@ class Timeline:
         """Add prefix aggregates; ``name=(kind, column)`` with kind sum, count, max, min or
         last (latest value that is not null). ``reverse`` runs from the end, ``strict``
         leaves out the row itself."""
-        rows = self.sliced(df)
+        rows = self.placed(df)
+        frame = self.window(reverse).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+        own = {n: (F.count(value) if kind == "count" else _over(kind, value)).over(frame) for n, (kind, value) in specs.items()}
+        between = self._between(rows)
+        if between is None:
+            none = {n: F.coalesce(own[n], F.lit(0)) if kind == "count" else own[n] for n, (kind, _) in specs.items()}
+            return rows.withColumns(none).select(*df.columns, *specs)
         order = F.struct(*self.order)
-        parts = rows.groupBy(*self.keys, SLICE).agg(
+        parts = between.groupBy(*self.keys, SLICE).agg(
             *[_agg(kind, value, order, reverse).alias(f"_p_{n}") for n, (kind, value) in specs.items()]
         )
         along = F.col(SLICE).desc() if reverse else F.col(SLICE).asc()
@@ -113,28 +166,34 @@ class Timeline:
         match = F.col(SLICE).eqNullSafe(F.col("_c_slice"))
         for k in self.keys:
             match = match & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-        joined = rows.join(carry, match, "left")
-        frame = self.window(reverse).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-        added = {}
-        for n, (kind, value) in specs.items():
-            own = F.count(value) if kind == "count" else _over(kind, value)
-            added[n] = _merge(kind, F.col(f"_c_{n}"), own.over(frame))
+        # By ranges there are at most two rows a slice.
+        joined = rows.join(carry if self.slice is not None else F.broadcast(carry), match, "left")
+        added = {n: _merge(kind, F.col(f"_c_{n}"), own[n]) for n, (kind, _) in specs.items()}
         return joined.withColumns(added).select(*df.columns, *specs)
 
     def numbered(self, df: DataFrame, name: str = "rn", *, reverse: bool = False) -> DataFrame:
         """Exact row number along the order."""
         return self.running(df, reverse=reverse, **{name: ("count", F.lit(1))})
 
+    def previous(self, df: DataFrame, columns: Sequence[str], name: str = "prev_{}") -> DataFrame:
+        """Add the columns of the row before (null at the start)."""
+        rows = self.running(df, strict=True, _before=("last", F.struct(*columns)))
+        return rows.withColumns({name.format(c): F.col(f"_before.{c}") for c in columns}).drop("_before")
+
     def halo(self, df: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
         """Rows with their slice, plus border rows of the neighbours marked in ``_ghost``.
         Evaluate frames of at most ``before``/``after`` rows over ``window()``, then keep
         ``~_ghost``."""
-        rows = self.sliced(df)
+        rows = self.placed(df)
         out = rows.withColumn(GHOST, F.lit(False))
+        between = self._between(rows)
+        if between is None:
+            return out
+        columns = [c for c in df.columns if c != SLICE]
         if after:
-            out = out.unionByName(self._border(rows, df.columns, after, ahead=True))
+            out = out.unionByName(self._border(between, columns, after, ahead=True))
         if before:
-            out = out.unionByName(self._border(rows, df.columns, before, ahead=False))
+            out = out.unionByName(self._border(between, columns, before, ahead=False))
         return out
 
     def _border(self, rows: DataFrame, columns: Sequence[str], n: int, ahead: bool) -> DataFrame:
@@ -152,13 +211,11 @@ class Timeline:
 
     def islands(self, df: DataFrame, value: Column, name: str = "island") -> DataFrame:
         """Number the runs of equal consecutive ``value`` (null equals null), from 1."""
-        flagged = self.halo(df.withColumn("_value", value), before=1)
-        w = self.window()
-        start = F.when(
-            F.lag("_value").over(w).eqNullSafe(F.col("_value")) & (F.lag(F.lit(1)).over(w) == 1), 0
-        ).otherwise(1)
-        marked = flagged.withColumn("_start", start).where(~F.col(GHOST)).drop(SLICE, GHOST, "_value")
-        return self.running(marked, **{name: ("sum", F.col("_start"))}).drop("_start")
+        rows = self.placed(df.withColumn("_value", value))
+        rows = self.running(rows, strict=True, _before=("last", F.struct("_value")))
+        start = F.when(F.col("_before").isNotNull() & F.col("_before._value").eqNullSafe(F.col("_value")), 0).otherwise(1)
+        marked = rows.withColumn("_start", start).drop("_value", "_before")
+        return self.running(marked, **{name: ("sum", F.col("_start"))}).select(*df.columns, name)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:

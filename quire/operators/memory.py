@@ -182,13 +182,7 @@ def relation(score: Column, new_text: Column, old_text: Column) -> Column:
 
 def with_previous(df: DataFrame, line: Timeline, columns: Sequence[str]) -> DataFrame:
     """Add ``prev_<column>`` from the row before on the timeline (null at the start)."""
-    w = line.window()
-    rows = line.halo(df, before=1)
-    return (
-        rows.select(*rows.columns, *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
-        .where(~F.col(GHOST))
-        .drop(SLICE, GHOST)
-    )
+    return line.previous(df, columns)
 
 
 # --- merging and superseding -----------------------------------------------------------
@@ -301,12 +295,12 @@ def expired(ts: Column, reuse: Column, confidence: Column, as_of: Column, max_ag
     return (age_days(ts, as_of) > max_age_days) & (reuse == 0) & (confidence < 0.9)
 
 
-def over_capacity(df: DataFrame, id: str, value: str, slice: str, cap: int) -> DataFrame:
+def over_capacity(df: DataFrame, id: str, value: str, cap: int) -> DataFrame:
     """The rows to remove when there are more than ``cap``: the max(excess, 20 %) of lowest
-    value, ties by id. Ranks are exact and computed slice by slice."""
+    value, ties by id. Ranks are exact and computed range by range."""
     total = df.agg(F.count(F.lit(1))).scalar()
     drop = F.when(total > cap, F.greatest(total - cap, F.floor(total * 0.2))).otherwise(0)
-    return Timeline((), (value, id), slice).numbered(df, "rank").where(F.col("rank") <= drop)
+    return Timeline((), (value, id)).numbered(df, "rank").where(F.col("rank") <= drop)
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: int = 20) -> DataFrame:
@@ -327,16 +321,17 @@ def chain_signature(steps: Column) -> Column:
 
 def chain_steps(df: DataFrame, line: Timeline, tool: str) -> DataFrame:
     """The same in long form for rounds of any length: numbered steps without repeats."""
-    rows = with_previous(df, line, [tool])
-    return line.numbered(rows.where(~F.col(tool).eqNullSafe(F.col(f"prev_{tool}"))).drop(f"prev_{tool}"), "step")
+    rows = with_previous(line.placed(df), line, [tool])
+    kept = rows.where(~F.col(tool).eqNullSafe(F.col(f"prev_{tool}"))).drop(f"prev_{tool}")
+    return line.numbered(kept, "step").drop(SLICE)
 
 
 def sessions(df: DataFrame, line: Timeline, ts: str, gap_micros: int, name: str = "session") -> DataFrame:
     """Number the sessions of each key: a gap of at least ``gap_micros`` starts a new one."""
-    rows = with_previous(df, line, [ts])
+    rows = with_previous(line.placed(df), line, [ts])
     gap = F.unix_micros(ts) - F.unix_micros(f"prev_{ts}")
     start = F.when(gap < gap_micros, 0).otherwise(1)
-    return line.running(rows, **{name: ("sum", start)}).drop(f"prev_{ts}")
+    return line.running(rows, **{name: ("sum", start)}).drop(f"prev_{ts}", SLICE)
 
 
 def whole_round_chain(df: DataFrame, keys: Sequence[str], line_order: Sequence[str], tool: str) -> DataFrame:
@@ -524,9 +519,10 @@ def count_change(df: DataFrame, key: str, before: Column) -> DataFrame:
 
 def versions(df: DataFrame, line: Timeline, value: str) -> DataFrame:
     """Number the snapshots of each key and give the change from the one before."""
-    rows = with_previous(df, line, [value])
-    numbered = line.numbered(rows, "version")
-    return numbered.withColumn("delta", F.col(value) - F.col(f"prev_{value}"))
+    rows = line.running(df, strict=True, _before=("last", F.struct(value)), _n=("count", F.lit(1)))
+    before = F.col(f"_before.{value}")
+    added = {f"prev_{value}": before, "version": F.col("_n") + 1, "delta": F.col(value) - before}
+    return rows.withColumns(added).drop("_before", "_n")
 
 
 def params_diff(df: DataFrame, key: str, params: str, first: int, second: int) -> DataFrame:

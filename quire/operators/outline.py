@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.rules import all_issues, missing, repeated, rule
-from quire.functions.scan import Timeline, each, id_slice, top_rows
+from quire.functions.scan import Timeline, each, top_rows
 from quire.functions.spans import let
 from quire.functions.text import unless
 
@@ -191,7 +191,7 @@ def takeaway(text: Column, most: int = 42) -> Column:
     return let(sentence, build)
 
 
-def first_of_title(df: DataFrame, group: Sequence[str], title: Column, order: Sequence[str], slice: str, message: Column) -> DataFrame:
+def first_of_title(df: DataFrame, group: Sequence[str], title: Column, order: Sequence[str], slice: str | None, message: Column) -> DataFrame:
     """First row of a title in its group keeps it; later ones take the lead clause of their
     message, unless that is empty or already a title of the group."""
     rows = df.withColumn("_key", bare(title))
@@ -228,7 +228,7 @@ def source_order(slides: DataFrame, sections: DataFrame) -> DataFrame:
     n = F.coalesce("_n", F.lit(0))
     rank = F.when(F.col("page_role") == "title", -1).when(F.col("page_role") == "closing", n + 2).otherwise(F.coalesce("_at", n))
     ranked = rows.withColumn("_rank", rank)
-    line = Timeline(("doc_id",), ("_rank", "pos"), id_slice("_rank", 64))
+    line = Timeline(("doc_id",), ("_rank", "pos"))
     out = line.numbered(ranked, "_new")
     return out.withColumns(
         {"moved": F.col("_new") != F.col("pos") + 1, "pos": F.col("_new") - 1, "slide_id": F.format_string("slide_%03d", "_new")}
@@ -275,7 +275,7 @@ def standalone_pages(unassigned: DataFrame, content_counts: DataFrame, ratio: fl
     phased = ranked.join(content_counts, "doc_id", "left").withColumn(
         "budget", F.when(F.coalesce("content", F.lit(0)) == 0, 1).otherwise(F.floor(F.col("content") * ratio))
     )
-    line = Timeline(("doc_id",), ("_phase", "_a", "_b", "order"), id_slice("_phase", 1))
+    line = Timeline(("doc_id",), ("_phase", "_a", "_b", "order"))
     rows = phased.withColumns({"_phase": F.when(F.col("nth") == 1, 0).otherwise(1), "_a": -F.col("nearby"), "_b": -F.length("caption")})
     return line.numbered(rows, "_n").where(F.col("_n") <= F.col("budget")).select(*unassigned.columns)
 
@@ -295,7 +295,7 @@ def outline_issues(
         sections.select("doc_id", F.col("section_id").alias("section_ref"), F.col("pos").alias("_sec"), F.trim("title").alias("_title")),
         ["doc_id", "section_ref"], "left",
     )
-    line = Timeline(("doc_id",), ("pos",), id_slice("pos", 1024))
+    line = Timeline(("doc_id",), ("pos",))
     counts = refs.groupBy(*key).agg(F.count(F.lit(1)).alias("refs"), F.count_if(F.col("kind") == "figure").alias("figures"))
     units = visuals.withColumn("_u", visual_cost()).groupBy(*key).agg(F.sum("_u").alias("units"))
     full = titled.join(counts, key, "left").join(units, key, "left").na.fill({"refs": 0, "figures": 0, "units": 0})

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scan import GHOST, Timeline, time_slice
+from quire.functions.scan import GHOST, Timeline
 from quire.functions.text import unless
 
 # Tool classes, look-ahead length and comparison tolerance.
@@ -48,16 +48,14 @@ class ToolClasses:
         return F.col("tool_name").isin(*tools) & ~F.col("is_error")
 
 
-def call_line(micros: int = 60_000_000) -> Timeline:
-    return Timeline(("run_id", "task_idx"), ("ts", "call_idx"), time_slice("ts", micros))
+CALL_LINE = Timeline(("run_id", "task_idx"), ("ts", "call_idx"))
 
 
 def verified_ahead(calls: DataFrame, tools: ToolClasses = ToolClasses()) -> DataFrame:
     """Per call: successful edit, and whether a good verify follows within the window."""
-    line = call_line()
-    w = line.window().rowsBetween(1, tools.window)
+    w = CALL_LINE.window().rowsBetween(1, tools.window)
     return (
-        line.halo(calls, after=tools.window)
+        CALL_LINE.halo(calls, after=tools.window)
         .withColumn("edit_ok", tools.ok(tools.change))
         .withColumn("verified", F.col("edit_ok") & F.coalesce(F.max(tools.ok(tools.verify)).over(w), F.lit(False)))
         .where(~F.col(GHOST))
@@ -67,18 +65,25 @@ def verified_ahead(calls: DataFrame, tools: ToolClasses = ToolClasses()) -> Data
 
 def closed_loops(calls: DataFrame, tools: ToolClasses = ToolClasses()) -> DataFrame:
     """Per task: a verify after the last good edit, and a good finalize after the last verify."""
+    return _closed(calls.groupBy("run_id", "task_idx").agg(*_lasts(tools))).select(
+        "run_id", "task_idx", "calls", "has_edit", "has_verify", "safe_finalize"
+    )
+
+
+def _lasts(tools: ToolClasses) -> list[Column]:
     at = F.struct("ts", "call_idx")
-    last = calls.groupBy("run_id", "task_idx").agg(
+    return [
         F.max(F.when(tools.ok(tools.change), at)).alias("edit"),
         F.max(F.when(tools.ok(tools.verify), at)).alias("verify"),
         F.max(F.when(tools.ok(tools.finalize), at)).alias("final"),
         F.count(F.lit(1)).alias("calls"),
-    )
+    ]
+
+
+def _closed(last: DataFrame) -> DataFrame:
     verified = F.coalesce(F.col("verify") > F.col("edit"), F.lit(False))
     return last.select(
-        "run_id",
-        "task_idx",
-        "calls",
+        "*",
         F.col("edit").isNotNull().alias("has_edit"),
         verified.alias("has_verify"),
         (verified & F.coalesce(F.col("final") > F.col("verify"), F.lit(False))).alias("safe_finalize"),
@@ -87,30 +92,33 @@ def closed_loops(calls: DataFrame, tools: ToolClasses = ToolClasses()) -> DataFr
 
 def first_edit_time(calls: DataFrame, tools: ToolClasses = ToolClasses()) -> DataFrame:
     """Per task: time spent up to and with the first good edit, in seconds (null if none)."""
+    return _spent(calls, tools).groupBy("run_id", "task_idx").agg(_first_edit(tools))
+
+
+def _spent(calls: DataFrame, tools: ToolClasses) -> DataFrame:
     counted = F.when(~F.col("tool_name").isin(*tools.first_edit_excluded), F.col("duration_ms")).otherwise(0.0)
-    spent = call_line().running(calls, spent_ms=("sum", counted))
-    return spent.groupBy("run_id", "task_idx").agg(
-        (F.min_by("spent_ms", F.when(tools.ok(tools.change), F.struct("ts", "call_idx"))) / 1000).alias(
-            "first_edit_s"
-        )
-    )
+    return CALL_LINE.running(calls, spent_ms=("sum", counted))
+
+
+def _first_edit(tools: ToolClasses) -> Column:
+    first = F.min_by("spent_ms", F.when(tools.ok(tools.change), F.struct("ts", "call_idx")))
+    return (first / 1000).alias("first_edit_s")
 
 
 def run_metrics(calls: DataFrame, is_modify: Column | None = None, tools: ToolClasses = ToolClasses()) -> DataFrame:
-    """One row per run: task counts, closed-loop rate, verified share, first edit and core time."""
+    """One row per run: task counts, closed-loop rate, verified share, first edit and core time.
+    Calls are placed once; one pass over them gives every figure of a task."""
     is_modify = F.col("task_idx") >= 2 if is_modify is None else is_modify
-    per_call = verified_ahead(calls, tools)
+    per_call = verified_ahead(_spent(CALL_LINE.placed(calls), tools), tools)
     core = F.when(~F.col("tool_name").isin(*tools.core_excluded), F.col("duration_ms")).otherwise(0.0)
     per_task = per_call.groupBy("run_id", "task_idx").agg(
         F.sum(core).alias("core_ms"),
         F.count_if("edit_ok").alias("edits"),
-        F.count_if("verified").alias("verified"),
-    )
-    tasks = (
-        per_task.join(closed_loops(calls, tools), ["run_id", "task_idx"])
-        .join(first_edit_time(calls, tools), ["run_id", "task_idx"])
-        .withColumn("modify", is_modify)
+        F.count_if("verified").alias("good"),
+        _first_edit(tools),
+        *_lasts(tools),
     )
+    tasks = _closed(per_task).withColumn("modify", is_modify)
     return tasks.groupBy("run_id").agg(
         F.count_if("modify").alias("modify_tasks"),
         F.count(F.lit(1)).alias("tasks"),
@@ -118,7 +126,7 @@ def run_metrics(calls: DataFrame, is_modify: Column | None = None, tools: ToolCl
         (F.count_if(F.col("modify") & F.col("safe_finalize")) / unless(F.count_if("modify"), F.lit(0))).alias(
             "closed_loop"
         ),
-        (F.sum("verified") / unless(F.sum("edits"), F.lit(0))).alias("strict_verify"),
+        (F.sum("good") / unless(F.sum("edits"), F.lit(0))).alias("strict_verify"),
         F.avg(F.when(F.col("modify"), F.col("first_edit_s"))).alias("first_edit_s"),
         (F.sum("core_ms") / 1000).alias("core_s"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.rules import all_issues, missing, repeated, rule
-from quire.functions.scan import GHOST, SLICE, Timeline, id_slice, top_rows
+from quire.functions.scan import GHOST, SLICE, Timeline, top_rows
 from quire.functions.text import squeeze, unless
 from quire.sources.readers import alignment, is_separator, pad_row, split_row
 
@@ -302,7 +302,7 @@ def open_levels(df: DataFrame, line: Timeline, level: str, id: str, depth: int =
 
 def section_paths(blocks: DataFrame) -> DataFrame:
     """Blocks with the path of open headings, the parent heading and level jumps."""
-    line = Timeline(("doc_id",), ("no",), id_slice("no", 4096))
+    line = Timeline(("doc_id",), ("no",))
     rows = open_levels(blocks, line, "level", "block_id")
     own = F.col("type") == "heading"
     return rows.withColumn(
@@ -312,7 +312,7 @@ def section_paths(blocks: DataFrame) -> DataFrame:
 
 def section_ids(headings: DataFrame) -> DataFrame:
     """Stable section id from the heading number (else its ordinal); a repeat gets -2, -3."""
-    line = Timeline(("doc_id",), ("no",), id_slice("no", 4096))
+    line = Timeline(("doc_id",), ("no",))
     number = F.regexp_extract("text", r"^\s*(\d+(?:\.\d+)*)", 1)
     rows = line.numbered(headings, "ordinal").withColumn(
         "base_id",
@@ -320,12 +320,12 @@ def section_ids(headings: DataFrame) -> DataFrame:
             F.format_string("sec-%03d", "ordinal")
         ),
     )
-    again = Timeline(("doc_id", "base_id"), ("no",), id_slice("no", 4096)).numbered(rows, "_nth")
+    again = Timeline(("doc_id", "base_id"), ("no",)).numbered(rows, "_nth")
     named = again.withColumn(
         "section_id", F.when(F.col("_nth") == 1, F.col("base_id")).otherwise(F.concat_ws("-", "base_id", "_nth"))
     )
     # A suffixed id may equal a natural one (1 and 1 against 1.2): the later takes the next number.
-    clash = Timeline(("doc_id", "section_id"), ("no",), id_slice("no", 4096)).numbered(named, "_same")
+    clash = Timeline(("doc_id", "section_id"), ("no",)).numbered(named, "_same")
     return clash.withColumn(
         "section_id",
         F.when(F.col("_same") == 1, F.col("section_id")).otherwise(
@@ -795,7 +795,7 @@ def interval_conflicts(df: DataFrame, line: Timeline, start: str, end: str) -> D
     """Mark intervals that overlap another one of their key, without forming pairs: an earlier
     interval must end after the start, or a later one start before the end. ``line`` is
     ordered by the start."""
-    rows = line.running(df, strict=True, _reach=("max", F.col(end)))
+    rows = line.running(line.placed(df), strict=True, _reach=("max", F.col(end)))
     w = line.window()
     ahead = line.halo(rows, after=1).withColumn("_next", F.lead(start).over(w)).where(~F.col(GHOST)).drop(SLICE, GHOST)
     hit = F.coalesce(F.col("_reach") > F.col(start), F.lit(False)) | F.coalesce(F.col("_next") < F.col(end), F.lit(False))
@@ -968,7 +968,7 @@ def unresolved(issues: DataFrame) -> DataFrame:
 def section_catalogue(sections: DataFrame, blocks: DataFrame) -> DataFrame:
     """Sections in order with ordinal from 0, parent, level and title."""
     titles = blocks.select("doc_id", F.col("id").alias("title_block_id"), F.trim("text_raw").alias("title"))
-    line = Timeline(("doc_id",), ("pos",), id_slice("pos", 4096))
+    line = Timeline(("doc_id",), ("pos",))
     rows = line.numbered(sections.join(titles, ["doc_id", "title_block_id"], "left"), "_n")
     return rows.select("doc_id", (F.col("_n") - 1).alias("ordinal"), F.col("id").alias("section_id"), "parent_id", "level", F.coalesce("title", F.lit("")).alias("title"))
 

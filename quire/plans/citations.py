@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scan import Timeline, id_slice
+from quire.functions.scan import Timeline
 from quire.operators import citations
 from quire.plans.registry import Tables, query
 
-SUPPLIERS = Timeline((), ("s_suppkey",), id_slice("s_suppkey", 65536))
+SUPPLIERS = Timeline((), ("s_suppkey",))
 
 
 @query(
@@ -50,8 +50,8 @@ RESOLVED_SQL = """
 
 def resolved(t: Tables) -> DataFrame:
     brands = t.part.select(F.col("p_brand").alias("cite_id")).distinct()
-    # Brands are names, so they are numbered along their text; the first letters are the slice.
-    numbers = citations.number_sources(brands, Timeline((), ("cite_id",), "left(cite_id, 7)"))
+    # Brands are names, so they are numbered along their text.
+    numbers = citations.number_sources(brands, Timeline((), ("cite_id",)))
     mappings = t.lineitem.where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("unit_id"))
     units = t.part.select(F.col("p_partkey").alias("unit_id"), F.col("p_brand").alias("cite_id"))
     return citations.resolve_claims(mappings, units, numbers)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scan import Timeline, time_slice
+from quire.functions.scan import Timeline
 from quire.operators import facts
 from quire.plans.registry import Tables, query
 
@@ -134,7 +134,7 @@ def c14(t: Tables) -> DataFrame:
     where pos >= greatest(0, coalesce(anchor, 0) - 6) and pos < greatest(0, coalesce(anchor, 0) - 6) + 12""",
 )
 def c15(t: Tables) -> DataFrame:
-    line = Timeline(("user_id",), ("ts", "event_id"), time_slice("ts"))
+    line = Timeline(("user_id",), ("ts", "event_id"))
     rows = line.numbered(t.events.select("user_id", "ts", "event_id", "event_type"), "n").withColumn("pos", F.col("n") - 1)
     anchors = rows.where(F.col("event_type") == "error").groupBy("user_id").agg(F.max("pos").alias("pos"))
     return facts.anchor_window(rows, anchors, ["user_id"], "pos").select("user_id", "event_id", "pos")

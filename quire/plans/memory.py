@@ -6,15 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scan import Timeline, id_slice, time_slice
+from quire.functions.scan import Timeline, time_slice
 from quire.functions.text import token_set
 from quire.operators import memory
 from quire.plans.registry import Tables, query
 
 HOUR = 3_600_000_000
-BY_USER = Timeline(("user_id",), ("ts", "event_id"), time_slice("ts"))
-BY_USER_TYPE = Timeline(("user_id", "event_type"), ("ts", "event_id"), time_slice("ts"))
-BY_SOURCE = Timeline(("source",), ("doc_id",), id_slice("doc_id", 65536))
+BY_USER = Timeline(("user_id",), ("ts", "event_id"))
+BY_USER_TYPE = Timeline(("user_id", "event_type"), ("ts", "event_id"))
+BY_SOURCE = Timeline(("source",), ("doc_id",))
 
 
 @query(
@@ -157,7 +157,7 @@ def g05(t: Tables) -> DataFrame:
 )
 def g06(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("at"))
-    line = Timeline(("o_custkey", "o_orderpriority"), ("at", "o_orderkey"), time_slice("at", memory.DAY))
+    line = Timeline(("o_custkey", "o_orderpriority"), ("at", "o_orderkey"))
     return memory.supersede(rows, line, "o_orderkey", "o_orderpriority").select(
         "o_orderkey", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"), "status"
     )
@@ -223,8 +223,7 @@ def g08(t: Tables) -> DataFrame:
 )
 def g09(t: Tables) -> DataFrame:
     rows = memory_rows(t).select("event_id", F.round("score", 9).alias("score"))
-    slice = "struct(floor(score * 1000) as band, floor(event_id / 65536) as ids)"
-    return memory.over_capacity(rows, "event_id", "score", slice, 9000).select("event_id", "rank")
+    return memory.over_capacity(rows, "event_id", "score", 9000).select("event_id", "rank")
 
 
 @query(
@@ -286,7 +285,7 @@ def day_events(t: Tables) -> DataFrame:
     return t.events.select("user_id", F.expr(time_slice("ts", memory.DAY)).alias("day"), "ts", "event_id", "event_type")
 
 
-BY_USER_DAY = Timeline(("user_id", "day"), ("ts", "event_id"), time_slice("ts"))
+BY_USER_DAY = Timeline(("user_id", "day"), ("ts", "event_id"))
 
 
 @query("g12_chain_steps", f"with {STEPS_SQL} select user_id, day, event_type, event_id, step from steps")

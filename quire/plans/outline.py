@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scan import Timeline, id_slice, time_slice
+from quire.functions.scan import Timeline
 from quire.operators import memory, outline
 from quire.plans.registry import Tables, query
 
-BY_USER = Timeline(("user_id",), ("ts", "event_id"), time_slice("ts"))
-BY_SOURCE = Timeline(("source",), ("doc_id",), id_slice("doc_id", 65536))
+BY_USER = Timeline(("user_id",), ("ts", "event_id"))
+BY_SOURCE = Timeline(("source",), ("doc_id",))
 
 
 @query(
@@ -61,7 +61,7 @@ def d04(t: Tables) -> DataFrame:
 )
 def d07(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", "p_brand", "p_name", F.concat(F.replace("p_type", F.lit(" "), F.lit("")), "p_partkey").alias("message"))
-    done = outline.first_of_title(rows, ["p_brand"], F.col("p_name"), ["p_partkey"], id_slice("p_partkey", 65536), F.col("message"))
+    done = outline.first_of_title(rows, ["p_brand"], F.col("p_name"), ["p_partkey"], None, F.col("message"))
     return done.select("p_partkey", "new_title", "replaced")
 
 

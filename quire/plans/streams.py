@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.scan import Timeline, id_slice, time_slice
+from quire.functions.scan import Timeline
 from quire.operators import memory
 from quire.plans.registry import Tables, query
 from quire.streaming import rounds
 
 HOUR = 3_600_000_000
-BY_USER = Timeline(("user_id",), ("ts", "event_id"), time_slice("ts", HOUR))
+BY_USER = Timeline(("user_id",), ("ts", "event_id"))
 
 
 @query(
@@ -80,7 +80,7 @@ def j04(t: Tables) -> DataFrame:
     from n where round > 0 group by 1, 2""",
 )
 def j05(t: Tables) -> DataFrame:
-    line = Timeline(("conv_id",), ("turn",), id_slice("turn", 1024))
+    line = Timeline(("conv_id",), ("turn",))
     return rounds.rounds_of_turns(t.conversations, line, F.col("role") == "user", F.length("text"))
 
 

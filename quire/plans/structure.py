@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import rules
-from quire.functions.scan import Timeline, id_slice, time_slice
+from quire.functions.scan import Timeline
 from quire.operators import structure
 from quire.plans.registry import Tables, query
 
-BY_USER = Timeline(("user_id",), ("ts", "event_id"), time_slice("ts"))
+BY_USER = Timeline(("user_id",), ("ts", "event_id"))
 DAY = 86_400_000_000
 
 LINES_SQL = """
@@ -179,8 +179,8 @@ def b20(t: Tables) -> DataFrame:
 def b21(t: Tables) -> DataFrame:
     def side(kind: str, name: str) -> tuple[DataFrame, Timeline]:
         rows = t.events.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name))
-        # Event ids are in time order, so they are the order and the slice.
-        return rows, Timeline(("user_id",), (name,), id_slice(name, 65536))
+        # Event ids are in time order, so they are the order.
+        return rows, Timeline(("user_id",), (name,))
 
     clicks, click_line = side("click", "click_id")
     buys, buy_line = side("purchase", "purchase_id")
@@ -286,7 +286,7 @@ def b32(t: Tables) -> DataFrame:
     rows = t.orders.select(
         "o_orderkey", "o_custkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("a")
     ).withColumn("z", F.col("a") + 40 * DAY)
-    line = Timeline(("o_custkey",), ("a", "o_orderkey"), id_slice("a", DAY))
+    line = Timeline(("o_custkey",), ("a", "o_orderkey"))
     return structure.interval_conflicts(rows, line, "a", "z").select("o_orderkey", "overlaps")
 
 

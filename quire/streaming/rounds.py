@@ -96,7 +96,7 @@ def collected_batches(df: DataFrame, line: Timeline, tokens: Column, tokens_cap:
         match = match & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
     joined = rows.join(entries, match).drop("_e_slice", *[f"_e_{k}" for k in keys])
     placed = joined.repartition(*by).sortWithinPartitions(*by, *line.order)
-    names = [c for c in placed.columns if c not in ("_jump", "_entry", SLICE)]
+    names = [c for c in placed.columns if c not in ("_jump", "_entry")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name in names)
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +112,7 @@ def collected_batches(df: DataFrame, line: Timeline, tokens: Column, tokens_cap:
             yield frame[names].assign(_start=starts)
 
     marked = placed.mapInPandas(mark, f"{fields}, _start int")
-    return line.running(marked, batch=("sum", F.col("_start"))).drop("_start")
+    return line.running(marked, batch=("sum", F.col("_start"))).drop("_start", SLICE)
 
 
 def batch_summary(batches: DataFrame, keys: Sequence[str], order: str, tokens: Column, tokens_cap: int = TOKENS) -> DataFrame:

@@ -20,9 +20,12 @@ def data():
     return out
 
 
-@pytest.fixture(scope="module", params=["floor(t / 1)", "floor(t / 13)", "floor(t / 1000)"])
-def line(request):
-    return Timeline(("k",), ("t", "id"), request.param)
+@pytest.fixture(scope="module", params=["floor(t / 1)", "floor(t / 13)", "floor(t / 1000)", None])
+def line(request, spark):
+    # Small ranges must stay apart for the work between them to show.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield Timeline(("k",), ("t", "id"), request.param)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +87,43 @@ def test_numbered_without_key(frame, data):
     got = {r["id"]: r["rn"] for r in Timeline((), ("t", "id"), "floor(t / 9)").numbered(frame).collect()}
     order = sorted(data, key=lambda r: (r[1], r[2]))
     assert got == {r[2]: i + 1 for i, r in enumerate(order)}
+    assert got == {r["id"]: r["rn"] for r in Timeline((), ("t", "id")).numbered(frame).collect()}
+
+
+def test_ranges_spread_a_hot_key_and_are_placed_once(frame, spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    line = Timeline(("k",), ("t", "id"))
+    placed = line.placed(frame)
+    rows = placed.where("k = 'hot'").groupBy("_slice").count().collect()
+    assert len(rows) >= 2 and max(r["count"] for r in rows) < 0.75 * sum(r["count"] for r in rows)
+    kinds = {(r.k, r._slice % 2) for r in placed.select("k", "_slice").distinct().collect()}
+    assert len(kinds) == len({k for k, _ in kinds}) and ("hot", 1) in kinds
+    steps = line.numbered(line.previous(placed, ["v"]), "n")
+    assert "_slice" in steps.columns and steps.count() == frame.count()
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_steps_in_a_row_by_ranges(frame, data, spark, coalesce):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    line = Timeline(("k",), ("t", "id"))
+    timed = frame.withColumn("ts", F.timestamp_seconds("t"))
+    by_ts = Timeline(("k",), ("ts", "id"))
+    got = {r.id: r.session for r in memory.sessions(timed, by_ts, "ts", 2_000_000).collect()}
+    chain = sorted((repr(r.k), r.step, r.id) for r in memory.chain_steps(frame, line, "c").collect())
+    want, steps = {}, []
+    for k, items in by_key(data).items():
+        n, last, tool, step = 0, None, None, 0
+        for r in items:
+            n += last is None or r[1] - last >= 2
+            want[r[2]], last = n, r[1]
+            if r[4] != tool:
+                step, tool = step + 1, r[4]
+                steps.append((repr(k), step, r[2]))
+    assert got == want and chain == sorted(steps)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_group_limit_is_planned(frame):
@@ -91,12 +131,12 @@ def test_group_limit_is_planned(frame):
     assert plan.count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("width", [1, 40, 100000])
+@pytest.mark.parametrize("width", [1, 40, 100000, None])
 def test_collector_matches_a_plain_loop(spark, width):
     rng = random.Random(3)
     data = [("hot" if rng.random() < 0.7 else f"u{rng.randrange(6)}", rng.randrange(0, 4000), i, rng.randrange(0, 60)) for i in range(900)]
     df = spark.createDataFrame(data, "k string, s int, id int, tok int").withColumn("ts", F.timestamp_seconds("s"))
-    line = Timeline(("k",), ("ts", "id"), f"floor(unix_seconds(ts) / {width})")
+    line = Timeline(("k",), ("ts", "id"), width and f"floor(unix_seconds(ts) / {width})")
     got = {r["id"]: r["batch"] for r in rounds.collected_batches(df, line, F.col("tok"), 100, 90 * 1_000_000).collect()}
     want, keys = {}, {}
     for r in sorted(data, key=lambda r: (r[1], r[2])):
