@@ -1,10 +1,13 @@
-"""Personal data: emails, addresses, cards and phones by form, and the terms that disclose them
-by their co-occurrence over the corpus: over whole documents with ``context`` None, as the query
-and the pipeline have it, or within ``context`` characters of a match. DataFrame functions only.
+"""Personal data: emails, addresses, cards and phones by form, and the terms that disclose them by
+their co-occurrence over whole documents of the whole corpus. DataFrame functions only.
 
-A term discloses an entity when their pointwise mutual information reaches a share of the
-entity's information content: log2(N n(t,e) / (n(t) n(e))) >= share * log2(N / n(e)). Terms at
-``GENERAL`` are generalised, terms at ``REMOVE`` removed."""
+An entity is a value or what values of its kind share: a mail domain, a network, the issuer of a
+card, the area of a phone. A term discloses an entity in a document if the other documents say so:
+of the n(t) - 1 others with the term, n(t,e) - 1 hold the entity, and the lower bound of that share
+(one standard error, by Wilson's formula) stands against the entity's share p of all documents. The
+bound gives a part of the entity's information content: log2(bound / p) / log2(1 / p). Terms at
+``GENERAL`` of it are generalised to their class, terms at ``REMOVE`` removed. So a term met with an
+entity in one document only, which cannot be told from chance, discloses nothing."""
 
 from __future__ import annotations
 
@@ -29,36 +32,27 @@ FORMS = (
 )
 # What a text must hold for a form to be tried.
 SIGNS = ("@", ".", "", "+")
-CONTEXT = 48  # characters on either side of an entity in which terms are looked for
 TERM = r"[^\p{L}\p{N}]"
-SQL_TERM = TERM.replace("\\", "\\\\")  # as SQL writes it
 LEAST_TERM = 3  # characters of a term
-LEAST_DOCS = 3  # documents that hold a term with an entity: the minimum support, see README
-GENERAL, REMOVE = 0.8, 1.0
+GENERAL, REMOVE = 0.75, 0.85
+ERRORS = 1.0  # standard errors of the lower bound
+POOL = 4  # added to the kind of an entity that values share
 
 
-def _found(kind: int, context: int) -> Column:
-    """Matches of a form with the length of the gap before each, and the text around it."""
-    m, p = f"m{kind}", f"p{kind}"
-    return F.expr(
-        f"transform({m}, (m, i) -> struct({kind} as kind, i as nth, length({p}[i]) as gap, m as hit, "
-        f"right({p}[i], {context}) as before, left({p}[i + 1], {context}) as after))"
-    )
-
-
-def matches(docs: DataFrame, context: int | None = CONTEXT) -> DataFrame:
+def matches(docs: DataFrame) -> DataFrame:
     """(doc_id, key, found, t) per row; ``key`` names the document: its id and the hash of its
-    text. ``t`` is the text where a form matches and whole documents are looked at, else null."""
+    text. ``found`` holds the matches of a form with the length of the gap before each, ``t`` the
+    text where a form matches, else null."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select("doc_id", document_key(), text.alias("t"))
     for kind, (form, sign) in enumerate(zip(FORMS, SIGNS)):
         has = F.contains("t", F.lit(sign)) if sign else F.rlike("t", F.lit(r"[0-9][\x20-]?[0-9]"))
         out = out.withColumn(f"m{kind}", F.when(has, F.regexp_extract_all("t", F.lit(form), F.lit(0))))
         out = out.withColumn(f"p{kind}", F.when(F.size(f"m{kind}") > 0, F.split("t", form, -1)))
-    arrays = [F.when(F.size(f"m{k}") > 0, _found(k, context or 0)) for k in range(BASE)]
+    placed = [F.expr(f"transform(m{k}, (m, i) -> struct({k} as kind, i as nth, length(p{k}[i]) as gap, m as hit))") for k in range(BASE)]
+    arrays = [F.when(F.size(f"m{k}") > 0, placed[k]) for k in range(BASE)]
     found = F.flatten(F.array_compact(F.array(*arrays)))
-    whole = F.when((F.size("found") > 0) & F.lit(context is None), F.col("t"))
-    return out.select("doc_id", "key", found.alias("found"), "t").withColumn("t", whole)
+    return out.select("doc_id", "key", found.alias("found"), "t").withColumn("t", F.when(F.size("found") > 0, F.col("t")))
 
 
 def may_match() -> Column:
@@ -85,7 +79,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """(key, kind, start, stop, value, before, after): the matches that hold, one document each.
+    """(key, kind, start, stop, value): the matches that hold, one document each.
     Places follow from the lengths before them, over the matches of one text."""
     rows = found.where(F.size("found") > 0).dropDuplicates(["key"]).select("key", F.explode("found").alias("f")).select("key", "f.*")
     so_far = Window.partitionBy("key", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -101,55 +95,29 @@ def base_spans(found: DataFrame) -> DataFrame:
         .otherwise(F.length(digits).between(8, 15))
     )
     value = F.when(F.col("kind") <= 1, F.lower("hit")).otherwise(digits)
-    return placed.where(holds).select("key", "kind", "start", "stop", value.alias("value"), "before", "after")
+    return placed.where(holds).select("key", "kind", "start", "stop", value.alias("value"))
 
 
-def _tokens(side: str, keep: str) -> Column:
-    """Terms of a context with their place in it; a term that the context may cut is left out."""
-    return F.expr(
-        f"filter(transform(split({side}, '{SQL_TERM}', -1), (w, i) -> struct(lower(w) as term, length(w) as size, i as i, "
-        f"cast(aggregate(slice(split({side}, '{SQL_TERM}', -1), 1, i), 0, (a, x) -> a + length(x) + 1) as long) as at)), "
-        f"x -> x.size >= {LEAST_TERM} and {keep})"
+def entities_of(base: DataFrame) -> DataFrame:
+    """(key, kind, entity): each value, and under ``kind + POOL`` what it shares with others: the
+    domain of an email, the first two parts of an address, the first six digits of a card and the
+    first four of a phone. Entities are 64-bit hashes of their text."""
+    shared = (
+        F.when(F.col("kind") == 0, F.substring_index("value", "@", -1)).when(F.col("kind") == 1, F.substring_index("value", ".", 2))
+        .when(F.col("kind") == 2, F.left("value", F.lit(6))).otherwise(F.left("value", F.lit(4)))
     )
+    each = F.explode(F.array(F.struct("kind", F.col("value").alias("v")), F.struct((F.col("kind") + POOL).alias("kind"), shared.alias("v"))))
+    return base.select("key", each.alias("e")).select("key", "e.kind", F.xxhash64("e.kind", "e.v").alias("entity")).distinct()
 
 
-def terms(spans: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """(key, kind, value, term, start, stop): terms in the contexts of entities."""
-    left = _tokens("before", f"(x.i > 0 or length(before) < {context}) and x.at + x.size < length(before)")
-    right = _tokens("after", f"x.at > 0 and (x.at + x.size < length(after) or length(after) < {context})")
-    a = spans.select("key", "kind", "value", (F.col("start") - F.length("before")).alias("from"), F.explode(left).alias("t"))
-    b = spans.select("key", "kind", "value", F.col("stop").alias("from"), F.explode(right).alias("t"))
-    at = F.col("from") + F.col("t.at")
-    return a.union(b).select("key", "kind", "value", "t.term", at.alias("start"), (at + F.col("t.size")).alias("stop"))
-
-
-def _reached(share: float, n_t: str, n_te: str = "n_te") -> Column:
-    information = F.log2(F.col("n") / F.col("n_e"))
-    return (information > 0) & (F.log2(F.col("n") * F.col(n_te) / (F.col(n_t) * F.col("n_e"))) >= F.lit(share) * information - 1e-9)
-
-
-def verdicts(docs: DataFrame, pair: DataFrame, general: float, remove: float) -> DataFrame:
-    """(kind, value, term, verdict): the pairs (kind, value, term, n_te, n_e, n) over the
-    threshold with the number of all documents with the term."""
-    wanted = small(cut(pair.select("term").distinct(), "terms"))
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), TERM + "+"))
-    n_t = docs.select(F.explode(words).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pair.join(n_t, "term")
-    verdict = F.when(_reached(remove, "n_t"), F.lit(5)).when(_reached(general, "n_t"), F.lit(4))
-    return scored.select("kind", "value", "term", verdict.alias("verdict")).where("verdict is not null")
-
-
-def near_disclosing(docs: DataFrame, spans: DataFrame, near: DataFrame, least_docs: int, general: float, remove: float) -> DataFrame:
-    """(kind, value, term, verdict): the pairs over the threshold. Counts are of documents, over
-    the whole corpus; only terms that stand near one entity often enough are counted."""
-    total = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
-    n_e = spans.select("key", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_e"))
-    n_te = near.select("key", "kind", "value", "term").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("n_te"))
-    # The documents with the term near any entity are at most all with the term, so a pair under
-    # the threshold with their number is under it for good. Frequent words end here.
-    n_near = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pair = n_te.where(F.col("n_te") >= least_docs).join(n_e, ["kind", "value"]).join(n_near, "term").crossJoin(total)
-    return verdicts(docs, cut(pair.where(_reached(general, "n_near")), "pairs"), general, remove)
+def _disclosed(share: float, n_t: Column, n_te: Column) -> Column:
+    """Whether the lower bound of P(entity | term) over the other documents gives the share of the
+    entity's information. The bound falls with n_t and rises with n_te."""
+    m, x, z = n_t - 1, n_te - 1, ERRORS
+    rate = x / m
+    bound = (rate + z * z / (2 * m) - z * F.sqrt(rate * (1 - rate) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+    p = (F.col("n_e") - 1) / (F.col("n") - 1)
+    return F.coalesce((x > 0) & (p > 0) & (p < 1) & (F.log2(bound) >= (1 - share) * F.log2(p) - 1e-9), F.lit(False))
 
 
 def _words(text: str) -> Column:
@@ -157,68 +125,69 @@ def _words(text: str) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), TERM + "+")), lambda w: F.length(w) >= LEAST_TERM)
 
 
-def disclosing(docs: DataFrame, entities: DataFrame, held: DataFrame, least_docs: int, general: float, remove: float) -> DataFrame:
-    """(kind, value, term, verdict): the pairs over the threshold. Counts are of documents, over
-    the whole corpus. ``entities`` (key, kind, value, n_e) are those of at least ``least_docs``
-    documents, ``held`` (key, t) the documents that hold them."""
+def disclosing(docs: DataFrame, entities: DataFrame, held: DataFrame, general: float, remove: float) -> DataFrame:
+    """(entity, term, verdict): the pairs over the threshold. Counts are of documents, over the
+    whole corpus. ``entities`` (key, entity, n_e) are those of two documents or more, ``held``
+    (key, t) the documents that hold them. Terms are 64-bit hashes here, so that a broadcast of
+    ``small`` has a bound in bytes."""
     total = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
     # The documents that hold a term and some entity are at most all with the term, and those
     # with one entity at most n_e: a pair under the threshold with these numbers is under it for
     # good, before it is counted. Frequent words end here.
-    held_terms = held.select("key", F.explode(_words("t")).alias("term"))
-    n_held = small(cut(held_terms.groupBy("term").agg(F.count("*").alias("n_held")).where(F.col("n_held") >= least_docs), "held_terms"))
+    held_terms = held.select("key", F.explode(F.transform(_words("t"), lambda w: F.xxhash64(w))).alias("term"))
+    n_held = small(cut(held_terms.groupBy("term").agg(F.count("*").alias("n_held")).where("n_held > 1"), "held_terms"))
     both = held_terms.join(n_held, "term").join(entities, "key").crossJoin(total)
-    both = both.where(_reached(general, "n_held", "n_e"))
-    pair = both.groupBy("kind", "value", "term", "n_e", "n_held", "n").agg(F.count("*").alias("n_te"))
-    return verdicts(docs, cut(pair.where((F.col("n_te") >= least_docs) & _reached(general, "n_held")), "pairs"), general, remove)
+    both = both.where(_disclosed(general, F.col("n_held"), F.least("n_held", "n_e")))
+    pair = both.groupBy("entity", "term", "n_e", "n_held", "n").agg(F.count("*").alias("n_te"))
+    pair = cut(pair.where(_disclosed(general, F.col("n_held"), F.col("n_te"))), "pairs")
+    wanted = small(cut(pair.select("term").distinct(), "terms"))
+    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), TERM + "+"))
+    n_t = docs.select(F.explode(F.transform(words, lambda w: F.xxhash64(w))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    reached = lambda share: _disclosed(share, F.col("n_t"), F.col("n_te"))
+    verdict = F.when(reached(remove), F.lit(5)).when(reached(general), F.lit(4))
+    return pair.join(n_t, "term").select("entity", "term", verdict.alias("verdict")).where("verdict is not null")
 
 
 def term_spans(base: DataFrame, entities: DataFrame, held: DataFrame, told: DataFrame) -> DataFrame:
     """(key, kind, start, stop): every place of a disclosing term in every document that holds
     its entity, but for those inside a base span. A window is over the words of one text."""
     told = cut(told, "told")
-    pairs = held.select("key", F.explode(_words("t")).alias("term")).join(told.select("term").distinct(), "term", "left_semi")
-    marks = cut(pairs.join(entities, "key").join(told, ["kind", "value", "term"]).groupBy("key", "term").agg(F.max("verdict").alias("kind")), "marks")
+    pairs = held.select("key", F.explode(F.transform(_words("t"), lambda w: F.xxhash64(w))).alias("term")).join(told.select("term").distinct(), "term", "left_semi")
+    marks = cut(pairs.join(entities, "key").join(told, ["entity", "term"]).groupBy("key", "term").agg(F.max("verdict").alias("kind")), "marks")
     texts = held.join(marks.select("key").distinct(), "key", "left_semi")
     so_far = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     words = texts.select("key", F.posexplode(F.split("t", TERM, -1)).alias("i", "w"))
     # A separator is one character, so places follow from the lengths.
     stop = (F.sum(F.length("w") + 1).over(so_far) - 1).cast("long")
     placed = words.withColumn("stop", stop).where(F.length("w") >= LEAST_TERM)
-    placed = placed.select("key", F.lower("w").alias("term"), (F.col("stop") - F.length("w")).alias("start"), "stop")
+    placed = placed.select("key", F.xxhash64(F.lower("w")).alias("term"), (F.col("stop") - F.length("w")).alias("start"), "stop")
     spans = placed.join(marks, ["key", "term"]).select("key", "kind", "start", "stop")
     own = base.select(F.col("key").alias("k"), F.col("start").alias("a"), F.col("stop").alias("z"))
     inside = (F.col("key") == F.col("k")) & (F.col("a") <= F.col("start")) & (F.col("z") >= F.col("stop"))
     return spans.join(own, inside, "left_anti")
 
 
-def all_spans(docs: DataFrame, least_docs: int = LEAST_DOCS, general: float = GENERAL, remove: float = REMOVE, context: int | None = CONTEXT) -> tuple[DataFrame, DataFrame]:
+def all_spans(docs: DataFrame, general: float = GENERAL, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
     """``found`` (doc_id, key), one row per row of ``docs``, and ``spans`` (key, kind, start, stop)."""
-    found = cut(matches(docs, context), "matches")
+    found = cut(matches(docs), "matches")
     base = cut(base_spans(found), "base")
-    own = base.select("key", "kind", "start", "stop")
-    if context is not None:
-        near = cut(terms(base, context), "near")
-        told = near_disclosing(docs, base, near, least_docs, general, remove)
-        more = near.join(told, ["kind", "value", "term"]).groupBy("key", "start", "stop").agg(F.max("verdict").alias("kind"))
-        return found.select("doc_id", "key"), own.union(more.select("key", "kind", "start", "stop"))
-    once = base.select("key", "kind", "value").distinct()
-    # No pair has more documents than its entity.
-    n_e = once.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least_docs)
-    entities = cut(once.join(n_e, ["kind", "value"]), "entities")
+    once = entities_of(base).select("key", "entity")
+    n_e = once.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1")
+    entities = cut(once.join(n_e, "entity"), "entities")
     holders = small(cut(entities.select("key").distinct(), "holders"))
     held = found.where(F.col("t").isNotNull()).join(holders, "key", "left_semi").dropDuplicates(["key"]).select("key", "t")
     held = cut(held, "held")
-    told = disclosing(docs, entities, held, least_docs, general, remove)
-    more = term_spans(base, entities, held, told)
-    return found.select("doc_id", "key"), own.union(more)
+    more = term_spans(base, entities, held, disclosing(docs, entities, held, general, remove))
+    return found.select("doc_id", "key"), base.select("key", "kind", "start", "stop").union(more)
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
     """Counts and spans of personal data, one row per row of ``docs``. Places count code points,
     the end is exclusive.
 
-    Null text is empty. Rows with equal doc_id and text are one document and get equal spans."""
+    Null text is empty, an empty table gives no row, very long texts are taken whole. Rows with
+    equal doc_id and text are one document and get equal spans; other columns, whatever their
+    names, are not read. A term at both thresholds counts as removed."""
     found, spans = all_spans(docs, **options)
     names = F.array(*[F.lit(k) for k in KINDS])
     listed = F.sort_array(F.collect_list(F.struct("kind", "start", "stop")))
@@ -235,8 +204,9 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with its text rewritten: base spans and generalised terms become the name of
-    their kind in brackets, removed terms go. Overlapping spans become one, named by the kind
+    """``docs`` with its text rewritten: base spans become the name of their kind in brackets,
+    generalised terms their class (a number, a code of letters and figures, a name, a word),
+    removed terms go. Overlapping spans become one, named by the kind
     that comes first in ``KINDS``. n_chars, where present, follows the new text."""
     _, spans = all_spans(docs, **options)
     order = Window.partitionBy("key").orderBy("start", "stop")
@@ -247,9 +217,14 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     per = cut(regions.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias("regions")), "regions")
     release(docs.sparkSession)
     marks = "array(" + ", ".join("''" if k == "remove" else f"'[{k.upper()}]'" for k in KINDS) + ")"
+    term = "substring(text, cast(r.start + 1 as int), cast(r.stop - r.start as int))"
+    class_of = (
+        f"case when rlike({term}, '^[0-9]+$') then '[NUMBER]' when rlike({term}, '[0-9]') then '[CODE]' "
+        f"when left({term}, 1) <> lower(left({term}, 1)) then '[NAME]' else '[WORD]' end"
+    )
     rebuilt = F.expr(
         "concat(array_join(transform(__regions, (r, i) -> concat(substring(text, cast(if(i = 0, 0, __regions[i - 1].stop) + 1 as int), "
-        f"cast(r.start - if(i = 0, 0, __regions[i - 1].stop) as int)), {marks}[r.kind])), ''), "
+        f"cast(r.start - if(i = 0, 0, __regions[i - 1].stop) as int)), if(r.kind = 4, {class_of}, {marks}[r.kind]))), ''), "
         "substring(text, cast(element_at(__regions, -1).stop + 1 as int)))"
     )
     # Only texts with a match meet the spans; the others never move.
