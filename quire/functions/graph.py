@@ -65,3 +65,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def least_below(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, low): the smallest node reachable from each along ``links`` (hi, lo), hi > lo.
+    Labels fall along the links and are followed to their own label, so paths halve each round."""
+    down = cut(links.select("hi", "lo").where("hi > lo").distinct())
+    ends = down.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
+    low = cut(ends.join(down.groupBy("hi").agg(F.min("lo").alias("low")), ends["node"] == F.col("hi"), "left").select("node", F.coalesce("low", "node").alias("low")))
+    for _ in range(rounds):
+        below = down.join(low, down["lo"] == low["node"]).groupBy("hi").agg(F.min("low").alias("m"))
+        near = low.join(below, low["node"] == below["hi"], "left").select("node", F.least("low", F.coalesce("m", "low")).alias("low"), F.col("low").alias("was"))
+        via = low.select(F.col("node").alias("via"), F.col("low").alias("far"))
+        new = cut(near.join(via, near["low"] == via["via"]).select("node", F.least("low", "far").alias("low"), "was"))
+        moved = new.where("low <> was").limit(1).count()
+        low = new.select("node", "low")
+        if not moved:
+            return low
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")

@@ -124,7 +124,7 @@ class Timeline:
         rows = both.groupBy("k").count().where("count > 1").select("k.*").collect()
         return spark.createDataFrame(rows, dealt.select(*self.keys).schema) if rows else None
 
-    def _between(self, rows: DataFrame) -> DataFrame | None:
+    def between(self, rows: DataFrame) -> DataFrame | None:
         """The rows whose keys have work between slices. The filter is on the keys of every
         window here, so Spark applies it where the placed rows are read."""
         if self.slice is not None:
@@ -146,7 +146,7 @@ class Timeline:
         rows = self.placed(df)
         frame = self.window(reverse).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
         own = {n: (F.count(value) if kind == "count" else _over(kind, value)).over(frame) for n, (kind, value) in specs.items()}
-        between = self._between(rows)
+        between = self.between(rows)
         if between is None:
             none = {n: F.coalesce(own[n], F.lit(0)) if kind == "count" else own[n] for n, (kind, _) in specs.items()}
             return rows.withColumns(none).select(*df.columns, *specs)
@@ -186,7 +186,7 @@ class Timeline:
         ``~_ghost``."""
         rows = self.placed(df)
         out = rows.withColumn(GHOST, F.lit(False))
-        between = self._between(rows)
+        between = self.between(rows)
         if between is None:
             return out
         columns = [c for c in df.columns if c != SLICE]

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.graph import components, links
+from quire.functions.graph import components, least_below, links
 from quire.functions.scan import GHOST, SLICE, Timeline, best_row, top_rows
 from quire.functions.text import any_of, blank_to_null, clip, jaccard, squeeze, unless
 from quire.session import cut
@@ -78,11 +80,11 @@ def new_rows(delta: DataFrame, existing: DataFrame, id: str) -> DataFrame:
 # --- clusters --------------------------------------------------------------------------
 
 
-def _clusters(df: DataFrame, id: str, order: Sequence[str], edges: DataFrame, size: int | None) -> DataFrame:
-    """``(id, cluster)``: rows in order join the first cluster that takes them, else open one.
-    With ``size`` a cluster takes a row linked to all its members while there is room, else a
-    row linked to any member. What a row can join depends only on rows linked to it, so the
-    rule runs inside connected components; a component is as large as its links make it."""
+def _clusters(df: DataFrame, id: str, order: Sequence[str], edges: DataFrame, size: int) -> DataFrame:
+    """``(id, cluster)``: rows in order join the first cluster that takes them, else open one. A
+    cluster takes a row linked to all its members while there is room. What a row can join
+    depends only on rows linked to it, so the rule runs inside connected components; a component
+    is as large as its links make it."""
     edges = cut(edges)
     at = df.select(F.col(id).alias("node"), F.struct(*[F.col(c) for c in order]).alias("at"))
     roots = components(edges).join(at, "node")
@@ -99,8 +101,7 @@ def _clusters(df: DataFrame, id: str, order: Sequence[str], edges: DataFrame, si
         for node, near in zip(frame["node"], frame["near"]):
             linked = set(near)
             takes = sorted({home[x] for x in linked if x in home})
-            if size is not None:
-                takes = [c for c in takes if len(opened[c]) < size and linked.issuperset(opened[c])]
+            takes = [c for c in takes if len(opened[c]) < size and linked.issuperset(opened[c])]
             if not takes:
                 opened.append([])
                 takes = [len(opened) - 1]
@@ -112,6 +113,22 @@ def _clusters(df: DataFrame, id: str, order: Sequence[str], edges: DataFrame, si
     return df.select(F.col(id).alias("id")).join(joined, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
+def _first_linked(df: DataFrame, id: str, order: Sequence[str], edges: DataFrame) -> DataFrame:
+    """``(id, cluster)``: rows in order join the first cluster with a member linked to them, else
+    open one. That cluster is the one opened by the earliest row that links from later to earlier
+    rows lead to, so it is found by labels that fall along the links, not row by row."""
+    edges = cut(edges)
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    at = F.struct(*[F.col(c) for c in order], F.col(id).alias("_id"))
+    placed = df.select(F.col(id).alias("node"), at.alias("at")).join(nodes, "node")
+    ends = edges.join(placed.select(F.col("node").alias("a"), F.col("at").alias("at_a")), "a").join(
+        placed.select(F.col("node").alias("b"), F.col("at").alias("at_b")), "b"
+    )
+    low = least_below(ends.select(F.greatest("at_a", "at_b").alias("hi"), F.least("at_a", "at_b").alias("lo")))
+    named = low.select(F.col("node._id").alias("_node"), F.col("low._id").alias("cluster"))
+    return df.select(F.col(id).alias("id")).join(named, F.col("id") == F.col("_node"), "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
 def similar_clusters(
     df: DataFrame, keys: Sequence[str], id: str, vector: str, order: Sequence[str], similar: float = SIMILAR, size: int = CLUSTER_SIZE
 ) -> DataFrame:
@@ -156,7 +173,7 @@ def overlap_clusters(
             score += weight * np.divide(both, union, out=np.zeros_like(both), where=union > 0)
         return score >= threshold
 
-    return _clusters(df, id, order, links(df, keys, id, list(sets), compare), None)
+    return _first_linked(df, id, order, links(df, keys, id, list(sets), compare))
 
 
 def weighted_overlap(pairs: Sequence[tuple[Column, Column]], weights: Sequence[float] = PART_WEIGHTS) -> Column:
@@ -413,7 +430,8 @@ def rolling_history(df: DataFrame, keys: Sequence[str], order: str, text: str, k
 
 
 def lookback_repeats(df: DataFrame, line: Timeline, same: Sequence[str], rows: int = 12) -> DataFrame:
-    """Mark rows whose ``same`` columns equal one of the ``rows`` rows before them."""
+    """Mark rows whose ``same`` columns equal one of the ``rows`` rows before them, kept or not;
+    ``kept_lookback`` is the form in which rejected rows take no place."""
     key = F.xxhash64(*same)
     w = line.window().rowsBetween(-rows, -1)
     return (
@@ -424,6 +442,95 @@ def lookback_repeats(df: DataFrame, line: Timeline, same: Sequence[str], rows: i
     )
 
 
+def kept_lookback(df: DataFrame, line: Timeline, same: Sequence[str], rows: int = 12, rounds: int = 1000) -> DataFrame:
+    """``df`` with ``repeat``: a row is rejected when its ``same`` columns equal one of the last
+    ``rows`` kept rows of its key; a rejected row takes no place in the look-back.
+
+    What a slice hands on is its last kept rows. Every slice is folded as if nothing came before
+    it; then slices that get another start than they were folded with are folded again, until
+    none does. A slice with enough kept rows hands on the same rows from any start, so a hot key
+    of many values settles in few rounds; one of few values may take a round a slice. Rows are
+    always placed by ranges, and only keys that a range cuts take part."""
+    line = Timeline(line.keys, line.order)
+    keys = list(line.keys)
+    by = [*keys, SLICE]
+    placed = cut(line.placed(df).withColumn("_same", F.xxhash64(*same)))
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    key_schema = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+
+    def fold(mark: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, kept = None, []
+
+            def rows_of(ends: list, kind: pa.Schema) -> pa.RecordBatch:
+                cols = [pa.array([k[i] for k, _ in ends], kind.field(c).type) for i, c in enumerate(by)]
+                return pa.RecordBatch.from_arrays([*cols, pa.array([e for _, e in ends], pa.list_(pa.int64()))], [*by, "_end"])
+
+            for batch in batches:
+                out, ends, starts = [], [], batch.column("_start")
+                groups = zip(*[batch.column(c).to_pylist() for c in by])
+                for i, (key, value) in enumerate(zip(groups, batch.column("_same").to_pylist())):
+                    if key != held:
+                        if held is not None:
+                            ends.append((held, kept))
+                        held, kept = key, starts[i].as_py() or []
+                    seen = value in kept
+                    out.append(seen)
+                    if not seen:
+                        kept = [*kept, value][-rows:]
+                if mark:
+                    names = [c for c in batch.schema.names if c != "_start"]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.bool_())], [*names, "repeat"])
+                elif ends:
+                    yield rows_of(ends, batch.schema)
+            if held is not None and not mark:
+                yield rows_of([(held, kept)], batch.schema)
+
+        return run
+
+    def started(frame: DataFrame, starts: DataFrame | None) -> DataFrame:
+        if starts is None:
+            frame = frame.withColumn("_start", F.lit(None).cast("array<long>"))
+        else:
+            match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by])
+            renamed = starts.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_start")
+            frame = frame.join(renamed, match, "left").select(*frame.columns, "_start")
+        return frame.repartition(*by).sortWithinPartitions(*by, *line.order)
+
+    between = line.between(placed)
+    starts = None
+    if between is not None:
+        lean = between.select(*by, *[c for c in line.order if c not in by], "_same")
+        before = Window.partitionBy(*keys).orderBy(SLICE)
+
+        def folded(frame: DataFrame, starts: DataFrame | None) -> DataFrame:
+            given = started(frame, starts)
+            return given.mapInArrow(fold(False), f"{key_schema}, _end array<long>")
+
+        ends = cut(folded(lean, None))
+        starts = ends.select(*by, F.lit(None).cast("array<long>").alias("_start"))
+        for _ in range(rounds):
+            now = ends.withColumn("_start", F.lag("_end").over(before)).select(*by, "_start")
+            old = starts.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("_start").alias("_old"))
+            match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in by])
+            both = now.join(old, match)
+            change = cut(both.where(~F.coalesce("_start", F.array().cast("array<long>")).eqNullSafe(F.coalesce("_old", F.array().cast("array<long>")))).select(*by, "_start"))
+            starts = cut(now)
+            if change.limit(1).count() == 0:
+                break
+            # Only these slices are read again.
+            renamed = change.select(*[F.col(c).alias(f"_k_{c}") for c in by])
+            again = lean.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]), "left_semi")
+            new = folded(again, change).withColumnRenamed("_end", "_new").select(*[F.col(c).alias(f"_n_{c}") for c in by], "_new")
+            match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in by])
+            ends = cut(ends.join(new, match, "left").select(*by, F.coalesce("_new", "_end").alias("_end")))
+        else:
+            raise RuntimeError(f"the look-back did not settle in {rounds} rounds")
+    columns = ", ".join(f"`{c}` {kinds[c]}" for c in placed.columns)
+    marked = started(placed, starts).mapInArrow(fold(True), f"{columns}, repeat boolean")
+    return marked.select(*df.columns, "repeat")
+
+
 def lookback_fold(values: Column, rows: int = 12) -> Column:
     """Values of one bounded job kept when none of the last ``rows`` kept values equals them;
     a rejected value does not take a place in the look-back."""

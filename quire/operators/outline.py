@@ -8,15 +8,16 @@ visual). ``closure`` holds (doc_id, section_id, ancestor) pairs, each section in
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.rules import all_issues, missing, repeated, rule
 from quire.functions.scan import Timeline, each, top_rows
 from quire.functions.spans import let
 from quire.functions.text import unless
+from quire.session import cut
 
 # Patterns of citations, list markers, numbers and lead sentences.
 CITE = r"\[\^cite_id:[^\]]+\]"
@@ -125,26 +126,29 @@ def used_figure_refs(refs: DataFrame, slides: DataFrame, visual_refs: DataFrame,
     )
 
 
-def greedy_cover(missing_numbers: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Evidence to add so that missing numbers are covered: the candidate that covers most goes
-    first, until none helps. ``missing_numbers``: (slide_id, number); ``candidates``: (slide_id,
-    kind, id, pos, number). Only candidate numbers that are missing reach the group, so its
-    size is bounded by the slide."""
-    useful = candidates.join(missing_numbers, ["slide_id", "number"], "left_semi")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = {k: set(g["number"]) for k, g in frame.sort_values("pos").groupby(["pos", "kind", "id"], sort=True)}
-        left = set(frame["number"])
-        out = []
-        while left:
-            best = max(sets, key=lambda k: len(sets[k] & left), default=None)
-            if best is None or not sets[best] & left:
-                break
-            out.append((frame["slide_id"].iloc[0], best[1], best[2], len(out) + 1))
-            left -= sets.pop(best)
-        return pd.DataFrame(out, columns=["slide_id", "kind", "id", "added"])
-
-    return useful.groupBy("slide_id").applyInPandas(run, "slide_id string, kind string, id string, added int")
+def greedy_cover(missing_numbers: DataFrame, candidates: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Evidence to add so that missing numbers are covered: the candidate that covers most of what
+    is left goes first (ties to the earlier), until none helps. ``missing_numbers``: (slide_id,
+    number); ``candidates``: (slide_id, kind, id, pos, number).
+
+    Each round is two aggregates over (slide, candidate, number) rows that still count: what every
+    candidate covers, and the best candidate of every slide, for all slides at once; the numbers it
+    covers then leave. No slide is held in a task."""
+    left = cut(candidates.join(missing_numbers, ["slide_id", "number"], "left_semi").select("slide_id", "kind", "id", "pos", "number").distinct())
+    picked = []
+    for added in range(1, rounds + 1):
+        gain = left.groupBy("slide_id", "pos", "kind", "id").agg(F.count(F.lit(1)).alias("n"))
+        best = gain.groupBy("slide_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "pos", "kind", "id")).alias("b")).select("slide_id", "b.pos", "b.kind", "b.id")
+        best = cut(best)
+        if best.limit(1).count() == 0:
+            break
+        picked.append(best.select("slide_id", "kind", "id", F.lit(added).alias("added")))
+        covered = left.join(best, ["slide_id", "pos", "kind", "id"], "left_semi").select("slide_id", "number")
+        left = cut(left.join(covered, ["slide_id", "number"], "left_anti"))
+    else:
+        raise RuntimeError(f"the cover did not end in {rounds} rounds")
+    none = left.limit(0).select("slide_id", "kind", "id", F.lit(0).alias("added"))
+    return reduce(DataFrame.unionByName, picked, none)
 
 
 def owned_labels(slides: DataFrame, sections: DataFrame, figures: DataFrame, refs: DataFrame) -> DataFrame:
@@ -242,29 +246,42 @@ def out_of_order(df: DataFrame, line: Timeline, value: Column, increasing: bool
     return rows.where((value <= F.col("_top")) if increasing else (value < F.col("_top"))).withColumnRenamed("_top", "running_max")
 
 
-def assign_figures(figures: DataFrame, hosts: DataFrame, scores: DataFrame) -> DataFrame:
+def assign_figures(figures: DataFrame, hosts: DataFrame, scores: DataFrame, rounds: int = 1000) -> DataFrame:
     """Figures in source order take the best host of their section with room: direct evidence
     first, then shared terms, then the earlier host. ``figures``: doc_id, section_id, figure_id,
     order; ``hosts``: doc_id, section_id, slide_id, host_no, room; ``scores``: doc_id, figure_id,
-    slide_id, direct, overlap. One task handles the pages of one section of one deck."""
+    slide_id, direct, overlap.
+
+    By deferred acceptance: every figure proposes to its best host that has not refused it, a host
+    keeps the earliest figures it has room for and refuses the others, until no one is refused. As
+    all hosts rank figures by source order, that is the choice figure by figure. A round is one
+    top-k by group limit, for all sections at once."""
     pairs = (
-        figures.join(hosts, ["doc_id", "section_id"], "left")
+        figures.join(hosts.where("room > 0"), ["doc_id", "section_id"])
         .join(scores, ["doc_id", "figure_id", "slide_id"], "left")
         .na.fill({"direct": 0, "overlap": 0})
     )
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        room = {s: r for s, r in zip(frame["slide_id"], frame["room"], strict=True) if isinstance(s, str)}
-        out = []
-        for (_, figure), rows in frame.groupby(["order", "figure_id"], sort=True):
-            free = [r for r in rows.to_dict("records") if isinstance(r["slide_id"], str) and room[r["slide_id"]] > 0]
-            best = max(free, key=lambda r: (r["direct"], r["overlap"], -r["host_no"]), default=None)
-            if best:
-                room[best["slide_id"]] -= 1
-            out.append((frame["doc_id"].iloc[0], frame["section_id"].iloc[0], figure, best["slide_id"] if best else None))
-        return pd.DataFrame(out, columns=["doc_id", "section_id", "figure_id", "slide_id"])
-
-    return pairs.groupBy("doc_id", "section_id").applyInPandas(run, "doc_id string, section_id string, figure_id string, slide_id string")
+    key = ["doc_id", "section_id", "figure_id"]
+    liking = Window.partitionBy(*key).orderBy(F.desc("direct"), F.desc("overlap"), "host_no", "slide_id")
+    wishes = cut(pairs.select(*key, "order", "slide_id", "room", F.row_number().over(liking).alias("wish")))
+    at = wishes.select(*key).distinct().withColumn("wish", F.lit(1))
+    seat = Window.partitionBy("doc_id", "section_id", "slide_id").orderBy("order", "figure_id")
+    for _ in range(rounds):
+        offers = wishes.join(at, [*key, "wish"])
+        kept = cut(offers.withColumn("_seat", F.row_number().over(seat)).where(F.col("_seat") <= F.col("room")).select(*key, "order", "slide_id", "room", "wish"))
+        # Hosts only ever change to earlier figures, so wishes for full hosts are passed over.
+        host = ["doc_id", "section_id", "slide_id"]
+        full = kept.groupBy(*host, "room").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("order", "figure_id")).alias("_last")).where("_n >= room")
+        refused = at.join(kept.select(*key), key, "left_anti").withColumnRenamed("wish", "_past")
+        open_ = wishes.join(refused, key).where("wish > _past").join(full.select(*host, "_last"), host, "left")
+        open_ = open_.where(F.col("_last").isNull() | (F.struct("order", "figure_id") < F.col("_last")))
+        more = cut(open_.groupBy(*key).agg(F.min("wish").alias("wish")))
+        if more.limit(1).count() == 0:
+            break
+        at = kept.select(*key, "wish").unionByName(more)
+    else:
+        raise RuntimeError(f"the assignment did not settle in {rounds} rounds")
+    return figures.select(*key).join(kept.select(*key, "slide_id"), key, "left")
 
 
 def standalone_pages(unassigned: DataFrame, content_counts: DataFrame, ratio: float = 0.4, per_section: int = 3) -> DataFrame:

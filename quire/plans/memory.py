@@ -397,6 +397,21 @@ def g21(t: Tables) -> DataFrame:
     return memory.lookback_repeats(rows, BY_USER, ["event_type", "band"]).select("event_id", "repeat")
 
 
+@query(
+    "g21_kept_lookback",
+    """with recursive r as (select user_id, event_id, event_type || floor(value / 10) as k, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+    walk as (select distinct user_id, cast(0 as bigint) as rn, cast(null as bigint) as event_id, false as repeat, cast([] as varchar[]) as kept from r
+      union all
+      select r.user_id, r.rn, r.event_id, list_contains(w.kept, r.k),
+        case when list_contains(w.kept, r.k) then w.kept else list_append(w.kept, r.k)[-12:] end
+      from walk w join r on r.user_id = w.user_id and r.rn = w.rn + 1)
+    select event_id, repeat from walk where rn > 0""",
+)
+def g21_kept(t: Tables) -> DataFrame:
+    rows = t.events.select("event_id", "user_id", "ts", "event_type", F.floor(F.col("value") / 10).alias("band"))
+    return memory.kept_lookback(rows, BY_USER, ["event_type", "band"]).select("event_id", "repeat")
+
+
 @query(
     "g22_eligible",
     """select event_id, case when event_type = 'signup' then false when length(props) < 8 then false

@@ -148,3 +148,64 @@ def d18_without(t: Tables) -> DataFrame:
 )
 def d20(t: Tables) -> DataFrame:
     return outline.distinct_values(t.part, ["p_type", "p_size"], "p_brand")
+
+
+# A slide is a customer, a number what is asked of its orders; each order is evidence for some.
+COVER_SQL = """
+  given as (select o_custkey as slide, o_orderkey as id, cast(datediff('day', date '1992-01-01', o_orderdate) as int) as pos,
+      l_partkey % 12 as number, l_quantity > 20 as asked from orders join lineitem on o_orderkey = l_orderkey),
+  asked as (select distinct slide, number from given where asked),
+  useful as (select distinct slide, id, pos, number from given semi join asked using (slide, number)),
+  lists as (select slide, id, pos, list(number) as nums from useful group by all),
+  decks as (select slide, list(struct_pack(pos := pos, id := id, nums := nums)) as cands from lists group by slide),
+  wants as (select slide, list(number) as wanted from asked group by slide)"""
+
+
+@query(
+    "d05_greedy_cover",
+    f"""with recursive {COVER_SQL},
+    walk as (
+      select slide, cands, wanted, cast(0 as bigint) as added, cast(null as struct(n int, pos int, id bigint)) as best from decks join wants using (slide)
+      union all
+      select slide, cands, list_filter(wanted, lambda x: not list_contains(list_filter(cands, lambda c: c.id = best.id)[1].nums, x)), added + 1, best
+      from (select slide, cands, wanted, added, list_min(list_transform(cands,
+          lambda c: struct_pack(n := -len(list_intersect(c.nums, wanted))::int, pos := c.pos, id := c.id))) as best from walk) s
+      where best.n < 0)
+    select slide as slide_id, best.id as id, added from walk where added > 0""",
+)
+def d05(t: Tables) -> DataFrame:
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    slide, number = F.col("o_custkey").alias("slide_id"), (F.col("l_partkey") % 12).alias("number")
+    asked = lines.where("l_quantity > 20").select(slide, number).distinct()
+    pos = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("pos")
+    given = lines.select(slide, F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), pos, number)
+    return outline.greedy_cover(asked, given).select("slide_id", "id", F.col("added").cast("bigint").alias("added"))
+
+
+# A section is a conversation, a figure a turn of the user, a host a turn of another role.
+@query(
+    "d11_figure_hosts",
+    """with recursive hosts as (select conv_id, turn as host, length(text) as n, row_number() over (partition by conv_id order by turn) as no from conversations where role <> 'user'),
+    figures as (select conv_id, turn as figure, length(text) as n, row_number() over (partition by conv_id order by turn) as nth from conversations where role = 'user'),
+    liked as (select conv_id, figure, nth, list(no order by ((f.n + h.n) % 3 = 0)::int desc, (f.n * h.n) % 5 desc, no) as wishes
+      from figures f join hosts h using (conv_id) group by conv_id, figure, nth),
+    walk as (select conv_id, cast(0 as bigint) as nth, cast(null as bigint) as figure, cast(null as bigint) as no, cast([] as bigint[]) as used from figures group by conv_id
+      union all
+      select conv_id, nth, figure, no, case when no is null then used else list_append(used, no) end from (
+        select f.conv_id, f.nth, f.figure, list_filter(l.wishes, lambda h: h not in w.used)[1] as no, w.used
+        from walk w join figures f on f.conv_id = w.conv_id and f.nth = w.nth + 1 left join liked l on l.conv_id = f.conv_id and l.nth = f.nth) s)
+    select w.conv_id, w.figure as figure_id, coalesce(h.host, -1) as slide_id from walk w left join hosts h on h.conv_id = w.conv_id and h.no = w.no where w.figure is not null""",
+)
+def d11(t: Tables) -> DataFrame:
+    turns = t.conversations.select(F.lit("all").alias("doc_id"), F.col("conv_id").alias("section_id"), "turn", "role", F.length("text").alias("n"))
+    hosts = turns.where("role <> 'user'").select("doc_id", "section_id", F.col("turn").alias("slide_id"), F.col("turn").alias("host_no"), F.lit(1).alias("room"), F.col("n").alias("h"))
+    figures = turns.where("role = 'user'").select("doc_id", "section_id", F.concat_ws("/", "section_id", "turn").alias("figure_id"), F.col("turn").alias("order"), "n")
+    scores = figures.join(hosts, ["doc_id", "section_id"]).select(
+        "doc_id", "figure_id", "slide_id", ((F.col("n") + F.col("h")) % 3 == 0).cast("int").alias("direct"), (F.col("n") * F.col("h") % 5).alias("overlap"),
+    )
+    # Turns repeat from one conversation to the next; a host is known by its section.
+    hosts = hosts.withColumn("slide_id", F.concat_ws("/", "section_id", "slide_id"))
+    scores = scores.withColumn("slide_id", F.concat_ws("/", F.split_part("figure_id", F.lit("/"), F.lit(1)), "slide_id"))
+    found = outline.assign_figures(figures.drop("n"), hosts.drop("h"), scores)
+    turn = lambda c: F.split_part(c, F.lit("/"), F.lit(2)).cast("bigint")
+    return found.select(F.col("section_id").alias("conv_id"), turn("figure_id").alias("figure_id"), F.coalesce(turn("slide_id"), F.lit(-1).cast("bigint")).alias("slide_id"))

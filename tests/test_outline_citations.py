@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +28,47 @@ def test_greedy_cover(spark, rows):
     assert rows(outline.greedy_cover(missing, cand), "id", "added") == [("b", 1), ("c", 2)]
 
 
+def test_greedy_cover_against_a_plain_loop(spark):
+    rng = random.Random(4)
+    need = {s: set(rng.sample(range(30), rng.randrange(0, 20))) for s in range(12)}
+    cand = {s: [(k % 5, f"c{k}", set(rng.sample(range(30), rng.randrange(0, 8)))) for k in range(15)] for s in range(12)}
+    missing = spark.createDataFrame([(str(s), str(n)) for s, ns in need.items() for n in ns] * 2, "slide_id string, number string")
+    rows = [(str(s), "block", i, p, str(n)) for s, cs in cand.items() for p, i, ns in cs for n in ns]
+    given = spark.createDataFrame(rows, "slide_id string, kind string, id string, pos int, number string")
+    want = set()
+    for s, left in need.items():
+        left, n = set(left), 0
+        while True:
+            best = min(cand[s], key=lambda c: (-len(c[2] & left), c[0], c[1]))
+            if not best[2] & left:
+                break
+            n += 1
+            want.add((str(s), best[1], n))
+            left -= best[2]
+    assert {(r.slide_id, r.id, r.added) for r in outline.greedy_cover(missing, given).collect()} == want
+
+
+def test_assignment_against_a_plain_loop(spark):
+    rng = random.Random(6)
+    figures = [("d", f"s{k % 3}", f"f{k}", rng.randrange(20)) for k in range(45)]
+    hosts = [("d", f"s{k % 4}", f"p{k}", k, rng.randrange(0, 4)) for k in range(16)]
+    scores = [("d", f[2], h[2], rng.randrange(2), rng.randrange(3)) for f in figures for h in hosts if f[1] == h[1] and rng.random() < 0.6]
+    points = {(f, h): (d, o) for _, f, h, d, o in scores}
+    room, want = {h[2]: h[4] for h in hosts}, {}
+    for _, section, f, _ in sorted(figures, key=lambda f: (f[3], f[2])):
+        free = [h for h in hosts if h[1] == section and room[h[2]] > 0]
+        best = max(free, key=lambda h: (*points.get((f, h[2]), (0, 0)), -h[3]), default=None)
+        want[f] = best and best[2]
+        if best:
+            room[best[2]] -= 1
+    got = outline.assign_figures(
+        spark.createDataFrame(figures, "doc_id string, section_id string, figure_id string, order int"),
+        spark.createDataFrame(hosts, "doc_id string, section_id string, slide_id string, host_no int, room int"),
+        spark.createDataFrame(scores, "doc_id string, figure_id string, slide_id string, direct int, overlap int"),
+    )
+    assert {r.figure_id: r.slide_id for r in got.collect()} == want
+
+
 def test_number_grounding(spark, rows):
     c = spark.createDataFrame([("s", "grew 1,200 to 12.50% in 2021-2023, x99")], "k string, t string")
     e = spark.createDataFrame([("s", "1200 and 12.5, 2021 2022")], "k string, t string")

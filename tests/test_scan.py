@@ -126,6 +126,24 @@ def test_steps_in_a_row_by_ranges(frame, data, spark, coalesce):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("rows", [1, 3, 12])
+@pytest.mark.parametrize("values", [2, 40])
+def test_kept_lookback_matches_a_plain_loop(frame, data, rows, values, spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    line = Timeline(("k",), ("t", "id"))
+    given = frame.withColumn("m", F.col("id") * 7 % values)
+    got = {r.id: r.repeat for r in memory.kept_lookback(given, line, ["m"], rows).collect()}
+    want = {}
+    for items in by_key(data).values():
+        kept = []
+        for r in items:
+            want[r[2]] = (value := r[2] * 7 % values) in kept
+            if not want[r[2]]:
+                kept = [*kept, value][-rows:]
+    assert got == want
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_group_limit_is_planned(frame):
     plan = top_rows(frame, ["k"], [F.col("t"), F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
