@@ -81,7 +81,7 @@ def _luhn(digits: Column) -> Column:
 def base_spans(found: DataFrame) -> DataFrame:
     """(key, kind, start, stop, value): the matches that hold, one document each.
     Places follow from the lengths before them, over the matches of one text."""
-    rows = found.where(F.size("found") > 0).dropDuplicates(["key"]).select("key", F.explode("found").alias("f")).select("key", "f.*")
+    rows = found.select("key", F.explode("found").alias("f")).select("key", "f.*")
     so_far = Window.partitionBy("key", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.length("hit")).over(so_far)
     placed = rows.select("*", stop.cast("long").alias("stop"), (stop - F.length("hit")).cast("long").alias("start"))
@@ -169,16 +169,19 @@ def term_spans(base: DataFrame, entities: DataFrame, held: DataFrame, told: Data
 
 def all_spans(docs: DataFrame, general: float = GENERAL, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
     """``found`` (doc_id, key), one row per row of ``docs``, and ``spans`` (key, kind, start, stop)."""
-    found = cut(matches(docs), "matches")
-    base = cut(base_spans(found), "base")
+    found = cut(matches(docs).withColumn("rid", F.monotonically_increasing_id()), "matches")
+    # One row stands for a document; its number is the key of all pairs, as it is short.
+    named = cut(found.where(F.size("found") > 0).dropDuplicates(["key"]), "named")
+    numbered = named.select(F.col("rid").alias("key"), "found", "t")
+    base = cut(base_spans(numbered), "base")
     once = entities_of(base).select("key", "entity")
     n_e = once.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1")
     entities = cut(once.join(n_e, "entity"), "entities")
     holders = small(cut(entities.select("key").distinct(), "holders"))
-    held = found.where(F.col("t").isNotNull()).join(holders, "key", "left_semi").dropDuplicates(["key"]).select("key", "t")
-    held = cut(held, "held")
+    held = numbered.join(holders, "key", "left_semi").select("key", "t")
     more = term_spans(base, entities, held, disclosing(docs, entities, held, general, remove))
-    return found.select("doc_id", "key"), base.select("key", "kind", "start", "stop").union(more)
+    spans = base.select("key", "kind", "start", "stop").union(more).withColumnRenamed("key", "rid")
+    return found.select("doc_id", "key"), spans.join(named.select("rid", "key"), "rid").select("key", "kind", "start", "stop")
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
