@@ -218,11 +218,13 @@ class Timeline:
         return self.running(marked, **{name: ("sum", F.col("_start"))}).select(*df.columns, name)
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
-    """First ``k`` rows of every key. Spark plans a group limit before the shuffle, so a
-    hot key sends at most ``k`` rows from each map task."""
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, name: str = "rank") -> DataFrame:
+    """First ``k`` rows of every key, all for None. Spark plans a group limit before the shuffle,
+    so a hot key sends at most ``k`` rows from each map task; without a limit a key is one task's
+    work, which is for keys that are small by nature."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    ranked = df.withColumn(name, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(name) <= k)
 
 
 def best_row(df: DataFrame, keys: Sequence[str], order: Column, largest: bool = True) -> DataFrame:

@@ -17,20 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from quire.functions.scan import top_rows
+from quire.session import cut
 
 MAX_QUERIES = 2_000
 DIGITS = 6
 
 
-def _batches(queries: DataFrame, limit: int) -> Iterator[pd.DataFrame]:
-    """The query table as local batches, one if it fits the limit, else parts by query that
-    stay near it."""
-    first = queries.limit(limit + 1).toPandas()
-    if len(first) <= limit:
-        yield first
-        return
+def _batches(queries: DataFrame, limit: int, key: str = "query_id") -> Iterator[pd.DataFrame]:
+    """The query table, computed once, as local batches: one if it fits the limit, else parts by
+    key that stay near it."""
+    queries = cut(queries)
     n = -(-queries.count() // limit)
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    if n <= 1:
+        yield queries.toPandas()
+        return
+    slot = F.pmod(F.xxhash64(key), F.lit(n))
     for i in range(n):
         yield queries.where(slot == i).toPandas()
 
@@ -122,34 +123,39 @@ def _dense_part(vectors: DataFrame, id: str, vector: str, queries: DataFrame, ba
 
 def nearest_prototype(vectors: DataFrame, vector: str, prototypes: DataFrame, threshold: float, k: int = 1, default: str = "general") -> DataFrame:
     """Names of the up to k prototypes most similar to each vector with similarity above the
-    threshold, best first; ``default`` if none. All prototypes go to each task; they are scored
-    ``MAX_QUERIES`` at a time and the best of the parts merged."""
-    batch = prototypes.toPandas().sort_values("name").reset_index(drop=True)
-    names = batch["name"].to_numpy()
-    p = np.vstack(batch["vector"].to_numpy()).astype("float64")
-    size = np.linalg.norm(p, axis=1, keepdims=True)
-    p = np.divide(p, size, out=np.zeros_like(p), where=size > 0)
-
-    @F.pandas_udf(ArrayType(StructType([StructField("name", StringType()), StructField("similarity", DoubleType())])))
-    def match(column: pd.Series) -> pd.Series:
-        v = np.vstack(column.to_numpy()).astype("float64")
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-        best, at = np.empty((len(v), 0)), np.empty((len(v), 0), np.int64)
-        for start in range(0, len(p), MAX_QUERIES):
-            # Earlier parts come first, so equal similarities stay in the order of the names.
-            part = np.round(v @ p[start : start + MAX_QUERIES].T, DIGITS)
-            top = np.argsort(-part, axis=1, kind="stable")[:, :k]
-            best, at = np.hstack([best, np.take_along_axis(part, top, 1)]), np.hstack([at, top + start])
-            top = np.argsort(-best, axis=1, kind="stable")[:, :k]
-            best, at = np.take_along_axis(best, top, 1), np.take_along_axis(at, top, 1)
-        out = []
-        for row, order in zip(best, at):
-            hit = [{"name": names[i], "similarity": float(s)} for s, i in zip(row, order) if s > threshold]
-            out.append(hit or [{"name": default, "similarity": 0.0}])
-        return pd.Series(out)
-
-    return vectors.withColumn("matches", match(F.col(vector)))
+    threshold, best first and by name where they tie; ``default`` if none. Prototypes go to the
+    tasks in parts of about ``MAX_QUERIES``; each part keeps k, and the parts are merged."""
+    kind = ArrayType(StructType([StructField("low", DoubleType()), StructField("name", StringType())]))
+
+    def part(batch: pd.DataFrame):
+        batch = batch.sort_values("name")
+        names = batch["name"].to_numpy()
+        p = _unit(np.vstack(batch["vector"].to_numpy()))
+
+        @F.pandas_udf(kind)
+        def match(column: pd.Series) -> pd.Series:
+            score = np.round(_unit(np.vstack(column.to_numpy())) @ p.T, DIGITS)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(score, top, 1)
+            return pd.Series([[{"low": -float(x), "name": names[i]} for x, i in zip(*r) if x > threshold] for r in zip(best, top)])
+
+        return match(F.col(vector))
+
+    found = [part(b) for b in _batches(prototypes, MAX_QUERIES, "name") if len(b)]
+    none = F.array(F.struct(F.lit(default).alias("name"), F.lit(0.0).alias("similarity")))
+    if not found:
+        return vectors.withColumn("matches", none)
+    names = [f"_part{i}" for i in range(len(found))]
+    best = F.slice(F.array_sort(F.concat(*names)), 1, k)
+    named = F.transform(best, lambda m: F.struct(m["name"].alias("name"), (-m["low"]).alias("similarity")))
+    rows = vectors.withColumns(dict(zip(names, found)))
+    return rows.withColumn("matches", F.when(F.size(named) > 0, named).otherwise(none)).drop(*names)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype("float64")
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
 def cosine(a: Column, b: Column) -> Column:

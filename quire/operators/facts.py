@@ -607,9 +607,9 @@ def anchor_window(df: DataFrame, anchors: DataFrame, keys: Sequence[str], pos: s
     return rows.where((F.col(pos) >= start) & (F.col(pos) < start + size)).drop("_anchor")
 
 
-def scoped_candidates(slides: DataFrame, refs: DataFrame, evidence: DataFrame, relations: DataFrame, candidates: DataFrame, blocks_in_section: int = 12, tables_in_section: int = 4) -> DataFrame:
+def scoped_candidates(slides: DataFrame, refs: DataFrame, evidence: DataFrame, relations: DataFrame, candidates: DataFrame, blocks_in_section: int | None = 12, tables_in_section: int | None = 4) -> DataFrame:
     """Candidates of every content slide: from its own evidence if that gives any, else from a
-    bounded window of its section. ``refs``: slide evidence (doc_id, slide_id, kind, id);
+    window of its section (all of it for None). ``refs``: slide evidence (doc_id, slide_id, kind, id);
     ``evidence`` has section_id and pos; ``relations`` link blocks to tables."""
     pages = slides.where((F.coalesce("slide_type", F.lit("")) != "figure_page") & (F.coalesce("page_role", F.lit("content")) == "content"))
     own = pages.select("doc_id", "slide_id").join(refs, ["doc_id", "slide_id"]).join(evidence.select("doc_id", "kind", "id"), ["doc_id", "kind", "id"], "left_semi")
@@ -631,7 +631,7 @@ def scoped_candidates(slides: DataFrame, refs: DataFrame, evidence: DataFrame, r
     around = (
         sections.join(evidence.where(F.col("kind") == "block"), ["doc_id", "section_id"])
         .join(anchors, ["doc_id", "slide_id", "section_id"], "left")
-        .where(F.col("pos") >= F.coalesce(F.col("_anchor") - blocks_in_section // 2, F.lit(0)))
+        .where(F.lit(True) if blocks_in_section is None else F.col("pos") >= F.coalesce(F.col("_anchor") - blocks_in_section // 2, F.lit(0)))
     )
     blocks = top_rows(around, ["doc_id", "slide_id"], [F.col("pos"), F.col("id")], blocks_in_section, "_n").select("doc_id", "slide_id", "kind", "id")
     near = sections.join(evidence.where(F.col("kind") == "table"), ["doc_id", "section_id"])
@@ -702,10 +702,10 @@ def block_proposals(plans: DataFrame, facts: DataFrame) -> DataFrame:
 SIGNATURE = ("metric_key", "measure_kind", "unit_family", "unit_scale", "currency", "scope")
 
 
-def table_series(facts: DataFrame, signature: Sequence[str] = SIGNATURE, keep: int = 3) -> DataFrame:
+def table_series(facts: DataFrame, signature: Sequence[str] = SIGNATURE, keep: int | None = 3) -> DataFrame:
     """Trend series of each table: the largest group of period columns that share a unit, rows
     complete over those columns with one metric signature, the largest signature group, and
-    of it the first ``keep`` rows. One row per (table, row) with its signature."""
+    of it the first ``keep`` rows (all for None). One row per (table, row) with its signature."""
     key = ["doc_id", "source_id"]
     timed = facts.where((F.col("source_kind") == "table") & (F.coalesce("period", F.lit("")) != ""))
     columns = timed.groupBy(*key, "column_index").agg(
@@ -918,10 +918,12 @@ def chart_documents(points: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def checked_cells(tables: DataFrame, facts: DataFrame, rows: int = 8, columns: int = 6) -> DataFrame:
-    """The first rows and columns of a table, each numeric cell with its fact; ``issue`` names a
-    number without a fact or a fact that differs."""
-    cells = table_cells(tables).where((F.col("row_index") < rows) & (F.col("column_index") < columns))
+def checked_cells(tables: DataFrame, facts: DataFrame, rows: int | None = None, columns: int | None = None) -> DataFrame:
+    """The cells of a table (with ``rows`` and ``columns`` only the first so many), each numeric
+    cell with its fact; ``issue`` names a number without a fact or a fact that differs."""
+    cells = table_cells(tables)
+    for place, most in (("row_index", rows), ("column_index", columns)):
+        cells = cells if most is None else cells.where(F.col(place) < most)
     known = facts.where(F.col("source_kind") == "table").select(
         "doc_id", "source_id", "row_index", "column_index", "fact_id", "raw_value", "normalized_value"
     )

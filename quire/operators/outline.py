@@ -95,17 +95,20 @@ def contained(df: DataFrame, closure: DataFrame, on: Sequence[str]) -> DataFrame
 
 
 def within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: Column, budget: int = BUDGET) -> DataFrame:
-    """Items kept in order while costs of one or two fit a budget of two, skipping those that do
-    not fit. With these costs the result has a closed form: a first item of two fills the
-    budget; else the first two items of one are kept. So two group limits decide it, and no
-    key is folded in one task."""
-    if budget != 2:
-        raise ValueError("the closed form is for a budget of two")
+    """Items kept in order while costs of one or two fit the budget, skipping those that do not
+    fit. With these costs the result has a closed form: the first items as long as they fit, and,
+    where one unit is left, the next item of one. Both lie within the first ``budget`` rows of
+    their kind, so two group limits decide it, and no key is folded in one task."""
     rows = df.withColumn("_cost", cost)
-    first = top_rows(rows, keys, order, 1, "_n").drop("_n")
-    ones = top_rows(rows.where(F.col("_cost") == 1), keys, order, 2, "_n").drop("_n")
-    wide = first.where(F.col("_cost") == 2)
-    return wide.unionByName(ones.join(wide.select(*keys), list(keys), "left_anti")).drop("_cost")
+    so_far = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    first = top_rows(rows, keys, order, budget, "_n").withColumn("_used", F.sum("_cost").over(so_far)).where(F.col("_used") <= budget)
+    ends = first.groupBy(*keys).agg(F.max("_used").alias("_used"), F.count_if(F.col("_cost") == 1).alias("_ones"))
+    ones = top_rows(rows.where(F.col("_cost") == 1), keys, order, budget, "_n").join(ends.where(F.col("_used") == budget - 1), list(keys))
+    more = ones.where(F.col("_n") == F.col("_ones") + 1)
+    if budget == 1:  # no prefix fits where the first item costs two
+        none = top_rows(rows.where(F.col("_cost") == 1), keys, order, 1, "_n").join(ends.select(*keys), list(keys), "left_anti")
+        return first.select(*df.columns).unionByName(none.select(*df.columns))
+    return first.select(*df.columns).unionByName(more.select(*df.columns))
 
 
 def visual_cost() -> Column:
@@ -284,7 +287,7 @@ def assign_figures(figures: DataFrame, hosts: DataFrame, scores: DataFrame, roun
     return figures.select(*key).join(kept.select(*key, "slide_id"), key, "left")
 
 
-def standalone_pages(unassigned: DataFrame, content_counts: DataFrame, ratio: float = 0.4, per_section: int = 3) -> DataFrame:
+def standalone_pages(unassigned: DataFrame, content_counts: DataFrame, ratio: float = 0.4, per_section: int | None = 3) -> DataFrame:
     """Figure pages that stay: a share of the content pages, one per section first, then up to
     three per section, richest context first."""
     order = [F.desc("nearby"), F.desc(F.length("caption")), F.col("order")]

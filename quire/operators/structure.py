@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions.rules import all_issues, missing, repeated, rule
 from quire.functions.scan import GHOST, SLICE, Timeline, top_rows
 from quire.functions.text import squeeze, unless
+from quire.session import cut
 from quire.sources.readers import alignment, is_separator, pad_row, split_row
 
 # Line patterns of the Markdown subset.
@@ -334,14 +335,17 @@ def section_ids(headings: DataFrame) -> DataFrame:
     ).drop("_nth", "_same")
 
 
-def ancestry(nodes: DataFrame, keys: Sequence[str], id: str, parent: str, depth: int = 8) -> DataFrame:
+def ancestry(nodes: DataFrame, keys: Sequence[str], id: str, parent: str, depth: int | None = None) -> DataFrame:
     """Path from the root to every node, with ``issue`` for a cycle or an unknown parent.
-    One equi join per level on the small hierarchy table."""
+    One equi join per level, as many as the deepest node needs; ``depth`` bounds them where it
+    is known."""
     base = nodes.select(*keys, F.col(id).alias("_id"), F.col(parent).alias("_up"))
     rows = nodes.withColumns(
         {"path": F.array(F.col(id)), "_next": F.col(parent), "issue": F.lit(None).cast("string")}
     )
-    for _ in range(depth):
+    level = 0
+    while level < depth if depth is not None else rows.where(F.col("_next").isNotNull()).limit(1).count():
+        level += 1
         step = base.select(*keys, F.col("_id").alias("_next"), F.col("_up").alias("_after"), F.lit(True).alias("_hit"))
         rows = rows.join(step, [*keys, "_next"], "left")
         cycle = F.array_contains("path", F.col("_next"))
@@ -358,6 +362,7 @@ def ancestry(nodes: DataFrame, keys: Sequence[str], id: str, parent: str, depth:
                 "_next": F.when(go, F.col("_after")),
             }
         ).drop("_after", "_hit")
+        rows = rows if depth is not None else cut(rows)
     return rows.withColumn("issue", F.coalesce("issue", F.when(F.col("_next").isNotNull(), "too deep"))).drop("_next")
 
 
@@ -583,6 +588,9 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return placed.withColumn("reading_order", F.row_number().over(final) - 1).drop("_role", "_at", "_moved")
 
 
+CELL = 200  # edge of a grid cell in box units; it decides the work, not the result
+
+
 def table_continuations(items: DataFrame) -> DataFrame:
     """Tables cut by a page end: bottom edge from 850, a source note within the top 250 of the
     next page, and at least two text items aligned with the table above that note."""
@@ -599,13 +607,19 @@ def table_continuations(items: DataFrame) -> DataFrame:
         .groupBy("doc_id", "page_idx").agg(F.min(F.struct(at(1).alias("y"), F.col("item_index").alias("note_index"))).alias("n"))
         .select("doc_id", "page_idx", "n.y", "n.note_index")
     )
-    near = texts.select("doc_id", "page_idx", "item_index", *[at(i).alias(f"b{i}") for i in range(4)])
+    # Texts above the note meet tables by the cell of their left edge; a table looks into the
+    # cells where that edge may lie, so a pair meets in one cell.
+    cell = lambda c: F.floor(c / CELL)
+    near = (
+        texts.join(notes.select("doc_id", "page_idx", "y"), ["doc_id", "page_idx"]).where((at(1) < F.col("y")) & (at(3) <= 250))
+        .select("doc_id", "page_idx", "item_index", at(0).alias("b0"), at(2).alias("b2"), cell(at(0)).alias("cell"))
+    )
+    wide = tables.withColumn("cell", F.explode(F.sequence(cell(F.col("left") - 100), cell(F.col("right") + 100))))
     return (
-        tables.join(notes, ["doc_id", "page_idx"]).join(near, ["doc_id", "page_idx"])
-        .where(
-            (F.col("b1") < F.col("y")) & (F.col("b3") <= 250)
-            & (F.col("b0") >= F.col("left") - 100) & (F.col("b2") <= F.col("right") + 100)
-        )
+        wide.join(near, ["doc_id", "page_idx", "cell"])
+        .where((F.col("b0") >= F.col("left") - 100) & (F.col("b2") <= F.col("right") + 100))
+        .select("doc_id", "page_idx", "table_index", "item_index")
+        .join(notes.select("doc_id", "page_idx", "note_index"), ["doc_id", "page_idx"])
         .groupBy("doc_id", "table_index", "note_index")
         .agg(F.array_sort(F.collect_list("item_index")).alias("items"))
         .where(F.size("items") >= 2)
@@ -1031,22 +1045,36 @@ def length_class(text: Column, lines: int = 300, chars: int = 30_000) -> Column:
     return F.when((F.size(F.split(text, "\n")) > lines) | (F.length(text) > chars), "long").otherwise("normal")
 
 
-def region_captions(regions: DataFrame, captions: DataFrame) -> DataFrame:
+def region_captions(regions: DataFrame, captions: DataFrame, cell: int = CELL) -> DataFrame:
     """Nearest caption of each region: same page and category, widths overlap by a fifth, below
-    (gap −12 to 120) before above (−12 to 80), then by gap and overlap."""
+    (gap −12 to 120) before above (−12 to 80), then by gap and overlap.
+
+    A grid join: a caption lies in the band of its near edge and in the columns it covers, a
+    region looks into the bands its gap allows; a pair counts in the first column both cover. The
+    best caption is an aggregate, so a page with many boxes is not paired in full."""
+    at = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / cell)
+    columns = lambda a, z: F.explode(F.sequence(at(F.least(a, z)), at(F.greatest(a, z))))
     c = captions.select("page", "category", "caption_text", *[F.col(x).alias(f"c_{x}") for x in ("x0", "y0", "x1", "y1")])
-    rows = regions.join(c, ["page", "category"])
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), at("c_y0").alias("band"), F.col("c_y0").alias("edge")),
+        F.struct(F.lit(1).alias("side"), at("c_y1").alias("band"), F.col("c_y1").alias("edge")),
+    )
+    c = c.withColumn("s", F.explode(sides)).select("*", "s.*").drop("s").withColumn("column", columns(F.col("c_x0"), F.col("c_x1")))
+    looks = F.array(
+        F.struct(F.lit(0).alias("side"), (F.col("y1") - 12).alias("lo"), (F.col("y1") + 120).alias("hi")),
+        F.struct(F.lit(1).alias("side"), (F.col("y0") - 80).alias("lo"), (F.col("y0") + 12).alias("hi")),
+    )
+    r = regions.select("region_id", "page", "category", "x0", "x1", "y0", "y1").withColumn("s", F.explode(looks)).select("*", "s.*").drop("s")
+    r = r.withColumn("band", F.explode(F.sequence(at("lo"), at("hi")))).withColumn("column", columns(F.col("x0"), F.col("x1")))
     overlap = (F.least("x1", "c_x1") - F.greatest("x0", "c_x0")) / F.greatest(
         F.lit(1.0), F.least(F.col("x1") - F.col("x0"), F.col("c_x1") - F.col("c_x0"))
     )
-    below, above = F.col("c_y0") - F.col("y1"), F.col("y0") - F.col("c_y1")
-    side = F.when(below.between(-12, 120), 0).when(above.between(-12, 80), 1)
-    gap = F.abs(F.when(side == 0, below).otherwise(above))
-    best = (
-        rows.where((overlap >= 0.2) & side.isNotNull())
-        .groupBy("region_id")
-        .agg(F.min_by("caption_text", F.struct(side, gap, -overlap, "caption_text")).alias("caption"))
+    gap = F.when(F.col("side") == 0, F.col("edge") - F.col("y1")).otherwise(F.col("y0") - F.col("edge"))
+    rows = r.join(c, ["page", "category", "side", "band", "column"]).where(
+        (F.col("column") == at(F.greatest(F.least("x0", "x1"), F.least("c_x0", "c_x1")))) & F.col("edge").between(F.col("lo"), F.col("hi")) & (overlap >= 0.2)
     )
+    # A caption that fits below is not one above.
+    best = rows.groupBy("region_id").agg(F.min_by("caption_text", F.struct("side", F.abs(gap), -overlap, "caption_text")).alias("caption"))
     return regions.join(best, "region_id", "left").withColumn("caption", F.trim(F.coalesce("caption", F.lit(""))))
 
 
@@ -1121,9 +1149,72 @@ def bind_assets(pages: DataFrame, scored: DataFrame) -> DataFrame:
     )
 
 
-def extractive_summary(text: Column, cues: Sequence[str], limit: int = 8000) -> Column:
-    """Headings, cue lines (else the first 30 longer lines), image and table lines of a text,
-    each distinct and capped, as one clipped string. Folded inside the row."""
+def bind_pages(pages: DataFrame, assets: DataFrame, cues: Sequence[Cue]) -> DataFrame:
+    """``bind_assets`` over ``score_assets`` without pairing the pages and assets of a document.
+
+    What a page names comes from its text: file names and numbered references are postings that
+    meet assets by equality. For topics and hints assets are put into classes of equal kind and
+    equal cues; inside a class the order of assets is the same for every page, so its first asset
+    stands for it, and a page meets one row a class, however many assets the document has."""
+    low, cap = F.lower("text"), F.lower(F.coalesce("caption", F.lit("")))
+
+    def bits(holds: list[Column]) -> Column:
+        return F.array(*[F.coalesce(h, F.lit(False)) for h in holds])
+
+    on_page = [reduce(lambda a, b: a | b, [low.contains(t) for t in terms]) for _, _, terms, _ in cues]
+    on_asset = [(F.lit(True) if kind is None else F.col("kind") == kind) & (F.lit(True) if term is None else cap.contains(term)) for kind, term, _, _ in cues]
+    structural = F.col("purpose").isin("opening", "ending", "table_of_contents", "section_divider")
+    own = pages.where(~F.coalesce(structural, F.lit(False))).select(
+        "doc_id", "page", bits(on_page).alias("p_cues") if cues else F.array().cast("array<boolean>").alias("p_cues"),
+        low.rlike("架构|architecture|mechanism|attention").alias("mechanism"),
+        low.rlike("结果|bleu|result|table|chart|trend|accuracy|指标|消融|训练成本").alias("result"),
+        (F.col("image_count") + F.col("table_count") > 0).alias("hinted"), "text",
+    )
+    held = assets.select(
+        "doc_id", "path", "kind", "base", "area", F.element_at(F.split("path", "/"), -1).alias("filename"),
+        F.regexp_extract(F.lower("caption"), r"(?:table|figure|fig\.?)\s*(\d+)", 1).alias("number"),
+        bits(on_asset).alias("a_cues") if cues else F.array().cast("array<boolean>").alias("a_cues"),
+    )
+    points = F.lit(0)
+    for i, (_, _, _, weight) in enumerate(cues):
+        points = points + F.when(F.col("p_cues")[i] & F.col("a_cues")[i], weight).otherwise(0)
+    columns = ["doc_id", "page", "path", "kind", "step", (F.col("base") + points).alias("score"), "area"]
+    lean = own.drop("text")
+    # A name follows a slash and ends at its bracket.
+    named = own.select("doc_id", "page", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=/([^/]*?\)))"), F.lit(1)))).alias("n"))
+    named = named.select("doc_id", "page", F.regexp_replace("n", r"\)$", "").alias("filename")).where("filename <> ''").distinct()
+    found = F.regexp_extract_all(F.regexp_replace(F.lower("text"), r"\s+", " "), F.lit(r"(?=((?:table|chart|figure|formula) \d+))"), F.lit(1))
+    numbered = own.select("doc_id", "page", F.explode(F.array_distinct(found)).alias("n")).select("doc_id", "page", F.split("n", " ").alias("n"))
+    # "figure 12" also names figure 1, as a text contains it.
+    starts = F.transform(F.sequence(F.lit(1), F.length(F.col("n")[1])), lambda k: F.substring(F.col("n")[1], F.lit(1), k))
+    numbered = numbered.select("doc_id", "page", F.col("n")[0].alias("kind"), F.explode(starts).alias("number")).distinct()
+    by_name = named.join(held, ["doc_id", "filename"])
+    # A name that holds a bracket itself is rare, and is looked for as it is.
+    odd = held.where(F.contains("filename", F.lit(")"))).join(own.select("doc_id", "page", "text"), "doc_id")
+    odd = odd.where(F.contains("text", F.concat(F.lit("/"), F.col("filename"), F.lit(")"))))
+    by_name = by_name.unionByName(odd.select(*by_name.columns)).join(lean, ["doc_id", "page"]).withColumn("step", F.lit(1))
+    by_number = numbered.join(held, ["doc_id", "kind", "number"]).join(lean, ["doc_id", "page"]).withColumn("step", F.lit(2))
+    first = F.min(F.struct((-F.col("base")).alias("_b"), (-F.col("area")).alias("_a"), "path")).alias("f")
+    classes = held.groupBy("doc_id", "kind", "a_cues").agg(first).select("doc_id", "kind", "a_cues", (-F.col("f._b")).alias("base"), (-F.col("f._a")).alias("area"), "f.path")
+    step = F.when(F.col("mechanism") & (F.col("kind") == "figure"), 3).when(F.col("result") & F.col("kind").isin("table", "chart"), 4).when(F.col("hinted"), 5)
+    by_class = lean.where("mechanism or result or hinted").join(classes, "doc_id").withColumn("step", step).where(F.col("step").isNotNull())
+    rows = reduce(DataFrame.unionByName, [x.select(*columns) for x in (by_name, by_number, by_class)])
+    best = (
+        rows.groupBy("doc_id", "page")
+        .agg(F.min_by(F.struct("path", "kind", "step"), F.struct(F.col("step"), -F.col("score"), -F.col("area"), F.col("path"))).alias("b"))
+        .select("doc_id", "page", "b.*")
+    )
+    return pages.select("doc_id", "page").join(best, ["doc_id", "page"], "left").withColumn(
+        "requirement", F.when(F.col("step").isNull(), "none").when(F.col("step") == 5, "optional").otherwise("required")
+    )
+
+
+def extractive_summary(text: Column, cues: Sequence[str], limit: int | None = 8000, caps: Sequence[int | None] = (12, 24, 10, 8), longer: int | None = 30) -> Column:
+    """Headings, cue lines (else the first ``longer`` longer lines), image and table lines of a
+    text, each distinct and capped, as one clipped string; None takes all. Folded inside the row."""
+    def first(items: Column, most: int | None) -> Column:
+        return items if most is None else F.slice(items, 1, most)
+
     lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     heads = F.filter(lines, lambda x: x.startswith("#"))
     body = F.filter(lines, lambda x: ~x.startswith("#"))
@@ -1131,14 +1222,13 @@ def extractive_summary(text: Column, cues: Sequence[str], limit: int = 8000) ->
     rest = F.filter(body, lambda x: ~(x.contains("![") & x.contains("](")))
     tables = F.filter(rest, lambda x: F.lower(x).contains("table"))
     cued = F.filter(rest, lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(c) for c in cues]))
-    points = F.when(F.size(cued) > 0, cued).otherwise(F.slice(F.filter(lines, lambda x: F.length(x) >= 40), 1, 30))
+    points = F.when(F.size(cued) > 0, cued).otherwise(first(F.filter(lines, lambda x: F.length(x) >= 40), longer))
 
-    def part(title: str, items: Column, cap: int) -> Column:
-        kept = F.slice(F.array_distinct(F.filter(F.transform(items, squeeze), lambda x: x != "")), 1, cap)
+    def part(title: str, items: Column, most: int | None) -> Column:
+        kept = first(F.array_distinct(F.filter(F.transform(items, squeeze), lambda x: x != "")), most)
         return F.when(F.size(kept) > 0, F.concat(F.lit(f"## {title}\n- "), F.array_join(kept, "\n- ")))
 
     heads = F.transform(heads, lambda x: F.trim(F.regexp_replace(x, "^[# ]+", "")))
-    return F.left(
-        F.concat_ws("\n", part("Sections", heads, 12), part("Points", points, 24), part("Visuals", images, 10), part("Tables", tables, 8)),
-        F.lit(limit),
-    )
+    parts = zip(("Sections", "Points", "Visuals", "Tables"), (heads, points, images, tables), caps, strict=True)
+    said = F.concat_ws("\n", *[part(*p) for p in parts])
+    return said if limit is None else F.left(said, F.lit(limit))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("sources", "structure", "markdown", "wording", "facts", "outline", "citations", "retrieval", "memory", "runs", "pages", "streams")
+FAMILIES = ("sources", "structure", "markdown", "wording", "facts", "outline", "citations", "retrieval", "memory", "runs", "pages", "streams", "tables")
 
 
 def load_all():

@@ -264,7 +264,7 @@ def f16(t: Tables) -> DataFrame:
 
 @query(
     "f17_quota_selection",
-    """with pool as (select *, row_number() over (order by value desc, event_id) as place from events order by value desc, event_id limit 100),
+    """with pool as (select *, row_number() over (order by value desc, event_id) as place from events),
     n as (select *, row_number() over (partition by event_type order by place) as nth from pool),
     p as (select *, case when nth <= case event_type when 'error' then 2 when 'view' then 2 when 'click' then 4 else 0 end then 1 else 2 end as phase from n
       where nth <= case event_type when 'click' then 6 else 1000000 end),

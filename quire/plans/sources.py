@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans.registry import Tables, query
+from quire.session import scratch
 from quire.sources import readers, tables
+from quire.sources.index import BucketedIndex
 
 
 @query(
@@ -99,10 +101,82 @@ def a13(t: Tables) -> DataFrame:
 
 @query(
     "a15_index_candidates",
-    """select event_id from (select event_id, event_type from events where event_type <> 'error' order by ts desc, event_id desc limit 1000)
-    where event_id not in (select event_id from events where value >= 50)""",
+    """select event_id from events where event_type <> 'error' and event_id not in (select event_id from events where value >= 50)""",
 )
 def a15(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "event_type", "ts")
     indexed = t.events.where(F.col("value") >= 50).select("event_id")
-    return tables.index_candidates(rows, indexed, "event_id", F.col("event_type") != "error", ["ts"]).select("event_id")
+    return tables.index_candidates(rows, indexed, "event_id", F.col("event_type") != "error", ["ts"], cap=None).select("event_id")
+
+
+@query(
+    "j06_index_batches",
+    """select doc_id, case when doc_id % 3 <> 1 then 0 when doc_id % 2 = 0 then 1 else 2 end as batch from documents""",
+)
+def j06_index(t: Tables) -> DataFrame:
+    index = BucketedIndex(f"{scratch(t.spark)}/index", "doc_id", buckets=8)
+    docs = t.documents.select("doc_id")
+    for n, part in enumerate((docs.where("doc_id % 3 <> 1"), docs.where("doc_id % 2 = 0"), docs)):
+        index.append(part.withColumn("batch", F.lit(n)))
+    return index.rows(t.spark)
+
+
+# A deck is a customer, a slide an order, an artifact a line; every eleventh thing is wrong.
+EXPORT_SQL = """
+  slides as (select o_custkey as doc_id, o_orderkey as slide_id from orders),
+  l as (select o_custkey as doc_id, l_orderkey * 8 + l_linenumber as artifact_id, case when l_partkey % 11 = 0 then -l_orderkey else l_orderkey end as slide_id,
+      case l_returnflag when 'A' then 'chart' when 'N' then 'table' else 'image' end as kind, l_suppkey, l_partkey, l_linenumber, cast(l_quantity as int) as q from lineitem join orders on l_orderkey = o_orderkey),
+  artifacts as (select *, case l_suppkey % 4 when 0 then 'combo' when 1 then 'pie' else 'bar' end as chart_type, l_partkey % 9 as categories, l_linenumber % 6 as cols, q % 7 as nrows, l_partkey % 13 as sources from l),
+  series as (select doc_id, artifact_id, k as series_no, case when (k + l_suppkey) % 5 = 0 then ' ' else 's' || (k * l_suppkey) % 7 end as name, l_partkey % 9 + cast(l_linenumber = 6 as int) as vals
+    from artifacts, unnest(range(1, 1 + q % 4)) as t(k) where kind = 'chart'),
+  audit as (select c_custkey as doc_id, case when c_acctbal > 0 then 'passed' else 'failed' end as status, cast(c_custkey % 50 = 0 as int) as mismatches from customer where c_custkey % 17 <> 0),
+  bindings as (select doc_id, artifact_id + cast(l_partkey % 19 = 0 as int) * 1000000000 as artifact_id, 'p' || l_partkey % 3 as output_path, l_partkey as fact_id from artifacts where l_partkey % 5 <> 0
+    union all select doc_id, artifact_id, 'p' || l_partkey % 3, l_partkey + l_linenumber % 2 from artifacts where l_partkey % 7 = 0 and l_partkey % 19 <> 0),
+  shape as (select a.doc_id, a.artifact_id, chart_type, categories, count(series_no) as n, count(*) filter (where trim(name, ' ') = '') as blank,
+      count(distinct case when trim(name, ' ') <> '' then name end) as names, count(*) filter (where vals <> categories) as uneven
+    from artifacts a left join series s on a.doc_id = s.doc_id and a.artifact_id = s.artifact_id where kind = 'chart' group by 1, 2, 3, 4),
+  twice as (select doc_id, artifact_id, output_path, count(distinct fact_id) as facts, count(*) as n from bindings group by 1, 2, 3)"""
+
+
+@query(
+    "a14_export_issues",
+    f"""with {EXPORT_SQL}
+    select 'EXPORT.UNKNOWN_SLIDE' as code, doc_id || '/' || artifact_id as path from artifacts where slide_id not in (select slide_id from slides)
+    union all select 'EXPORT.DUPLICATE_ARTIFACT', doc_id || '/' || artifact_id from artifacts group by doc_id, artifact_id having count(*) > 1
+    union all select 'EXPORT.NO_SOURCE', doc_id || '/' || artifact_id from artifacts where sources = 0
+    union all select 'EXPORT.UNSUPPORTED_CHART', doc_id || '/' || artifact_id from artifacts where kind = 'chart' and chart_type = 'combo'
+    union all select 'EXPORT.EMPTY_CHART', doc_id || '/' || artifact_id from shape where n = 0 or categories = 0
+    union all select 'EXPORT.SERIES_NAMES', doc_id || '/' || artifact_id from shape where blank > 0 or names < n - blank
+    union all select 'EXPORT.SERIES_LENGTH', doc_id || '/' || artifact_id from shape where uneven > 0
+    union all select 'EXPORT.PIE_SERIES', doc_id || '/' || artifact_id from shape where chart_type = 'pie' and n <> 1
+    union all select 'EXPORT.EMPTY_TABLE', doc_id || '/' || artifact_id from artifacts where kind = 'table' and (cols = 0 or nrows = 0)
+    union all select 'EXPORT.AUDIT', doc_id::varchar from audit where status <> 'passed' or mismatches > 0
+    union all select 'EXPORT.AUDIT_MISSING', doc_id || '/' || artifact_id from artifacts where doc_id not in (select doc_id from audit)
+    union all select 'EXPORT.NOT_AUDITED', doc_id || '/' || artifact_id from artifacts a where kind <> 'image' and not exists (select 1 from bindings b where b.doc_id = a.doc_id and b.artifact_id = a.artifact_id)
+    union all select 'EXPORT.UNKNOWN_BINDING', doc_id || '/' || artifact_id from bindings b where not exists (select 1 from artifacts a where b.doc_id = a.doc_id and b.artifact_id = a.artifact_id)
+    union all select 'EXPORT.BINDING', doc_id || '/' || artifact_id || '/' || output_path from twice where facts <> 1 or n <> 1""",
+)
+def a14(t: Tables) -> DataFrame:
+    c = F.col
+    slides = t.orders.select(c("o_custkey").alias("doc_id"), c("o_orderkey").alias("slide_id"))
+    l = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
+    artifacts = l.select(
+        c("o_custkey").alias("doc_id"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("artifact_id"),
+        F.when(c("l_partkey") % 11 == 0, -c("l_orderkey")).otherwise(c("l_orderkey")).alias("slide_id"),
+        F.when(c("l_returnflag") == "A", "chart").when(c("l_returnflag") == "N", "table").otherwise("image").alias("kind"),
+        F.when(c("l_suppkey") % 4 == 0, "combo").when(c("l_suppkey") % 4 == 1, "pie").otherwise("bar").alias("chart_type"),
+        (c("l_partkey") % 9).alias("categories"), (c("l_linenumber") % 6).alias("columns"), (c("l_quantity").cast("int") % 7).alias("rows"),
+        (c("l_partkey") % 13).alias("sources"), "l_suppkey", "l_partkey", "l_linenumber", c("l_quantity").cast("int").alias("q"),
+    )
+    drawn = artifacts.where("kind = 'chart' and q % 4 > 0").withColumn("series_no", F.explode(F.sequence(F.lit(1), c("q") % 4)))
+    name = F.when((c("series_no") + c("l_suppkey")) % 5 == 0, " ").otherwise(F.concat(F.lit("s"), c("series_no") * c("l_suppkey") % 7))
+    series = drawn.select("doc_id", "artifact_id", "series_no", name.alias("name"), (c("categories") + (c("l_linenumber") == 6).cast("int")).alias("values"))
+    audit = t.customer.where("c_custkey % 17 <> 0").select(
+        c("c_custkey").alias("doc_id"), F.when(c("c_acctbal") > 0, "passed").otherwise("failed").alias("status"), (c("c_custkey") % 50 == 0).cast("int").alias("mismatches")
+    )
+    path = F.concat(F.lit("p"), c("l_partkey") % 3).alias("output_path")
+    moved = (c("artifact_id") + (c("l_partkey") % 19 == 0).cast("int") * 1000000000).alias("artifact_id")
+    bindings = artifacts.where("l_partkey % 5 <> 0").select("doc_id", moved, path, c("l_partkey").alias("fact_id")).unionByName(
+        artifacts.where("l_partkey % 7 = 0 and l_partkey % 19 <> 0").select("doc_id", "artifact_id", path, (c("l_partkey") + c("l_linenumber") % 2).alias("fact_id"))
+    )
+    return tables.export_issues(slides, artifacts, series, audit, bindings).select("code", "path")

@@ -96,7 +96,7 @@ def b11(t: Tables) -> DataFrame:
         .unionByName(node(t.supplier, "s", "s_suppkey", "ns_nationkey"))
         .unionByName(t.region.select(F.lit("world").alias("id"), F.lit(None).cast("string").alias("parent_id")).distinct())
     )
-    return structure.ancestry(nodes, [], "id", "parent_id", depth=4).select("id", F.array_join("path", "/").alias("path"))
+    return structure.ancestry(nodes, [], "id", "parent_id").select("id", F.array_join("path", "/").alias("path"))
 
 
 @query(
@@ -315,10 +315,99 @@ def b36(t: Tables) -> DataFrame:
     """with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as lines from documents),
     b as (select doc_id, list_filter(lines, lambda x: not starts_with(x, '#')) as body, lines from l),
     c as (select doc_id, list_filter(body, lambda x: contains(lower(x), 'ation') or contains(lower(x), 'lich')) as cued,
-      list_filter(lines, lambda x: length(x) >= 40)[1:30] as longer from b),
+      list_filter(lines, lambda x: length(x) >= 40) as longer from b),
     p as (select doc_id, list_transform(case when len(cued) > 0 then cued else longer end, lambda x: regexp_replace(x, '\\s+', ' ', 'g')) as points from c),
-    u as (select doc_id, list_filter(points, lambda x, i: list_position(points, x) = i)[1:24] as kept from p)
-    select doc_id, case when len(kept) > 0 then left('## Points' || chr(10) || '- ' || array_to_string(kept, chr(10) || '- '), 8000) else '' end as summary from u""",
+    u as (select doc_id, list_filter(points, lambda x, i: list_position(points, x) = i) as kept from p)
+    select doc_id, case when len(kept) > 0 then '## Points' || chr(10) || '- ' || array_to_string(kept, chr(10) || '- ') else '' end as summary from u""",
 )
 def b38(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", structure.extractive_summary(F.col("text"), ("ation", "lich")).alias("summary"))
+    return t.documents.select("doc_id", structure.extractive_summary(F.col("text"), ("ation", "lich"), None, (None,) * 4, None).alias("summary"))
+
+
+# A page is a supplier, regions and captions are its lines of odd and even number.
+@query(
+    "b35_region_captions",
+    """with b as (select l_suppkey as page, l_returnflag as category, l_orderkey * 8 + l_linenumber as id, l_linenumber % 2 as odd, l_partkey % 500 as x0,
+        l_partkey % 500 + cast(l_quantity as int) * 3 as x1, cast(floor(l_extendedprice) as bigint) % 9000 as y0, cast(floor(l_extendedprice) as bigint) % 9000 + l_linenumber * 8 as y1 from lineitem),
+    p as (select r.id, c.id as caption, case when c.y0 - r.y1 between -12 and 120 then 0 when r.y0 - c.y1 between -12 and 80 then 1 end as side,
+        (least(r.x1, c.x1) - greatest(r.x0, c.x0)) / greatest(1.0, least(r.x1 - r.x0, c.x1 - c.x0)) as overlap, c.y0 - r.y1 as below, r.y0 - c.y1 as above
+      from b r join b c on r.page = c.page and r.category = c.category and r.odd = 1 and c.odd = 0),
+    best as (select id, arg_min(caption::varchar, struct_pack(s := side, g := abs(case when side = 0 then below else above end), o := -overlap, c := caption::varchar)) as caption
+      from p where side is not null and overlap >= 0.2 group by 1)
+    select b.id as region_id, coalesce(caption, '') as caption from b left join best using (id) where odd = 1""",
+)
+def b35(t: Tables) -> DataFrame:
+    c, d = F.col, lambda x: x.cast("double")
+    y = c("l_extendedprice").cast("bigint") % 9000
+    rows = t.lineitem.select(
+        c("l_suppkey").alias("page"), c("l_returnflag").alias("category"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("region_id"), "l_linenumber",
+        d(c("l_partkey") % 500).alias("x0"), d(c("l_partkey") % 500 + c("l_quantity").cast("int") * 3).alias("x1"), d(y).alias("y0"), d(y + c("l_linenumber") * 8).alias("y1"),
+    )
+    captions = rows.where("l_linenumber % 2 = 0").withColumn("caption_text", c("region_id").cast("string"))
+    return structure.region_captions(rows.where("l_linenumber % 2 = 1"), captions).select("region_id", "caption")
+
+
+@query(
+    "b10_table_continuations",
+    """with i as (select l_suppkey as doc, l_linenumber as page, l_orderkey * 8 + l_linenumber as id, l_returnflag = 'R' as grid, l_partkey % 11 = 0 as note, cast(l_quantity as int) as q,
+        l_partkey % 800 as x0, l_partkey % 800 + 30 + cast(floor(l_extendedprice) as bigint) % 170 as x1, l_partkey % 300 as y0, l_partkey % 300 + cast(l_quantity as int) as y1 from lineitem),
+    t as (select doc, page + 1 as page, id, x0, x1 from i where grid and 800 + q * 3 >= 850 and q % 2 = 0),
+    n as (select doc, page, min(struct_pack(y := y0, id := id)) as n from i where not grid and note and y0 <= 250 group by 1, 2),
+    m as (select t.doc, t.id as table_index, n.n.id as note_index, list(i.id order by i.id) as items from t join n using (doc, page) join i on i.doc = t.doc and i.page = t.page
+      where not i.grid and i.y0 < n.n.y and i.y1 <= 250 and i.x0 >= t.x0 - 100 and i.x1 <= t.x1 + 100 group by 1, 2, 3)
+    select doc as doc_id, table_index, note_index, array_to_string(items, ',') as items from m where len(items) >= 2""",
+)
+def b10(t: Tables) -> DataFrame:
+    c, d = F.col, lambda x: x.cast("double")
+    grid, q, x, y = c("l_returnflag") == "R", c("l_quantity").cast("int"), c("l_partkey") % 800, c("l_partkey") % 300
+    right = x + 30 + c("l_extendedprice").cast("bigint") % 170
+    items = t.lineitem.select(
+        c("l_suppkey").alias("doc_id"), c("l_linenumber").alias("page_idx"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("item_index"),
+        F.when(grid, "table").otherwise("text").alias("type"), F.when(c("l_partkey") % 11 == 0, "Source: x").otherwise("words").alias("text"),
+        F.array(d(x), d(y), d(right), d(F.when(grid, 800 + q * 3).otherwise(y + q))).alias("bbox"),
+        F.when(q % 2 == 0, F.array(F.lit("caption"))).otherwise(F.array().cast("array<string>")).alias("table_caption"),
+    )
+    return structure.table_continuations(items).select("doc_id", "table_index", "note_index", F.array_join("items", ",").alias("items"))
+
+
+# A deck is a source, its pages are documents, its assets are parts.
+ASSET_CUES = (("table", None, ("ation", "lich"), 2), (None, "brushed", ("the", "que"), 3), ("figure", "copper", ("en",), 1))
+
+
+@query(
+    "b37_page_assets",
+    r"""with a as (select 'src' || p_partkey % 20 as doc, 'img/p' || p_partkey % 40 || '.png' as path, p_partkey, 'p' || p_partkey % 40 || '.png' as filename,
+        case p_size % 4 when 0 then 'figure' when 1 then 'table' when 2 then 'chart' else 'formula' end as kind,
+        case when p_size % 2 = 0 then 'Table ' else 'Figure ' end || p_size % 30 || ': ' || lower(p_type) as caption, p_size % 5 as base, p_partkey % 97 as area, p_size % 30 as number from part),
+    p as (select source as doc, doc_id as page, text || case doc_id % 7 when 0 then ' (x/p' || doc_id % 90 || '.png)' when 1 then ' see table  ' || doc_id % 40 when 2 then ' results' when 3 then ' attention' else '' end as text,
+        doc_id % 10 = 0 as structural, doc_id % 3 = 0 as hinted from documents),
+    s as (select p.doc, p.page, a.*, lower(p.text) as low, case when contains(p.text, '/' || filename || ')') then 1
+        when contains(regexp_replace(lower(p.text), '\s+', ' ', 'g'), kind || ' ' || number) then 2
+        when regexp_matches(lower(p.text), '架构|architecture|mechanism|attention') and kind = 'figure' then 3
+        when regexp_matches(lower(p.text), '结果|bleu|result|table|chart|trend|accuracy|指标|消融|训练成本') and kind in ('table', 'chart') then 4 when hinted then 5 end as step
+      from p join a using (doc) where not structural),
+    r as (select *, base + case when kind = 'table' and (contains(low, 'ation') or contains(low, 'lich')) then 2 else 0 end
+        + case when contains(caption, 'brushed') and (contains(low, 'the') or contains(low, 'que')) then 3 else 0 end
+        + case when kind = 'figure' and contains(caption, 'copper') and contains(low, 'en') then 1 else 0 end as score from s where step is not null),
+    b as (select doc, page, arg_min(struct_pack(p := path, k := kind, s := step), struct_pack(s := step, c := -score, a := -area, p := path)) as b from r group by 1, 2)
+    select p.page, coalesce(b.b.p, '') as path, coalesce(b.b.s, 0) as step, case when b.b.s is null then 'none' when b.b.s = 5 then 'optional' else 'required' end as requirement from p left join b on p.doc = b.doc and p.page = b.page""",
+)
+def b37(t: Tables) -> DataFrame:
+    c = F.col
+    assets = t.part.select(
+        F.concat(F.lit("src"), c("p_partkey") % 20).alias("doc_id"), F.concat(F.lit("img/p"), c("p_partkey") % 40, F.lit(".png")).alias("path"),
+        F.when(c("p_size") % 4 == 0, "figure").when(c("p_size") % 4 == 1, "table").when(c("p_size") % 4 == 2, "chart").otherwise("formula").alias("kind"),
+        F.concat(F.when(c("p_size") % 2 == 0, "Table ").otherwise("Figure "), c("p_size") % 30, F.lit(": "), F.lower("p_type")).alias("caption"),
+        (c("p_size") % 5).alias("base"), (c("p_partkey") % 97).alias("area"),
+    )
+    seventh, joined = c("doc_id") % 7, F.concat
+    more = (
+        F.when(seventh == 0, joined(F.lit(" (x/p"), c("doc_id") % 90, F.lit(".png)"))).when(seventh == 1, joined(F.lit(" see table  "), c("doc_id") % 40))
+        .when(seventh == 2, " results").when(seventh == 3, " attention").otherwise("")
+    )
+    pages = t.documents.select(
+        c("source").alias("doc_id"), c("doc_id").alias("page"), joined("text", more).alias("text"), F.when(c("doc_id") % 10 == 0, "opening").otherwise("content").alias("purpose"),
+        (c("doc_id") % 3 == 0).cast("int").alias("image_count"), F.lit(0).alias("table_count"),
+    )
+    got = structure.bind_pages(pages, assets, ASSET_CUES)
+    return got.select("page", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("step", F.lit(0)).alias("step"), "requirement")

@@ -60,12 +60,15 @@ def c03(t: Tables) -> DataFrame:
 
 @query(
     "e11_fallback_title",
-    "select p_partkey, case when p_partkey % 3 = 0 then '网页来源' when p_partkey % 3 = 1 then p_name || ' ' || p_type end as title from part where p_partkey % 3 < 2",
+    """with t as (select p_partkey, p_name || ' ' || p_type as short, p_name || repeat(', ' || p_type || ' by ' || p_brand, 4) as long from part)
+    select p_partkey, case when p_partkey % 3 = 0 then '网页来源' when p_partkey % 3 = 1 then short when length(long) > 96 then rtrim(left(long, 96), ' ') || '…' else long end as title from t""",
 )
 def e11(t: Tables) -> DataFrame:
     c = F.col
-    text = F.when(c("p_partkey") % 3 == 0, " ：，").otherwise(joined("网页发布时间：2024-01-02  ", c("p_name"), "\n ", c("p_type"), "。"))
-    return t.part.where("p_partkey % 3 < 2").select("p_partkey", citations.fallback_title(text).alias("title"))
+    short = joined("网页发布时间：2024-01-02  ", c("p_name"), "\n ", c("p_type"), "。")
+    long = F.concat(c("p_name"), F.repeat(joined(",  ", c("p_type"), " by ", c("p_brand")), F.lit(4)))
+    text = F.when(c("p_partkey") % 3 == 0, " ：，").when(c("p_partkey") % 3 == 1, short).otherwise(long)
+    return t.part.select("p_partkey", citations.fallback_title(text).alias("title"))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder under the one that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder that the session names, so a lost executor does
     not replay the steps before it. Only a local session may go without the setting."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.rules import all_issues, missing, repeated, rule
+
 
 def append_rows(df: DataFrame, delta: DataFrame) -> DataFrame:
     return df.unionByName(delta)
@@ -40,10 +43,11 @@ def add_to_index(index: DataFrame, new: DataFrame, id: str) -> DataFrame:
     return index.unionByName(new.join(index.select(id), id, "left_anti"))
 
 
-def index_candidates(df: DataFrame, indexed: DataFrame, id: str, active: Column, created: Sequence[str], cap: int = 1000) -> DataFrame:
-    """The newest ``cap`` active rows that still need an index entry. The cap is the
-    feature: a rebuild looks at the newest rows only."""
-    newest = df.where(active).orderBy(*[F.desc(c) for c in created], F.desc(id)).limit(cap)
+def index_candidates(df: DataFrame, indexed: DataFrame, id: str, active: Column, created: Sequence[str], cap: int | None = 1000) -> DataFrame:
+    """The newest ``cap`` active rows that still need an index entry, or all of them for None."""
+    newest = df.where(active)
+    if cap is not None:
+        newest = newest.orderBy(*[F.desc(c) for c in created], F.desc(id)).limit(cap)
     return newest.join(indexed.select(id), id, "left_anti")
 
 
@@ -72,3 +76,81 @@ def export_run(tables: Mapping[str, DataFrame], issues: DataFrame, root: str) ->
         raise ValueError("export refused: " + "; ".join(f"{r['code']} {r['path']}" for r in failed))
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
+
+
+def export_issues(slides: DataFrame, artifacts: DataFrame, series: DataFrame, audit: DataFrame, bindings: DataFrame) -> DataFrame:
+    """What keeps a run from being exported: outline, artifacts and numeric audit checked against
+    each other. ``slides``: doc_id, slide_id; ``artifacts``: doc_id, artifact_id, slide_id, kind
+    (chart, table or image), chart_type, categories, columns, rows, sources (counts); ``series``:
+    doc_id, artifact_id, series_no, name, values (count); ``audit``: doc_id, status, mismatches;
+    ``bindings``: doc_id, artifact_id, output_path, fact_id of every audited number."""
+    key = ["doc_id", "artifact_id"]
+    at = F.concat_ws("/", *key)
+    charts, grids = artifacts.where("kind = 'chart'"), artifacts.where("kind = 'table'")
+    name = F.trim(F.coalesce("name", F.lit("")))
+    drawn = charts.join(series, key, "left")
+    shape = drawn.groupBy(*key, "chart_type", "categories").agg(
+        F.count("series_no").alias("n"), F.count_if(F.col("series_no").isNotNull() & (name == "")).alias("blank"),
+        F.count_distinct(F.when(name != "", name)).alias("names"), F.count_if(F.col("values") != F.col("categories")).alias("uneven"),
+    )
+    numeric = artifacts.where(F.col("kind").isin("chart", "table")).join(bindings.select(*key).distinct(), key, "left_anti")
+    double = bindings.groupBy(*key, "output_path").agg(F.count_distinct("fact_id").alias("facts"), F.count(F.lit(1)).alias("n"))
+    return all_issues(
+        repeated(slides, ["doc_id", "slide_id"], "EXPORT.DUPLICATE_SLIDE"),
+        repeated(artifacts, key, "EXPORT.DUPLICATE_ARTIFACT"),
+        missing(artifacts, slides, [("doc_id", "doc_id"), ("slide_id", "slide_id")], "EXPORT.UNKNOWN_SLIDE", at),
+        rule(artifacts, "EXPORT.NO_SOURCE", at, F.coalesce("sources", F.lit(0)) == 0),
+        rule(charts, "EXPORT.UNSUPPORTED_CHART", at, F.col("chart_type") == "combo"),
+        rule(shape, "EXPORT.EMPTY_CHART", at, (F.col("n") == 0) | (F.coalesce("categories", F.lit(0)) == 0)),
+        rule(shape, "EXPORT.SERIES_NAMES", at, (F.col("blank") > 0) | (F.col("names") < F.col("n") - F.col("blank"))),
+        rule(shape, "EXPORT.SERIES_LENGTH", at, F.col("uneven") > 0),
+        rule(shape, "EXPORT.PIE_SERIES", at, (F.col("chart_type") == "pie") & (F.col("n") != 1)),
+        rule(grids, "EXPORT.EMPTY_TABLE", at, (F.coalesce("columns", F.lit(0)) == 0) | (F.coalesce("rows", F.lit(0)) == 0)),
+        rule(audit, "EXPORT.AUDIT", "doc_id", (F.coalesce("status", F.lit("")) != "passed") | (F.coalesce("mismatches", F.lit(0)) > 0)),
+        missing(artifacts, audit, [("doc_id", "doc_id")], "EXPORT.AUDIT_MISSING", at),
+        rule(numeric, "EXPORT.NOT_AUDITED", at),
+        missing(bindings, artifacts, [(k, k) for k in key], "EXPORT.UNKNOWN_BINDING", at),
+        rule(double, "EXPORT.BINDING", F.concat_ws("/", *key, "output_path"), (F.col("facts") != 1) | (F.col("n") != 1)),
+    )
+
+
+def publish(tables: Mapping[str, DataFrame], issues: DataFrame, root: str) -> str:
+    """Write all tables of a run under a fresh folder, then a manifest that names it: readers of
+    the manifest see all of them or none. Nothing is written if a rule failed; a write that fails
+    leaves the earlier manifest, and so the earlier export, as it was. Returns the folder."""
+    failed = issues.where("severity = 'error'").orderBy("code", "path").limit(20).collect()
+    if failed:
+        raise ValueError("export refused: " + "; ".join(f"{r['code']} {r['path']}" for r in failed))
+    folder = f"run-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{root}/{folder}/{name}")
+    spark = issues.sparkSession
+    counts = [(folder, name, spark.read.parquet(f"{root}/{folder}/{name}").count()) for name in tables]
+    # The number of a manifest orders them; one that another run took makes this one fail.
+    number = max([int(r["n"]) for r in published(spark, root).select(F.max("number").alias("n")).collect() if r["n"] is not None], default=0) + 1
+    lines = spark.createDataFrame([(number, *c) for c in counts], MANIFEST).coalesce(1)
+    lines.write.mode("errorifexists").parquet(f"{root}/manifest/number={number}")
+    return f"{root}/{folder}"
+
+
+MANIFEST = "number long, folder string, name string, rows long"
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """(number, folder, name, rows) of every published export; the newest has the largest number."""
+    try:
+        found = spark.read.option("basePath", f"{root}/manifest").option("recursiveFileLookup", "true").schema(MANIFEST).parquet(f"{root}/manifest")
+        found.limit(1).count()
+        return found
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the newest export."""
+    newest = published(spark, root).where(F.col("name") == name).orderBy(F.desc("number")).select("folder").first()
+    if newest is None:
+        raise ValueError(f"no export under {root} has a table {name}")
+    return spark.read.parquet(f"{root}/{newest['folder']}/{name}")

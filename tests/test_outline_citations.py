@@ -13,13 +13,14 @@ def test_budget_matches_a_fold(spark):
     rng = random.Random(1)
     data = [(k, i, rng.choice([1, 1, 2])) for k in range(40) for i in range(rng.randrange(1, 6))]
     df = spark.createDataFrame(data, "k int, i int, c int")
-    got = sorted(tuple(r) for r in outline.within_budget(df, ["k"], [F.col("i")], F.col("c")).select("k", "i").collect())
-    want, used = [], {}
-    for k, i, c in data:
-        if used.get(k, 0) + c <= 2:
-            used[k] = used.get(k, 0) + c
-            want.append((k, i))
-    assert got == sorted(want)
+    for budget in (1, 2, 3, 5):
+        got = sorted(tuple(r) for r in outline.within_budget(df, ["k"], [F.col("i")], F.col("c"), budget).select("k", "i").collect())
+        want, used = [], {}
+        for k, i, c in data:
+            if used.get(k, 0) + c <= budget:
+                used[k] = used.get(k, 0) + c
+                want.append((k, i))
+        assert got == sorted(want)
 
 
 def test_greedy_cover(spark, rows):

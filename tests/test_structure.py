@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,45 @@ def test_region_captions(spark, rows):
     assert rows(structure.region_captions(regions, caps), "region_id", "caption") == [("r1", "below"), ("r2", "above"), ("r3", "")]
 
 
+@pytest.mark.parametrize("cell", [7, 200])
+def test_region_captions_against_all_pairs(spark, cell):
+    rng = random.Random(11)
+    box = lambda: (x := rng.randrange(-50, 500), y := rng.randrange(-50, 600), x + rng.randrange(0, 260), y + rng.randrange(0, 90))
+    regions = [(f"r{i}", rng.randrange(2), rng.choice("ft"), *map(float, box())) for i in range(80)]
+    caps = [(rng.randrange(2), rng.choice("ft"), f"c{i}", *map(float, box())) for i in range(150)]
+    want = {}
+    for r, page, kind, x0, y0, x1, y1 in regions:
+        best = []
+        for p, k, text, a0, b0, a1, b1 in caps:
+            overlap = (min(x1, a1) - max(x0, a0)) / max(1.0, min(x1 - x0, a1 - a0))
+            side = 0 if -12 <= b0 - y1 <= 120 else 1 if -12 <= y0 - b1 <= 80 else None
+            if (p, k) == (page, kind) and overlap >= 0.2 and side is not None:
+                best.append((side, abs(b0 - y1 if side == 0 else y0 - b1), -overlap, text))
+        want[r] = min(best)[3] if best else ""
+    b = "x0 double, y0 double, x1 double, y1 double"
+    got = structure.region_captions(
+        spark.createDataFrame(regions, f"region_id string, page int, category string, {b}"),
+        spark.createDataFrame(caps, f"page int, category string, caption_text string, {b}"), cell,
+    )
+    assert {r.region_id: r.caption for r in got.collect()} == want
+
+
+def test_pages_by_postings_as_by_pairs(spark, rows):
+    rng = random.Random(12)
+    bits = ["see ![x](img/t2.png)", "a/b (c/f1.png)", "figure 12", "Table  3", "results", "attention", "chart", "x/y.png)", "plain", "trend bleu", "formula 1"]
+    purposes = ["content", "content", "opening", None]
+    pages = [(f"d{i % 4}", i, " ".join(rng.choice(bits) for _ in range(rng.randrange(4))), rng.choice(purposes[:3]), rng.randrange(2), rng.randrange(2)) for i in range(120)]
+    assets = [(f"d{rng.randrange(4)}", f"img/{rng.choice(['t2', 'f1', 'y', 'q'])}{k if k > 40 else ''}.png", rng.choice(["figure", "table", "chart", "formula"]),
+               rng.choice([f"Table {k % 5}: scores", f"Figure {k % 13} results", "no number", None]), rng.randrange(4), rng.randrange(9)) for k in range(60)]
+    p = spark.createDataFrame(pages, "doc_id string, page int, text string, purpose string, image_count int, table_count int")
+    a = spark.createDataFrame(assets, "doc_id string, path string, kind string, caption string, base int, area int")
+    cues = [("table", None, ("results",), 2), (None, "scores", ("trend", "plain"), 3), ("figure", "figure", ("attention",), 1)]
+    want = rows(structure.bind_assets(p, structure.score_assets(p, a, cues)), "doc_id", "page", "path", "kind", "step", "requirement")
+    assert rows(structure.bind_pages(p, a, cues), "doc_id", "page", "path", "kind", "step", "requirement") == want
+    assert {w[4] for w in want} == {None, 1, 2, 3, 4, 5}
+    assert rows(structure.bind_pages(p, a, []), "page", "step") == rows(structure.bind_assets(p, structure.score_assets(p, a, [])), "page", "step")
+
+
 def test_application_plan(spark, rows):
     assets = spark.createDataFrame(
         [("a.png", "s1", "f1"), ("b.png", "s1", "f9"), ("c.png", "s9", "f1"), ("d.png", "s1", "f1")], "filename string, slide_id string, figure_id string"
