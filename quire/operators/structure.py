@@ -1141,7 +1141,7 @@ def bind_assets(pages: DataFrame, scored: DataFrame) -> DataFrame:
     best = (
         rows.where(F.col("step").isNotNull() & ~structural)
         .groupBy("doc_id", "page")
-        .agg(F.min_by(F.struct("path", "kind", "step"), F.struct(F.col("step"), -F.col("score"), -F.col("area"), F.col("path"))).alias("b"))
+        .agg(F.min_by(F.struct("path", "kind", "step"), F.struct(F.col("step"), -F.col("score"), -F.col("area"), F.col("path"), F.col("kind"))).alias("b"))
         .select("doc_id", "page", "b.*")
     )
     return pages.select("doc_id", "page").join(best, ["doc_id", "page"], "left").withColumn(
@@ -1201,7 +1201,7 @@ def bind_pages(pages: DataFrame, assets: DataFrame, cues: Sequence[Cue]) -> Data
     rows = reduce(DataFrame.unionByName, [x.select(*columns) for x in (by_name, by_number, by_class)])
     best = (
         rows.groupBy("doc_id", "page")
-        .agg(F.min_by(F.struct("path", "kind", "step"), F.struct(F.col("step"), -F.col("score"), -F.col("area"), F.col("path"))).alias("b"))
+        .agg(F.min_by(F.struct("path", "kind", "step"), F.struct(F.col("step"), -F.col("score"), -F.col("area"), F.col("path"), F.col("kind"))).alias("b"))
         .select("doc_id", "page", "b.*")
     )
     return pages.select("doc_id", "page").join(best, ["doc_id", "page"], "left").withColumn(
