@@ -41,10 +41,15 @@ def spoken(text: Column) -> Column:
 
 def lead_sentence(text: Column, pattern: str = LEAD, least: int = 6, most: int = 120) -> Column:
     """First sentence if it is short enough to be shown; else null."""
-    said = spoken(text)
+    return short_lead(spoken(text), pattern, least, most)
+
+
+def short_lead(said: Column, pattern: str, least: int = 6, most: int = 120, blank: str = r"\s+") -> Column:
+    """First sentence of a text that is taken as it is, all of it if the pattern finds none; null
+    if it has too few or too many characters besides blanks."""
     first = F.regexp_extract(said, pattern, 1)
     sentence = F.trim(F.when(first == "", said).otherwise(first))
-    size = F.length(F.regexp_replace(sentence, r"\s+", ""))
+    size = F.length(F.regexp_replace(sentence, blank, ""))
     return F.when(size.between(least, most), sentence)
 
 

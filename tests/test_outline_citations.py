@@ -229,3 +229,19 @@ def test_numbering_is_exact_over_slices(spark):
     df = spark.range(0, 1000).repartition(7)
     got = {r["id"]: r["number"] for r in citations.number_sources(df, Timeline((), ("id",), id_slice("id", 64))).collect()}
     assert got == {i: i + 1 for i in range(1000)}
+
+
+def test_lead_of_prose_keeps_a_number_at_its_start(spark):
+    from quire.plans import load_all
+
+    folder = documents(spark, ["56.187.231.175 is a host. More", "1. Some words here", ". Nothing before", "Two\x0bwords  and one. End"])
+    got = {r["doc_id"]: r["lead"] for r in load_all()["d08_lead_sentence"].run(spark, folder).collect()}
+    assert got == {0: "56.187.231.175 is a host.", 3: "Two\x0bwords and one."}
+
+
+def documents(spark, texts):
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
