@@ -81,6 +81,11 @@ def background_kind(html: Column) -> Column:
     return let(styles(html), kind)
 
 
+PURPOSE_WORDS = {
+    "ending": "thanks|thank you|q&a|questions|结束|总结|致谢",
+    "table_of_contents": "contents|目录|agenda|outline",
+    "section_divider": "section|part|研究背景|方法概述",
+}
 TEXT_TAGS = ("<p", "<h1", "<h2", "<h3", "<h4", "<h5", "<h6", "<span", "<li")
 
 
@@ -340,14 +345,20 @@ def host_allowed(host: Column, allowed: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [(host == a) | host.endswith("." + a) for a in allowed], F.lit(False))
 
 
-def page_briefs(docs: DataFrame, text: str, separator: str = r"\n\s*---+\s*\n") -> DataFrame:
-    """Pages of a manuscript with title, counts, purpose and content shape."""
+def page_briefs(
+    docs: DataFrame, text: str, separator: str = r"\n\s*---+\s*\n", words: Mapping[str, str] = PURPOSE_WORDS, markdown: bool = True
+) -> DataFrame:
+    """Pages of a manuscript with title, counts, purpose and content shape. Without ``markdown``
+    marks at the start of a line are text: the first line is the title, the whole page the body."""
     parts = F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != "")
     rows = docs.select("doc_id", parts.alias("_p")).select("doc_id", F.size("_p").alias("pages"), F.posexplode("_p").alias("i", "segment"))
     lines = F.transform(F.split("segment", "\r?\n"), lambda x: F.trim(x))
-    heading = F.filter(lines, lambda x: x.startswith("#") | ((x != "") & ~x.rlike(r"^[-*+]|^\d+[.)]\s")))
-    title = F.coalesce(F.regexp_replace(F.get(heading, F.lit(0)), r"^#+\s*", ""), F.concat(F.lit("Slide "), (F.col("i") + 1).cast("string")))
-    body = F.trim(F.array_join(F.filter(F.split("segment", "\r?\n"), lambda x: ~F.trim(x).startswith("#")), "\n"))
+    if markdown:
+        heading = F.filter(lines, lambda x: x.startswith("#") | ((x != "") & ~x.rlike(r"^[-*+]|^\d+[.)]\s")))
+        title = F.coalesce(F.regexp_replace(F.get(heading, F.lit(0)), r"^#+\s*", ""), F.concat(F.lit("Slide "), (F.col("i") + 1).cast("string")))
+        body = F.trim(F.array_join(F.filter(F.split("segment", "\r?\n"), lambda x: ~F.trim(x).startswith("#")), "\n"))
+    else:
+        title, body = F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.col("segment")
     rows = rows.select("doc_id", "pages", (F.col("i") + 1).alias("page"), title.alias("title"), body.alias("body"), "segment")
     rows = rows.withColumns(
         {
@@ -360,9 +371,9 @@ def page_briefs(docs: DataFrame, text: str, separator: str = r"\n\s*---+\s*\n")
     low, said = F.lower("title"), F.lower(F.concat_ws("\n", "title", "body"))
     purpose = (
         F.when(F.col("page") == 1, "opening")
-        .when((F.col("page") == F.col("pages")) & said.rlike("thanks|thank you|q&a|questions|结束|总结|致谢"), "ending")
-        .when(low.rlike("contents|目录|agenda|outline"), "table_of_contents")
-        .when(low.rlike("section|part|研究背景|方法概述") & (F.length(F.trim("body")) < 80), "section_divider")
+        .when((F.col("page") == F.col("pages")) & said.rlike(words["ending"]), "ending")
+        .when(low.rlike(words["table_of_contents"]), "table_of_contents")
+        .when(low.rlike(words["section_divider"]) & (F.length(F.trim("body")) < 80), "section_divider")
         .otherwise("content")
     )
     shape = (

@@ -212,3 +212,15 @@ def test_reports_logs_and_sinks(spark, rows):
     assert spark.read.parquet(out + "/e/t").count() == 1
     with pytest.raises(ValueError):
         readers.load_rows(spark)
+
+
+def test_briefs_of_plain_lines(spark, rows):
+    from quire.plans import load_all
+
+    text = "+1 (168) 555-5254 called\n# Section " + "x" * 90 + "\n- agenda\n总结"
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = load_all()["i10_page_briefs"].run(spark, folder)
+    lines = text.split("\n")
+    purposes = ["opening", "content", "table_of_contents", "content"]
+    assert rows(got, "page", "title", "purpose") == [(i + 1, x, p) for i, (x, p) in enumerate(zip(lines, purposes))]
