@@ -224,3 +224,10 @@ def test_briefs_of_plain_lines(spark, rows):
     lines = text.split("\n")
     purposes = ["opening", "content", "table_of_contents", "content"]
     assert rows(got, "page", "title", "purpose") == [(i + 1, x, p) for i, (x, p) in enumerate(zip(lines, purposes))]
+
+
+def test_pairs_take_the_newest_known_figure(spark, rows):
+    s = "run_id int, model int, scenario int, arm string, x double, y double"
+    data = [(0, 1, 1, "a", 1.0, 2.0), (2, 1, 1, "a", None, 3.0), (1, 1, 1, "b", None, 4.0)]
+    got = runs.pair_arms(spark.createDataFrame(data, s), ("a", "b"), ("x", "y"), F.col("run_id"))
+    assert rows(got, "run_a", "run_b", "x_a", "y_a", "x_b", "y_b", "runs_a") == [(2, 1, 1.0, 3.0, None, 4.0, 2)]
