@@ -3,6 +3,7 @@ trained by follow-the-regularised-leader with elastic-net penalties, then temper
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,10 +81,26 @@ def document_frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
     return out[:BUCKETS], int(out[BUCKETS])
 
 
-def fit_ftrl(x: np.ndarray, y: np.ndarray, n_classes: int, alpha=2.0, beta=1.0, l1=0.02, l2=0.1, epochs=4, seed=3):
-    """Per-coordinate FTRL-proximal for the softmax loss; the last feature is the bias."""
+def sparse(model: Model, bucket: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The features of one text that are not zero, with the bias as the last: places, values."""
+    on = np.frombuffer(bucket, "<u2").astype(np.int64)
+    tallies = np.zeros(BUCKETS)
+    tallies[on] = np.frombuffer(n, "<i4")
+    return np.append(on, BUCKETS), np.append(model.features(tallies)[on], 1.0)
+
+
+def fit_ftrl(x: np.ndarray, y: np.ndarray, n_classes: int, **rates) -> np.ndarray:
+    """``fit_sparse`` for a dense matrix."""
+    return fit_sparse([(on := np.flatnonzero(r), r[on]) for r in x], y, n_classes, x.shape[1], **rates)
+
+
+def fit_sparse(
+    x: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_classes: int, width: int, alpha=2.0, beta=1.0, l1=0.02, l2=0.1, epochs=4, seed=3
+) -> np.ndarray:
+    """Per-coordinate FTRL-proximal for the softmax loss over rows of (places, values); the last
+    feature is the bias."""
     rng = np.random.default_rng(seed)
-    z, n = np.zeros((x.shape[1], n_classes)), np.zeros((x.shape[1], n_classes))
+    z, n = np.zeros((width, n_classes)), np.zeros((width, n_classes))
 
     def solve(zi, ni):
         w = -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2)
@@ -91,8 +108,7 @@ def fit_ftrl(x: np.ndarray, y: np.ndarray, n_classes: int, alpha=2.0, beta=1.0,
 
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            on = np.flatnonzero(x[i])
-            v = x[i, on]
+            on, v = x[i]
             w = solve(z[on], n[on])
             s = v @ w
             p = np.exp(s - s.max())
@@ -136,28 +152,30 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model | None:
             tallies = [counts(x.as_py()) for x in batch.column("text")]
             on = [np.flatnonzero(t) for t in tallies]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array(on, pa.list_(pa.int64())), pa.array([t[k] for t, k in zip(tallies, on)], pa.list_(pa.int64()))],
+                [
+                    batch.column("doc_id"), batch.column("lang"),
+                    pa.array([k.astype("<u2").tobytes() for k in on], pa.binary()),
+                    pa.array([t[k].astype("<i4").tobytes() for t, k in zip(tallies, on)], pa.binary()),
+                ],
                 ["doc_id", "lang", "bucket", "n"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = learn.join(ids, ["doc_id", "lang"], "left_semi").mapInArrow(run, f"doc_id {kind}, lang string, bucket array<long>, n array<long>").toPandas()
+    rows = learn.join(ids, ["doc_id", "lang"], "left_semi").mapInArrow(run, f"doc_id {kind}, lang string, bucket binary, n binary").toPandas()
     rows = rows.sort_values(["lang", "doc_id"]).reset_index(drop=True)
     langs = sorted(set(rows["lang"]))
     model = Model(langs, np.log((1 + total) / (1 + df)) + 1, np.zeros((BUCKETS, len(langs))), np.zeros(len(langs)))
-    x = np.zeros((len(rows), BUCKETS + 1))
-    for i, (b, n) in enumerate(zip(rows["bucket"], rows["n"])):
-        x[i, b] = n
-    x[:, :BUCKETS] = model.features(x[:, :BUCKETS])
-    x[:, BUCKETS] = 1
+    # The texts stay sparse: a dense matrix of the sample would be most of the driver's memory.
+    x = [sparse(model, b, n) for b, n in zip(rows["bucket"], rows["n"])]
     y = rows["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
     part = np.random.default_rng(5).permutation(len(x)) % 5 == 0  # for the temperature only
     if len(langs) == 1 or part.all() or not part.any():
         part = np.zeros(len(x), bool)
-    w = fit_ftrl(x[~part], y[~part], len(langs))
+    w = fit_sparse([r for r, out in zip(x, part) if not out], y[~part], len(langs), BUCKETS + 1)
     model.weights, model.bias = w[:BUCKETS], w[BUCKETS]
     if part.any() and len(langs) > 1:
-        model.temperature = calibrate(x[part] @ w, y[part])
+        scores = np.array([v @ w[on] for (on, v), out in zip(x, part) if out])
+        model.temperature = calibrate(scores, y[part])
     return model
 
 

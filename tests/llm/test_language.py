@@ -48,3 +48,16 @@ def test_languages(spark):
     own = [truth[r.doc_id] == r.lang_pred for r in got if r.doc_id in truth and r.held_out]
     assert np.mean(own) >= 0.95
     assert language_ids(docs.limit(0)).count() == 0
+
+
+def test_sparse_rows_fit_like_dense_ones():
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((80, 30)) < 0.2, rng.random((80, 30)), 0.0)
+    y = (x[:, 0] > x[:, 1]).astype(int)
+    rows = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in x]
+    assert (language.fit_sparse(rows, y, 2, 30) == fit_ftrl(x, y, 2)).all()
+    tallies = np.zeros(language.BUCKETS)
+    tallies[[3, 9]] = 2, 5
+    model = language.Model(["a"], np.linspace(1, 2, language.BUCKETS), np.zeros((language.BUCKETS, 1)), np.zeros(1))
+    on, v = language.sparse(model, np.array([3, 9], "<u2").tobytes(), np.array([2, 5], "<i4").tobytes())
+    assert on.tolist() == [3, 9, language.BUCKETS] and (v[:2] == model.features(tallies)[[3, 9]]).all() and v[2] == 1
