@@ -78,6 +78,12 @@ def ungrounded(claims: DataFrame, evidence: DataFrame, keys: Sequence[str], clai
     return said.join(known, [*keys, "number"], "left_anti")
 
 
+def new_numbers(rows: DataFrame, keys: Sequence[str], claimed: str, known: str) -> DataFrame:
+    """``ungrounded`` where both sides are ``number_keys`` of one row: (keys, number)."""
+    none = F.array().cast("array<string>")
+    return each(rows, F.array_except(claimed, F.coalesce(F.col(known), none)), "number", list(keys))
+
+
 def inside_section(refs: DataFrame, slides: DataFrame, evidence: DataFrame, closure: DataFrame) -> DataFrame:
     """Refs with ``kept``: false when the evidence lies outside the slide's section and its
     descendants. A slide of unknown section, or unknown evidence, keeps its refs."""

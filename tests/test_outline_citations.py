@@ -1,4 +1,5 @@
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,8 +241,21 @@ def test_lead_of_prose_keeps_a_number_at_its_start(spark):
 
 
 def documents(spark, texts):
-    import tempfile
-
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     return folder
+
+
+def test_only_numbers_go_along_the_timeline(spark, monkeypatch):
+    from quire.operators import memory
+    from quire.plans import load_all
+
+    seen = []
+    step = memory.with_previous
+    monkeypatch.setattr(memory, "with_previous", lambda df, *rest: seen.append(df.columns) or step(df, *rest))
+    rows = spark.createDataFrame([(1, "a", "7 and 8"), (2, "a", "8 and 9"), (3, "b", "9"), (4, "a", None), (5, "a", "9")], "doc_id long, source string, text string")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows.write.parquet(f"{folder}/documents.parquet")
+    got = load_all()["d04_ungrounded_numbers"].run(spark, folder)
+    whole = {(r[0], float(r[1])) for r in got.collect()}
+    assert whole == {(1, 7.0), (1, 8.0), (2, 9.0), (3, 9.0), (5, 9.0)} and "text" not in seen[0]
