@@ -22,8 +22,10 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 # Text tables whose work is per row. In fewer files than there are cores they would keep only
-# a few cores busy; a table of many files is left as it lies.
+# a few cores busy; a table of many files is left as it lies. The parts grow in number with the
+# table, by its splits, so that a part does not grow.
 SPREAD = {"documents": "doc_id", "pages": "page_id"}
+PARTS_PER_SPLIT = 2
 
 
 class Tables:
@@ -39,7 +41,7 @@ class Tables:
             df = df.withColumn("ts", F.col("ts").cast("timestamp"))
         cores = self.spark.sparkContext.defaultParallelism
         if name in SPREAD and len(df.inputFiles()) < cores:
-            df = df.repartition(cores, SPREAD[name])
+            df = df.repartition(max(cores, PARTS_PER_SPLIT * df.rdd.getNumPartitions()), SPREAD[name])
         return df
 
 

@@ -259,3 +259,16 @@ def test_only_numbers_go_along_the_timeline(spark, monkeypatch):
     got = load_all()["d04_ungrounded_numbers"].run(spark, folder)
     whole = {(r[0], float(r[1])) for r in got.collect()}
     assert whole == {(1, 7.0), (1, 8.0), (2, 9.0), (3, 9.0), (5, 9.0)} and "text" not in seen[0]
+
+
+def test_spread_parts_grow_with_the_table(spark):
+    from quire.plans.registry import Tables
+
+    rows = spark.range(20000).selectExpr("id as doc_id", "sha2(string(id), 512) as text")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        assert Tables(spark, folder).documents.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
