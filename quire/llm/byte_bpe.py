@@ -65,6 +65,7 @@ class Codec:
         self._load("pieces", pieces)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.decimal = {i: str(i) for i in ranks.values()}
 
     def _load(self, name, data):
         self.con.register("given", pa.table(data) if isinstance(data, dict) else data)
@@ -109,7 +110,7 @@ class Codec:
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         todo, size = [], 0
-        new = dict.fromkeys(w for w in words if w not in self.known)
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
         for n, w in enumerate(new, 1):
             data = w.encode("utf-8", "replace")
             rank = self.ranks.get(data)
@@ -130,6 +131,9 @@ class Codec:
         self.learn(chain.from_iterable(words))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, w)), "<i4") for w in words]
 
+    def digits(self, ids: np.ndarray) -> bytes:
+        return ",".join(map(self.decimal.__getitem__, ids.tolist())).encode()
+
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each id list: pieces in the order of their positions. Long lists are taken
         in parts and several short ones together, so a query holds a bounded number of tokens."""
@@ -189,7 +193,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -
                 ids = codec.encode(texts)
                 back = codec.decode(ids)
                 rows = [
-                    (len(i), hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest(), hashlib.sha256(b).hexdigest(), b == t.encode("utf-8", "replace"), i if with_ids else None)
+                    (len(i), hashlib.sha256(codec.digits(i)).hexdigest(), hashlib.sha256(b).hexdigest(), b == t.encode("utf-8", "replace"), i if with_ids else None)
                     for t, i, b in zip(texts, ids, back)
                 ]
                 n, a, b, same, i = zip(*rows)
