@@ -6,7 +6,7 @@ per key go through ``Timeline``."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -1153,9 +1153,10 @@ def bind_pages(pages: DataFrame, assets: DataFrame, cues: Sequence[Cue]) -> Data
     """``bind_assets`` over ``score_assets`` without pairing the pages and assets of a document.
 
     What a page names comes from its text: file names and numbered references are postings that
-    meet assets by equality. For topics and hints assets are put into classes of equal kind and
-    equal cues; inside a class the order of assets is the same for every page, so its first asset
-    stands for it, and a page meets one row a class, however many assets the document has."""
+    meet assets by equality. Assets are put into classes of equal kind and equal cues, under a
+    name, under a number and in a document; inside a class the order of assets is the same for
+    every page, so its first asset stands for it. The classes under a key are one row, so a page
+    stays one row a name, number or document, however many assets there are."""
     low, cap = F.lower("text"), F.lower(F.coalesce("caption", F.lit("")))
 
     def bits(holds: list[Column]) -> Column:
@@ -1175,35 +1176,43 @@ def bind_pages(pages: DataFrame, assets: DataFrame, cues: Sequence[Cue]) -> Data
         F.regexp_extract(F.lower("caption"), r"(?:table|figure|fig\.?)\s*(\d+)", 1).alias("number"),
         bits(on_asset).alias("a_cues") if cues else F.array().cast("array<boolean>").alias("a_cues"),
     )
-    points = F.lit(0)
-    for i, (_, _, _, weight) in enumerate(cues):
-        points = points + F.when(F.col("p_cues")[i] & F.col("a_cues")[i], weight).otherwise(0)
-    columns = ["doc_id", "page", "path", "kind", "step", (F.col("base") + points).alias("score"), "area"]
-    lean = own.drop("text")
+    def classes(*keys: str) -> DataFrame:
+        """The classes under a key as one small list: a class keeps its first asset."""
+        first = F.min(F.struct((-F.col("base")).alias("_b"), (-F.col("area")).alias("_a"), "path")).alias("f")
+        firsts = held.groupBy("doc_id", *{*keys, "kind"}, "a_cues").agg(first)
+        row = F.struct("kind", "a_cues", (-F.col("f._b")).alias("base"), (-F.col("f._a")).alias("area"), F.col("f.path").alias("path"))
+        return firsts.select("doc_id", *keys, row.alias("c")).groupBy("doc_id", *keys).agg(F.collect_list("c").alias("classes"))
+
+    def place(c: Column, step: Column) -> Column:
+        points = F.lit(0)
+        for i, (_, _, _, weight) in enumerate(cues):
+            points = points + F.when(F.col("p_cues")[i] & c["a_cues"][i], weight).otherwise(0)
+        return F.struct(step.cast("int").alias("step"), (-(c["base"] + points)).alias("score"), (-c["area"]).alias("area"), c["path"].alias("path"), c["kind"].alias("kind"))
+
+    def best_of(step: Callable[[Column], Column]) -> Column:
+        """The best place of a page among the listed classes, found in its row."""
+        return F.array_min(F.filter(F.transform("classes", lambda c: place(c, step(c))), lambda p: p["step"].isNotNull())).alias("at")
+
     # A name follows a slash and ends at its bracket.
-    named = own.select("doc_id", "page", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=/([^/]*?\)))"), F.lit(1)))).alias("n"))
-    named = named.select("doc_id", "page", F.regexp_replace("n", r"\)$", "").alias("filename")).where("filename <> ''").distinct()
+    named = own.select("doc_id", "page", "p_cues", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=/([^/]*?\)))"), F.lit(1)))).alias("n"))
+    named = named.select("doc_id", "page", "p_cues", F.regexp_replace("n", r"\)$", "").alias("filename")).where("filename <> ''")
     found = F.regexp_extract_all(F.regexp_replace(F.lower("text"), r"\s+", " "), F.lit(r"(?=((?:table|chart|figure|formula) \d+))"), F.lit(1))
-    numbered = own.select("doc_id", "page", F.explode(F.array_distinct(found)).alias("n")).select("doc_id", "page", F.split("n", " ").alias("n"))
+    numbered = own.select("doc_id", "page", "p_cues", F.explode(F.array_distinct(found)).alias("n")).select("doc_id", "page", "p_cues", F.split("n", " ").alias("n"))
     # "figure 12" also names figure 1, as a text contains it.
     starts = F.transform(F.sequence(F.lit(1), F.length(F.col("n")[1])), lambda k: F.substring(F.col("n")[1], F.lit(1), k))
-    numbered = numbered.select("doc_id", "page", F.col("n")[0].alias("kind"), F.explode(starts).alias("number")).distinct()
-    by_name = named.join(held, ["doc_id", "filename"])
+    numbered = numbered.select("doc_id", "page", "p_cues", F.col("n")[0].alias("kind"), F.explode(starts).alias("number"))
     # A name that holds a bracket itself is rare, and is looked for as it is.
-    odd = held.where(F.contains("filename", F.lit(")"))).join(own.select("doc_id", "page", "text"), "doc_id")
+    names = classes("filename")
+    odd = names.where(F.contains("filename", F.lit(")"))).join(own.select("doc_id", "page", "p_cues", "text"), "doc_id")
     odd = odd.where(F.contains("text", F.concat(F.lit("/"), F.col("filename"), F.lit(")"))))
-    by_name = by_name.unionByName(odd.select(*by_name.columns)).join(lean, ["doc_id", "page"]).withColumn("step", F.lit(1))
-    by_number = numbered.join(held, ["doc_id", "kind", "number"]).join(lean, ["doc_id", "page"]).withColumn("step", F.lit(2))
-    first = F.min(F.struct((-F.col("base")).alias("_b"), (-F.col("area")).alias("_a"), "path")).alias("f")
-    classes = held.groupBy("doc_id", "kind", "a_cues").agg(first).select("doc_id", "kind", "a_cues", (-F.col("f._b")).alias("base"), (-F.col("f._a")).alias("area"), "f.path")
-    step = F.when(F.col("mechanism") & (F.col("kind") == "figure"), 3).when(F.col("result") & F.col("kind").isin("table", "chart"), 4).when(F.col("hinted"), 5)
-    by_class = lean.where("mechanism or result or hinted").join(classes, "doc_id").withColumn("step", step).where(F.col("step").isNotNull())
-    rows = reduce(DataFrame.unionByName, [x.select(*columns) for x in (by_name, by_number, by_class)])
-    best = (
-        rows.groupBy("doc_id", "page")
-        .agg(F.min_by(F.struct("path", "kind", "step"), F.struct(F.col("step"), -F.col("score"), -F.col("area"), F.col("path"), F.col("kind"))).alias("b"))
-        .select("doc_id", "page", "b.*")
-    )
+    by_name = named.join(names, ["doc_id", "filename"]).select("doc_id", "page", "p_cues", "classes").unionByName(odd.select("doc_id", "page", "p_cues", "classes"))
+    by_number = numbered.join(classes("kind", "number"), ["doc_id", "kind", "number"])
+    topic = lambda c: F.when(F.col("mechanism") & (c["kind"] == "figure"), 3).when(F.col("result") & c["kind"].isin("table", "chart"), 4).when(F.col("hinted"), 5)
+    by_class = own.drop("text").where("mechanism or result or hinted").join(classes(), "doc_id")
+    rows = reduce(DataFrame.unionByName, [
+        by_name.select("doc_id", "page", best_of(lambda c: F.lit(1))), by_number.select("doc_id", "page", best_of(lambda c: F.lit(2))), by_class.select("doc_id", "page", best_of(topic)),
+    ])
+    best = rows.groupBy("doc_id", "page").agg(F.min("at").alias("b")).select("doc_id", "page", "b.path", "b.kind", "b.step")
     return pages.select("doc_id", "page").join(best, ["doc_id", "page"], "left").withColumn(
         "requirement", F.when(F.col("step").isNull(), "none").when(F.col("step") == 5, "optional").otherwise("required")
     )

@@ -295,6 +295,26 @@ def test_pages_by_postings_as_by_pairs(spark, rows):
     assert rows(structure.bind_pages(p, a, []), "page", "step") == rows(structure.bind_assets(p, structure.score_assets(p, a, [])), "page", "step")
 
 
+def test_assets_of_one_name_are_not_paired_with_pages(spark, rows):
+    pages = spark.range(200).selectExpr("'d' as doc_id", "id as page", "'see (img/x.png) and table 7' as text", "'content' as purpose", "1 as image_count", "0 as table_count")
+    assets = spark.range(1000).selectExpr("'d' as doc_id", "concat('a', id, '/x.png') as path", "'table' as kind", "'Table 7' as caption", "id % 9 as base", "id % 7 as area")
+    got = structure.bind_pages(pages, assets, [])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        whole = {(r.path, r.step) for r in got.collect()}
+        plan = got._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert whole == {(min((-(i % 9), -(i % 7), f"a{i}/x.png") for i in range(1000))[2], 1)}
+
+    def most(node):
+        own = node.metrics().get("numOutputRows")
+        below = [most(node.children().apply(i)) for i in range(node.children().size())]
+        return max([own.get().value() if own.isDefined() and "Join" in node.nodeName() else 0, *below])
+
+    assert most(plan) <= 200
+
+
 def test_application_plan(spark, rows):
     assets = spark.createDataFrame(
         [("a.png", "s1", "f1"), ("b.png", "s1", "f9"), ("c.png", "s9", "f1"), ("d.png", "s1", "f1")], "filename string, slide_id string, figure_id string"
