@@ -11,6 +11,7 @@ from quire.functions.scan import each, top_rows
 from quire.operators import facts, retrieval
 from quire.plans.memory import MEMORY_SQL, memory_rows
 from quire.plans.registry import Tables, query
+from quire.session import cut
 
 TOKEN = "[a-z][a-z0-9]+|[一-鿿㐀-䶿豈-﫿]"
 TOKENS_SQL = f"""
@@ -53,12 +54,13 @@ def f01(t: Tables) -> DataFrame:
 )
 def f02(t: Tables) -> DataFrame:
     stats = retrieval.index_stats(t.documents, "doc_id", "text", keep=["lang"])
-    return retrieval.index_terms(posts, ["lang"]).join(stats, "lang").select("lang", "term", "df", "docs", F.round("average", 6).alias("average"))
+    return retrieval.index_terms(t.documents, "text", ["lang"]).join(stats, "lang").select("lang", "term", "df", "docs", F.round("average", 6).alias("average"))
 
 
 @query("f03_bm25_search", f"with {BM25_SQL} select query_id, id, score, rank from bm where rank <= 10")
 def f03(t: Tables) -> DataFrame:
-    return ranked(retrieval.bm25(t.documents, "doc_id", "text", requests(t), 10))
+    asked = requests(t)
+    return ranked(retrieval.bm25(t.documents, "doc_id", "text", asked, 10, few=retrieval.few_terms(asked)))
 
 
 CENTROID_SQL = """
@@ -128,9 +130,10 @@ def f06(t: Tables) -> DataFrame:
     select query_id, id, score, rank from r where rank <= 5""",
 )
 def f07(t: Tables) -> DataFrame:
-    a = retrieval.bm25(t.documents, "doc_id", "text", requests(t), 10)
-    b = retrieval.overlap_search(t.documents, "doc_id", "text", requests(t), 10)
-    return ranked(retrieval.hybrid(a, b, 5))
+    asked = requests(t)
+    scores = retrieval.lexical_scores(t.documents, "doc_id", "text", asked, few=retrieval.few_terms(asked))
+    best = cut(retrieval.best_scores(scores, ["score", "shared"], 10))
+    return ranked(retrieval.hybrid(best.where("list = 0"), best.where("list = 1"), 5))
 
 
 @query(

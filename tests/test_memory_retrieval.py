@@ -225,6 +225,19 @@ def exchanges(df):
     return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
 
 
+def test_scores_of_a_document_are_final_where_it_lies(spark, rows):
+    from quire.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "red fish blue fish"), (2, "blue"), (3, None), (4, "one red one")], "id long, text string")
+    asked = spark.createDataFrame([(7, "red fish red"), (8, "blue blue"), (9, "nothing")], "query_id long, text string")
+    assert retrieval.few_terms(asked)
+    for few in (False, True):
+        scores = retrieval.lexical_scores(docs, "id", "text", asked, few=few)
+        assert rows(scores, "query_id", "id", "shared") == [(7, 1, 2.0), (7, 4, 1.0), (8, 1, 1.0), (8, 2, 1.0)]
+    dealt = exchanges(retrieval.bm25(docs, "id", "text", asked, 3, few=True))
+    assert dealt and not any(re.search(r"\(query_id#\d+L?, id#", x) for x in dealt)
+
+
 def test_index_shuffles_terms_not_postings(spark, rows):
     from quire.plans import load_all
 
