@@ -184,19 +184,27 @@ def weighted_overlap(pairs: Sequence[tuple[Column, Column]], weights: Sequence[f
     return F.least(F.lit(1.0), total)
 
 
-def relation(score: Column, new_text: Column, old_text: Column) -> Column:
-    """merge, supersede (related but of opposite polarity) or unrelated."""
-    new, old = F.lower(F.coalesce(new_text, F.lit(""))), F.lower(F.coalesce(old_text, F.lit("")))
-    against = (any_of(new, NEGATIVE_TERMS) & any_of(old, POSITIVE_TERMS)) | (
-        any_of(new, POSITIVE_TERMS) & any_of(old, NEGATIVE_TERMS)
-    )
+def polarity(text: Column) -> Column:
+    """What ``relation`` needs of a text: does it hold terms against, and terms for."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.struct(any_of(low, NEGATIVE_TERMS).alias("against"), any_of(low, POSITIVE_TERMS).alias("for"))
+
+
+def relation_of(score: Column, new: Column, old: Column) -> Column:
+    """``relation`` of two texts known by their ``polarity``."""
+    opposed = (new["against"] & old["for"]) | (new["for"] & old["against"])
     return (
         F.when(score >= MERGE_SIM, "merge")
-        .when((score >= RELATED_SIM) & against, "supersede")
+        .when((score >= RELATED_SIM) & opposed, "supersede")
         .otherwise("unrelated")
     )
 
 
+def relation(score: Column, new_text: Column, old_text: Column) -> Column:
+    """merge, supersede (related but of opposite polarity) or unrelated."""
+    return relation_of(score, polarity(new_text), polarity(old_text))
+
+
 def with_previous(df: DataFrame, line: Timeline, columns: Sequence[str]) -> DataFrame:
     """Add ``prev_<column>`` from the row before on the timeline (null at the start)."""
     return line.previous(df, columns)

@@ -247,3 +247,18 @@ def test_index_shuffles_terms_not_postings(spark, rows):
     got = load_all()["f02_bm25_index"].run(spark, folder)
     assert rows(got, "lang", "term", "df", "docs") == [("en", "ab", 1, 2), ("en", "cd", 2, 2), ("fr", "ab", 1, 1)]
     assert not any("doc_id" in x and "term" in x for x in exchanges(got))
+
+
+def test_only_ids_go_along_the_timeline_of_neighbours(spark, rows, monkeypatch):
+    from quire.operators import memory
+    from quire.plans import load_all
+
+    seen = []
+    step = memory.with_previous
+    monkeypatch.setattr(memory, "with_previous", lambda df, *rest: seen.append(df.columns) or step(df, *rest))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    docs = [(1, "a", "en", "use the station"), (2, "a", "en", "never use the station"), (3, "a", "fr", None), (4, "b", "en", "alone")]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(f"{folder}/documents.parquet")
+    assert rows(load_all()["g04_weighted_overlap"].run(spark, folder), "doc_id", "prev_doc_id", "score") == [(2, 1, 0.95), (3, 2, 0.0)]
+    assert rows(load_all()["g05_relation"].run(spark, folder), "doc_id", "relation") == [(2, "merge"), (3, "unrelated")]
+    assert all(set(c) <= {"doc_id", "source"} for c in seen)
