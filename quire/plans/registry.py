@@ -39,10 +39,19 @@ class Tables:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name == "events":
             df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+        return self._dealt(df, SPREAD[name]) if name in SPREAD else df
+
+    def spread(self, name: str, key: str, rows: int) -> DataFrame:
+        """A table of small rows that each cost much: about ``rows`` a part, as its size on disk
+        says little about its work."""
+        df = getattr(self, name)
+        return self._dealt(df, key, -(-df.count() // rows))
+
+    def _dealt(self, df: DataFrame, key: str, parts: int = 0) -> DataFrame:
         cores = self.spark.sparkContext.defaultParallelism
-        if name in SPREAD and len(df.inputFiles()) < cores:
-            df = df.repartition(max(cores, PARTS_PER_SPLIT * df.rdd.getNumPartitions()), SPREAD[name])
-        return df
+        if parts == 0 and len(df.inputFiles()) >= cores:
+            return df
+        return df.repartition(max(cores, parts, PARTS_PER_SPLIT * df.rdd.getNumPartitions()), key)
 
 
 def query(name: str, sql: str | None = None):

@@ -159,3 +159,15 @@ def test_split_issues_and_modes(spark, rows):
 def test_clear_winner(spark, rows):
     s = spark.createDataFrame([("a", "x", 5.0), ("a", "y", 4.0), ("b", "x", 5.0), ("b", "y", 2.0), ("c", "x", 1.0)], "q string, id string, score double")
     assert rows(facts.clear_winner(s, "q", "id", "score"), "q", "id") == [("b", "x"), ("c", "x")]
+
+
+def test_tables_of_one_small_file_are_dealt(spark, tmp_path):
+    from quire.plans import load_all
+    from quire.plans.registry import Tables
+
+    parts = spark.range(50).selectExpr("id as p_partkey", "'Bolt' as p_name", "cast(7 as int) as p_size", "1234.5D as p_retailprice")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = load_all()["c05_table_facts"].run(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted((r.source_id, r.value) for r in got.collect()) == sorted((i, v) for i in range(50) for v in (7.0, 1234.5))
+    assert Tables(spark, str(tmp_path)).spread("part", "p_partkey", 2).rdd.getNumPartitions() == 25
