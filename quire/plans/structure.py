@@ -157,13 +157,15 @@ def b18(t: Tables) -> DataFrame:
 )
 def b20(t: Tables) -> DataFrame:
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    # Keys pack well, so Spark's own choice of parts by bytes would put ever more rows into a task.
+    parts = rules.parts_of(t.orders, t.lineitem, t.customer, t.part)
     issues = rules.all_issues(
-        rules.missing(t.orders, t.customer, [("o_custkey", "c_custkey")], "order without customer", "o_orderkey"),
-        rules.missing(lines, t.orders, [("l_orderkey", "o_orderkey")], "line without order", "l_orderkey"),
-        rules.missing(lines, t.part, [("l_partkey", "p_partkey")], "line without part", "l_orderkey"),
+        rules.missing(t.orders, t.customer, [("o_custkey", "c_custkey")], "order without customer", "o_orderkey", parts=parts),
+        rules.missing(lines, t.orders, [("l_orderkey", "o_orderkey")], "line without order", "l_orderkey", parts=parts),
+        rules.missing(lines, t.part, [("l_partkey", "p_partkey")], "line without part", "l_orderkey", parts=parts),
         rules.missing(t.customer, t.nation, [("c_nationkey", "n_nationkey")], "customer without nation", "c_custkey"),
-        rules.missing(t.orders, lines, [("o_orderkey", "l_orderkey")], "order without lines", "o_orderkey", rules.WARNING),
-        rules.repeated(lines, ["l_orderkey", "l_linenumber"], "repeated line number"),
+        rules.missing(t.orders, lines, [("o_orderkey", "l_orderkey")], "order without lines", "o_orderkey", rules.WARNING, parts),
+        rules.repeated(lines, ["l_orderkey", "l_linenumber"], "repeated line number", parts=parts),
         rules.rule(lines, "bad quantity", "l_orderkey", ~(F.col("l_quantity") > 0)),
     )
     return rules.issue_counts(issues)

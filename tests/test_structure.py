@@ -2,6 +2,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import rules
 from quire.operators import structure
 from quire.sources import readers
 
@@ -373,3 +374,18 @@ def test_grids(spark):
     html = "<table><tr><th>A</th><th>B &amp; C</th></tr><tr><td>1</td><td> <b>2</b> </td></tr></table>"
     g = spark.createDataFrame([(html,)], "h string").select(readers.html_grid(F.col("h")).alias("g")).first()["g"]
     assert g["columns"] == ["A", "B & C"] and g["rows"] == [["1", "2"]]
+
+
+def test_rules_in_parts_hold_no_more_on_a_larger_table(spark, rows, monkeypatch):
+    monkeypatch.setattr(rules, "PART_ROWS", 100)
+    kept = spark.range(0, 900).select((F.col("id") % 300).alias("k"))
+    given = spark.range(0, 1000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 400).alias("ref"))
+    parts = rules.parts_of(given, kept)
+    assert parts == 10
+    plain = rows(rules.missing(given, kept, [("ref", "k")], "gone", "id"))
+    assert len(plain) > 100 and rows(rules.missing(given, kept, [("ref", "k")], "gone", "id", parts=parts)) == plain
+    monkeypatch.setattr(rules, "SENT_ROWS", 5)
+    assert rows(rules.missing(given, kept, [("ref", "k")], "gone", "id", parts=parts)) == plain
+    assert rows(rules.missing(given.where("ref < 300"), kept, [("ref", "k")], "gone", "id", parts=parts)) == []
+    twice = rules.repeated(given, ["ref"], "twice", parts=parts)
+    assert twice.rdd.getNumPartitions() == parts and rows(twice) == rows(rules.repeated(given, ["ref"], "twice"))
