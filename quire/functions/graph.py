@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.session import cut
 
 BLOCK_ROWS = 2048
+# Keys of many rows that are sent to every task, once counted.
+SENT_KEYS = 200_000
 Compare = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
@@ -49,6 +52,44 @@ def links(df: DataFrame, keys: Sequence[str], id: str, columns: Sequence[str], c
     return need.groupBy(*keys, "_p", "_q").applyInPandas(run, f"a {kind}, b {kind}")
 
 
+def by_size(df: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys with at most ``most`` rows, and those of the others; None if there are none."""
+    large = cut(df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n"))
+    n = large.count()
+    if n == 0:
+        return df, None
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    large = F.broadcast(large) if n <= SENT_KEYS else large
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+
+
+def each_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``run(rows, starts)`` on tables of whole keys, each key one run of rows in order from its
+    start to the next. Keys share a table, so a small key costs what its rows cost; a task holds
+    one batch and one key, so keys must be small (``by_size``)."""
+
+    def starts_of(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), dtype=bool)
+        new[:1] = True
+        for k in keys:
+            code = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.concat_tables([*held, pa.Table.from_batches([batch])]).combine_chunks()
+            starts = starts_of(table)
+            held = [table.slice(starts[-1])] if len(starts) else []
+            if len(starts) > 1:
+                yield from run(table.slice(0, starts[-1]), starts[:-1]).to_batches()
+        if held:
+            yield from run(held[0].combine_chunks(), np.array([0])).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b). Labels fall along the
     edges and are followed to their own label until none changes; each round is written."""

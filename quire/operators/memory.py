@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.graph import components, least_below, links
+from quire.functions.graph import BLOCK_ROWS, by_size, components, each_key, least_below, links
 from quire.functions.scan import GHOST, SLICE, Timeline, best_row, top_rows
 from quire.functions.text import any_of, blank_to_null, clip, jaccard, squeeze, unless
 from quire.session import cut
@@ -154,9 +154,48 @@ def overlap_clusters(
     order: Sequence[str],
     weights: Sequence[float] = PART_WEIGHTS,
     threshold: float = CLUSTER_SIM,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Clusters by weighted set overlap: a row joins the first cluster whose closest member
-    reaches the threshold, else opens one. ``(id, cluster)``, cluster = first member id."""
+    reaches the threshold, else opens one. ``(id, cluster)``, cluster = first member id.
+
+    A key of one block is walked in order where its rows are compared, many keys a call; only
+    keys of more rows write links and are settled by rounds."""
+
+    def coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # Row and number of every distinct token, by row, and the sizes of the sets.
+        code = lists.flatten().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        size = lists.value_lengths().fill_null(0).to_numpy()
+        pairs = np.unique(np.repeat(np.arange(len(lists)), size) * (len(code) + 1) + code)
+        at = pairs // (len(code) + 1)
+        return at, np.bincount(at, minlength=len(lists)), pairs % (len(code) + 1)
+
+    def near(rows: pa.Table, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        columns = [coded(rows.column(name).combine_chunks()) for name in sets]
+        for lo, hi in zip(starts, [*starts[1:], len(rows)]):
+            score = np.zeros((hi - lo, hi - lo))
+            for (at, size, code), weight in zip(columns, weights, strict=True):
+                own = slice(*np.searchsorted(at, (lo, hi)))
+                _, own_code, copies = np.unique(code[own], return_inverse=True, return_counts=True)
+                shared = copies[own_code] > 1
+                row, token = at[own][shared] - lo, np.unique(own_code[shared], return_inverse=True)[1]
+                both = np.zeros_like(score)
+                for first in range(0, int(token.max(initial=-1)) + 1, 1024):
+                    part = (token >= first) & (token < first + 1024)
+                    hot = np.zeros((hi - lo, 1024 if first else min(1024, int(token.max()) + 1)))
+                    hot[row[part], token[part] - first] = 1
+                    both += hot @ hot.T
+                union = size[lo:hi, None] + size[None, lo:hi] - both
+                score += weight * np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+            yield lo, hi, score >= threshold
+
+    def walk(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        home = np.arange(len(rows))
+        for lo, hi, linked in near(rows, starts):
+            earlier, first = np.tril(linked, -1), home[lo:hi]
+            for i in np.flatnonzero(earlier.any(axis=1)):
+                first[i] = first[:i][earlier[i, :i]].min()
+        return pa.table({"id": rows.column(id), "cluster": rows.column(id).take(pa.array(home))})
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
         score = np.zeros((len(left), len(right)))
@@ -173,7 +212,13 @@ def overlap_clusters(
             score += weight * np.divide(both, union, out=np.zeros_like(both), where=union > 0)
         return score >= threshold
 
-    return _first_linked(df, id, order, links(df, keys, id, list(sets), compare))
+    kind = df.schema[id].dataType.simpleString()
+    small, large = by_size(df, keys, block_rows)
+    need = list(dict.fromkeys([*keys, *order, id, *sets]))
+    walked = each_key(small.select(*need), keys, list(dict.fromkeys([*order, id])), walk, f"id {kind}, cluster {kind}")
+    if large is None:
+        return walked
+    return walked.union(_first_linked(large, id, order, links(large, keys, id, list(sets), compare)))
 
 
 def weighted_overlap(pairs: Sequence[tuple[Column, Column]], weights: Sequence[float] = PART_WEIGHTS) -> Column:

@@ -1,3 +1,4 @@
+import random
 import re
 import tempfile
 
@@ -55,6 +56,37 @@ def test_blocks_do_not_change_clusters(spark, monkeypatch):
     assert whole[1] == sorted((i, c[0]) for c in part[1] for i in c)
 
 
+def test_small_keys_are_walked_where_they_are_compared(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [None, *"abc"]
+    data = [(rng.choice([None, *"uvwxyz"]) if i % 3 else "big", i * 7 % 400, *[rng.sample(words, rng.randrange(0, 4)) for _ in range(3)]) for i in range(400)]
+    df = spark.createDataFrame(data, "user string, id long, t array<string>, k array<string>, w array<string>")
+    want, parts = {}, {}
+    for user, i, *own in sorted(data, key=lambda r: r[1]):
+        groups = parts.setdefault(user, [])
+
+        def score(other):
+            return sum(p * (len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0) for p, a, b in zip((0.45, 0.35, 0.2), own, other))
+
+        home = next((g for g in groups if any(score(o) >= 0.58 for _, o in g)), None)
+        if home is None:
+            home = []
+            groups.append(home)
+        home.append((i, own))
+        want[i] = home[0][0]
+    assert len(set(want.values())) < len(want) - 20
+    for rows, batch in ((400, 10000), (400, 7), (100, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        if rows == 400:
+            monkeypatch.setattr(memory, "links", None)
+        else:
+            monkeypatch.setattr(memory, "links", graph.links)
+        found = memory.overlap_clusters(df, ["user"], "id", ["t", "k", "w"], ["id"], block_rows=rows)
+        got = {r.id: r.cluster for r in found.collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
