@@ -8,11 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
-
 ERROR, WARNING = "error", "warning"
-# Rows of a part where a rule is told the number of parts, and keys that are sent to every task.
-PART_ROWS, SENT_ROWS = 500_000, 200_000
+# Rows of a part where a rule is told the number of parts.
+PART_ROWS = 500_000
 
 
 def rule(df: DataFrame, code: str, path: str | Column, where: Column | None = None, severity: str = ERROR) -> DataFrame:
@@ -30,25 +28,17 @@ def parts_of(*tables: DataFrame) -> int:
 def missing(
     df: DataFrame, target: DataFrame, on: Sequence[tuple[str, str]], code: str, path: str | Column, severity: str = ERROR, parts: int | None = None
 ) -> DataFrame:
-    """Rows whose non-null reference has no target. With ``parts`` the keys of both sides are dealt
-    into so many parts and grouped there, so a task neither sorts rows nor holds more keys on a
-    larger table; a hot key is one entry. The keys without a target are found when it is called."""
+    """Rows whose non-null reference has no target. With ``parts`` both sides are dealt into so
+    many parts, where rows pass by the distinct keys of the target: a task sorts no rows, and does
+    not hold more on a larger table or for a hot key."""
     given = F.lit(True)
     for left, _ in on:
         given = given & F.col(left).isNotNull()
     if parts is not None:
-        names = [f"_t{i}" for i in range(len(on))]
-        sides = [
-            side.select(*[F.col(pair[k]).alias(n) for n, pair in zip(names, on)], F.lit(k + 1).alias("_side"))
-            for k, side in enumerate((df.where(given), target))
-        ]
-        met = sides[0].unionByName(sides[1]).repartition(parts, *names).groupBy(*names).agg(F.bit_or("_side").alias("_side"))
-        loose = cut(met.where("_side = 1").select(*names))
-        n = loose.count()
-        if n == 0:
-            return rule(df, code, path, F.lit(False), severity)
-        match = reduce(lambda a, b: a & b, [F.col(left) == F.col(t) for t, (left, _) in zip(names, on)])
-        return rule(df.where(given).join(F.broadcast(loose) if n <= SENT_ROWS else loose, match, "left_semi"), code, path, severity=severity)
+        names, lefts = [f"_t{i}" for i in range(len(on))], [left for left, _ in on]
+        known = target.select(*[F.col(r).alias(n) for n, (_, r) in zip(names, on)]).repartition(parts, *names).distinct().hint("shuffle_hash")
+        match = reduce(lambda a, b: a & b, [F.col(left) == F.col(n) for n, left in zip(names, lefts)])
+        return rule(df.where(given).repartition(parts, *lefts).join(known, match, "left_anti"), code, path, severity=severity)
     keys = target.select(*[F.col(r).alias(f"_t{i}") for i, (_, r) in enumerate(on)]).distinct()
     match = reduce(lambda a, b: a & b, [F.col(left) == F.col(f"_t{i}") for i, (left, _) in enumerate(on)])
     return rule(df.where(given).join(keys, match, "left_anti"), code, path, severity=severity)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.rules import parts_of
 from quire.plans.registry import Tables, query
-from quire.session import scratch
+from quire.session import scratch, stored
 from quire.sources import readers, tables
 from quire.sources.index import BucketedIndex
 
@@ -159,15 +160,18 @@ EXPORT_SQL = """
 def a14(t: Tables) -> DataFrame:
     c = F.col
     slides = t.orders.select(c("o_custkey").alias("doc_id"), c("o_orderkey").alias("slide_id"))
-    l = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
-    artifacts = l.select(
+    parts = parts_of(t.lineitem, t.orders, t.customer)
+    owners = t.orders.select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey").hint("shuffle_hash")
+    l = t.lineitem.repartition(parts, "l_orderkey").join(owners, c("l_orderkey") == c("o_orderkey"))
+    # Series and bindings are made of artifacts, so these are made once.
+    artifacts = stored(l.select(
         c("o_custkey").alias("doc_id"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("artifact_id"),
         F.when(c("l_partkey") % 11 == 0, -c("l_orderkey")).otherwise(c("l_orderkey")).alias("slide_id"),
         F.when(c("l_returnflag") == "A", "chart").when(c("l_returnflag") == "N", "table").otherwise("image").alias("kind"),
         F.when(c("l_suppkey") % 4 == 0, "combo").when(c("l_suppkey") % 4 == 1, "pie").otherwise("bar").alias("chart_type"),
         (c("l_partkey") % 9).alias("categories"), (c("l_linenumber") % 6).alias("columns"), (c("l_quantity").cast("int") % 7).alias("rows"),
         (c("l_partkey") % 13).alias("sources"), "l_suppkey", "l_partkey", "l_linenumber", c("l_quantity").cast("int").alias("q"),
-    )
+    ))
     drawn = artifacts.where("kind = 'chart' and q % 4 > 0").withColumn("series_no", F.explode(F.sequence(F.lit(1), c("q") % 4)))
     name = F.when((c("series_no") + c("l_suppkey")) % 5 == 0, " ").otherwise(F.concat(F.lit("s"), c("series_no") * c("l_suppkey") % 7))
     series = drawn.select("doc_id", "artifact_id", "series_no", name.alias("name"), (c("categories") + (c("l_linenumber") == 6).cast("int")).alias("values"))
@@ -179,4 +183,4 @@ def a14(t: Tables) -> DataFrame:
     bindings = artifacts.where("l_partkey % 5 <> 0").select("doc_id", moved, path, c("l_partkey").alias("fact_id")).unionByName(
         artifacts.where("l_partkey % 7 = 0 and l_partkey % 19 <> 0").select("doc_id", "artifact_id", path, (c("l_partkey") + c("l_linenumber") % 2).alias("fact_id"))
     )
-    return tables.export_issues(slides, artifacts, series, audit, bindings).select("code", "path")
+    return tables.export_issues(slides, artifacts, series, audit, bindings, parts).select("code", "path")

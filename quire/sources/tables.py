@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.rules import all_issues, missing, repeated, rule
+from quire.functions.rules import ERROR, all_issues, missing, repeated, rule
+from quire.functions.scan import each
 
 
 def append_rows(df: DataFrame, delta: DataFrame) -> DataFrame:
@@ -78,40 +79,76 @@ def export_run(tables: Mapping[str, DataFrame], issues: DataFrame, root: str) ->
         df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
-def export_issues(slides: DataFrame, artifacts: DataFrame, series: DataFrame, audit: DataFrame, bindings: DataFrame) -> DataFrame:
+def export_issues(slides: DataFrame, artifacts: DataFrame, series: DataFrame, audit: DataFrame, bindings: DataFrame, parts: int | None = None) -> DataFrame:
     """What keeps a run from being exported: outline, artifacts and numeric audit checked against
     each other. ``slides``: doc_id, slide_id; ``artifacts``: doc_id, artifact_id, slide_id, kind
     (chart, table or image), chart_type, categories, columns, rows, sources (counts); ``series``:
     doc_id, artifact_id, series_no, name, values (count); ``audit``: doc_id, status, mismatches;
-    ``bindings``: doc_id, artifact_id, output_path, fact_id of every audited number."""
+    ``bindings``: doc_id, artifact_id, output_path, fact_id of every audited number.
+
+    Artifacts, their series and their bindings are dealt once, by artifact, in ``parts`` parts if
+    given, and every rule about an artifact is decided on that one order."""
     key = ["doc_id", "artifact_id"]
     at = F.concat_ws("/", *key)
-    charts, grids = artifacts.where("kind = 'chart'"), artifacts.where("kind = 'table'")
-    name = F.trim(F.coalesce("name", F.lit("")))
-    drawn = charts.join(series, key, "left")
-    shape = drawn.groupBy(*key, "chart_type", "categories").agg(
-        F.count("series_no").alias("n"), F.count_if(F.col("series_no").isNotNull() & (name == "")).alias("blank"),
-        F.count_distinct(F.when(name != "", name)).alias("names"), F.count_if(F.col("values") != F.col("categories")).alias("uneven"),
-    )
-    numeric = artifacts.where(F.col("kind").isin("chart", "table")).join(bindings.select(*key).distinct(), key, "left_anti")
-    double = bindings.groupBy(*key, "output_path").agg(F.count_distinct("fact_id").alias("facts"), F.count(F.lit(1)).alias("n"))
     return all_issues(
-        repeated(slides, ["doc_id", "slide_id"], "EXPORT.DUPLICATE_SLIDE"),
-        repeated(artifacts, key, "EXPORT.DUPLICATE_ARTIFACT"),
-        missing(artifacts, slides, [("doc_id", "doc_id"), ("slide_id", "slide_id")], "EXPORT.UNKNOWN_SLIDE", at),
-        rule(artifacts, "EXPORT.NO_SOURCE", at, F.coalesce("sources", F.lit(0)) == 0),
-        rule(charts, "EXPORT.UNSUPPORTED_CHART", at, F.col("chart_type") == "combo"),
-        rule(shape, "EXPORT.EMPTY_CHART", at, (F.col("n") == 0) | (F.coalesce("categories", F.lit(0)) == 0)),
-        rule(shape, "EXPORT.SERIES_NAMES", at, (F.col("blank") > 0) | (F.col("names") < F.col("n") - F.col("blank"))),
-        rule(shape, "EXPORT.SERIES_LENGTH", at, F.col("uneven") > 0),
-        rule(shape, "EXPORT.PIE_SERIES", at, (F.col("chart_type") == "pie") & (F.col("n") != 1)),
-        rule(grids, "EXPORT.EMPTY_TABLE", at, (F.coalesce("columns", F.lit(0)) == 0) | (F.coalesce("rows", F.lit(0)) == 0)),
+        repeated(slides, ["doc_id", "slide_id"], "EXPORT.DUPLICATE_SLIDE", parts=parts),
+        missing(artifacts, slides, [("doc_id", "doc_id"), ("slide_id", "slide_id")], "EXPORT.UNKNOWN_SLIDE", at, parts=parts),
         rule(audit, "EXPORT.AUDIT", "doc_id", (F.coalesce("status", F.lit("")) != "passed") | (F.coalesce("mismatches", F.lit(0)) > 0)),
-        missing(artifacts, audit, [("doc_id", "doc_id")], "EXPORT.AUDIT_MISSING", at),
-        rule(numeric, "EXPORT.NOT_AUDITED", at),
-        missing(bindings, artifacts, [(k, k) for k in key], "EXPORT.UNKNOWN_BINDING", at),
-        rule(double, "EXPORT.BINDING", F.concat_ws("/", *key, "output_path"), (F.col("facts") != 1) | (F.col("n") != 1)),
+        missing(artifacts, audit, [("doc_id", "doc_id")], "EXPORT.AUDIT_MISSING", at, parts=parts),
+        _artifact_issues(artifacts, series, bindings, parts),
+    )
+
+
+def _artifact_issues(artifacts: DataFrame, series: DataFrame, bindings: DataFrame, parts: int | None) -> DataFrame:
+    """One row of (tag, label, number, mark) per chart (its type, categories), other artifact, series
+    (name, values, numbered) and binding (path, -, has a fact); ``mark`` of an artifact has a bit
+    for each rule on its own row. Rows of equal tag, label and, for charts, number are one group."""
+    c, key = F.col, ["doc_id", "artifact_id"]
+    chart, table = c("kind") == "chart", c("kind") == "table"
+    zero = lambda name: F.coalesce(name, F.lit(0)) == 0
+    bits = enumerate((zero("sources"), chart & (c("chart_type") == "combo"), table & (zero("columns") | zero("rows")), chart | table))
+    mark = sum((F.when(flag, 1 << k).otherwise(0) for k, flag in bits), F.lit(0))
+    rows = (
+        artifacts.select(*key, F.when(chart, 0).otherwise(1).alias("tag"), F.when(chart, c("chart_type")).alias("label"), F.when(chart, c("categories")).alias("number"), mark.alias("mark"))
+        .unionByName(series.select(*key, F.lit(2).alias("tag"), F.trim(F.coalesce("name", F.lit(""))).alias("label"), c("values").alias("number"), c("series_no").isNotNull().cast("int").alias("mark")))
+        .unionByName(bindings.select(*key, F.lit(3).alias("tag"), c("output_path").cast("string").alias("label"), F.lit(None).alias("number"), c("fact_id").isNotNull().cast("int").alias("mark")))
+    )
+    # Series and bindings come to the artifacts, so there are more parts.
+    dealt = rows.repartition(*key) if parts is None else rows.repartition(3 * parts, *key)
+    group = ["tag", "label", "own"]
+    made, of_key, of_group = c("tag") <= 1, Window.partitionBy(*key), Window.partitionBy(*key, *group)
+    numbered = (c("tag") == 2) & (c("mark") == 1)
+    values = F.when(c("tag") == 2, c("number"))
+    seen = (
+        dealt.withColumn("own", F.when(c("tag") == 0, c("number")))
+        # The first window has the longest order; the others find their rows in it.
+        .withColumn("nth_of_key", F.row_number().over(of_key.orderBy(*group)))
+        .withColumns({"nth": F.row_number().over(of_group.orderBy("own")), "copies": F.count(F.lit(1)).over(of_group)})
+        .withColumns({
+            "artifacts": F.count_if(made).over(of_key), "bound": F.count_if(c("tag") == 3).over(of_key), "n": F.count_if(numbered).over(of_key),
+            "blank": F.count_if(numbered & (c("label") == "")).over(of_key), "names": F.count_if((c("tag") == 2) & (c("label") != "") & (c("nth") == 1)).over(of_key),
+            "low": F.min(values).over(of_key), "high": F.max(values).over(of_key),
+        })
     )
+    # A null in the key meets nothing. Copies of a chart meet each of its series.
+    meets = c("doc_id").isNotNull() & c("artifact_id").isNotNull()
+    n = F.when(meets, c("n") * c("copies")).otherwise(0)
+    shape, bit = (c("tag") == 0) & (c("nth") == 1), lambda k: made & (c("mark").bitwiseAND(1 << k) > 0)
+    found = {
+        "DUPLICATE_ARTIFACT": (c("nth_of_key") == 1) & (c("artifacts") > 1),
+        "NO_SOURCE": bit(0), "UNSUPPORTED_CHART": bit(1), "EMPTY_TABLE": bit(2),
+        "EMPTY_CHART": shape & ((n == 0) | zero("own")),
+        "SERIES_NAMES": shape & meets & ((c("blank") > 0) | (c("names") < c("copies") * (c("n") - c("blank")))),
+        "SERIES_LENGTH": shape & meets & ((c("low") != c("own")) | (c("high") != c("own"))),
+        "PIE_SERIES": shape & (c("label") == "pie") & (n != 1),
+        "NOT_AUDITED": bit(3) & ~(meets & (c("bound") > 0)),
+        "UNKNOWN_BINDING": (c("tag") == 3) & meets & (c("artifacts") == 0),
+        "BINDING": (c("tag") == 3) & (c("nth") == 1) & ((c("copies") > 1) | (c("mark") == 0)),
+    }
+    codes = F.array_compact(F.array(*[F.when(flag, f"EXPORT.{code}") for code, flag in found.items()]))
+    issues = each(seen, codes, "code", [*key, "label"])
+    path = F.when(c("code") == "EXPORT.BINDING", F.concat_ws("/", *key, "label")).otherwise(F.concat_ws("/", *key))
+    return issues.select("code", path.alias("path"), F.lit(ERROR).alias("severity"))
 
 
 def publish(tables: Mapping[str, DataFrame], issues: DataFrame, root: str) -> str:

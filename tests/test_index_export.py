@@ -90,6 +90,35 @@ def test_export_rules(spark, code, change):
     assert got == ({code} if code else set())
 
 
+def test_export_rules_on_copies_nulls_and_parts(spark, rows):
+    """Copies of charts meet every series; a null key meets nothing; each rule names what it should."""
+    odd = run_tables(
+        spark,
+        artifacts=[CHART, CHART, ("d", "c", "s1", "chart", "pie", None, 0, 0, 1), (None, "t", "s1", "table", None, 0, 1, 1, 1), ("d", "i", "s9", None, None, 0, 0, 0, None), ("d", "e", "s1", "chart", "combo", 2, 0, 0, 1)],
+        series=[("d", "c", 1, "x", 2), ("d", "c", None, "y", None), ("d", "e", 1, "x", 2), ("d", "e", 2, "x", 2), ("d", "z", 1, "", 1)],
+        bindings=[("d", "c", "p1", "f1"), ("d", "c", "p2", None), ("d", "z", "p1", "f1"), ("d", "z", "p1", "f1"), (None, "t", None, "f1"), ("d", "e", None, "f1")],
+    )
+    want = sorted([
+        ("BINDING", "d/c/p2"), ("BINDING", "d/z/p1"), ("DUPLICATE_ARTIFACT", "d/c"), ("EMPTY_CHART", "d/c"), ("NOT_AUDITED", "t"), ("NO_SOURCE", "d/i"),
+        ("PIE_SERIES", "d/c"), ("SERIES_NAMES", "d/e"), ("UNKNOWN_BINDING", "d/z"), ("UNKNOWN_BINDING", "d/z"), ("UNKNOWN_SLIDE", "d/i"), ("UNSUPPORTED_CHART", "d/e"),
+    ])
+    odd["series"] = odd["series"].where("artifact_id <> 'c' or series_no is not null")
+    # Two copies of the bar chart meet one series: two numbered series, one name.
+    want = sorted([*want, ("SERIES_NAMES", "d/c")])
+    want.remove(("PIE_SERIES", "d/c"))
+    for parts in (None, 3):
+        got = [(r.code.removeprefix("EXPORT."), r.path) for r in tables.export_issues(**odd, parts=parts).collect()]
+        assert sorted(got) == want
+
+
+def test_artifacts_are_dealt_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = tables.export_issues(**run_tables(spark), parts=3)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # By artifact; artifacts and slides by slide, artifacts and audit by document, slides once more.
+    assert plan.count("Exchange hashpartitioning") <= 6 and "SortMergeJoin" not in plan
+
+
 def test_publish_at_once_or_not_at_all(spark):
     root = folder() + "/out"
     given = run_tables(spark)
