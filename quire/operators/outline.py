@@ -13,11 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.graph import by_size
 from quire.functions.rules import all_issues, missing, repeated, rule
 from quire.functions.scan import Timeline, each, top_rows
 from quire.functions.spans import let
 from quire.functions.text import unless
-from quire.session import cut
+from quire.session import cut, stored
 
 # Patterns of citations, list markers, numbers and lead sentences.
 CITE = r"\[\^cite_id:[^\]]+\]"
@@ -26,6 +27,8 @@ CLAIM_NUMBER = r"(?<![A-Za-z0-9])\d{1,4}(?:[.,]\d+)*(?:%|倍|X|x|亿元|万元|
 YEARS = r"((?:19|20)\d{2})[-—至]((?:19|20)\d{2})"
 LEAD = r"^(?s)(.+?[。！？：])"
 BUDGET, PAIRED, SINGLE = 2, 2, 1
+# Rows of a slide up to which its cover is found in one row.
+SLIDE_ROWS = 256
 
 
 def bare(text: Column) -> Column:
@@ -140,15 +143,52 @@ def used_figure_refs(refs: DataFrame, slides: DataFrame, visual_refs: DataFrame,
     )
 
 
-def greedy_cover(missing_numbers: DataFrame, candidates: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy_cover(missing_numbers: DataFrame, candidates: DataFrame, rounds: int = 1000, slide_rows: int = SLIDE_ROWS) -> DataFrame:
     """Evidence to add so that missing numbers are covered: the candidate that covers most of what
     is left goes first (ties to the earlier), until none helps. ``missing_numbers``: (slide_id,
     number); ``candidates``: (slide_id, kind, id, pos, number).
 
-    Each round is two aggregates over (slide, candidate, number) rows that still count: what every
+    A slide of at most ``slide_rows`` rows (candidate, number) is covered where its rows are
+    gathered. Larger slides run in rounds, so none is held in a task."""
+    useful = candidates.join(missing_numbers, ["slide_id", "number"], "left_semi").select("slide_id", "kind", "id", "pos", "number").distinct()
+    # Most slides are small, so what is large is looked for first, in what is written once.
+    useful = stored(useful)
+    small, large = by_size(useful, ["slide_id"], slide_rows)
+    picked = _cover_gathered(small)
+    return picked if large is None else picked.unionByName(_cover_rounds(large, rounds))
+
+
+def _cover_gathered(useful: DataFrame) -> DataFrame:
+    """Slides as rows: their candidates with the numbers each covers, folded until none is left."""
+    one = useful.repartition("slide_id").groupBy("slide_id", "pos", "kind", "id").agg(F.collect_list("number").alias("nums"))
+    decks = one.groupBy("slide_id").agg(F.collect_list(F.struct("pos", "kind", "id", "nums")).alias("cands"))
+    decks = decks.withColumn("wanted", F.array_distinct(F.flatten(F.transform("cands", lambda c: c["nums"]))))
+
+    def best(left: Column) -> Column:
+        gain = lambda c: F.size(F.array_intersect(c["nums"], left))
+        return F.array_min(F.transform("cands", lambda c: F.struct((-gain(c)).alias("n"), c["pos"].alias("pos"), c["kind"].alias("kind"), c["id"].alias("id"), c["nums"].alias("nums"))))
+
+    def step(acc: Column, _: Column) -> Column:
+        # What nothing is left for stays as it is; the numbers left are all in some candidate.
+        def take(b: Column) -> Column:
+            chosen = F.struct(b["kind"].alias("kind"), b["id"].alias("id"))
+            return F.struct(F.array_except(acc["left"], b["nums"]).alias("left"), F.concat(acc["picked"], F.array(chosen)).alias("picked"))
+
+        return F.when(F.size(acc["left"]) == 0, acc).otherwise(let(best(acc["left"]), take))
+
+    kind = F.col("cands")[0]
+    none = F.slice(F.array(F.struct(kind["kind"].alias("kind"), kind["id"].alias("id"))), 1, 0)
+    turns = F.sequence(F.lit(1), F.least(F.size("wanted"), F.size("cands")))
+    picked = F.aggregate(turns, F.struct(F.col("wanted").alias("left"), none.alias("picked")), step, lambda acc: acc["picked"])
+    rows = decks.select("slide_id", F.posexplode_outer(picked).alias("n", "c")).where(F.col("c").isNotNull())
+    return rows.select("slide_id", "c.kind", "c.id", (F.col("n") + 1).alias("added"))
+
+
+def _cover_rounds(left: DataFrame, rounds: int) -> DataFrame:
+    """Each round is two aggregates over (slide, candidate, number) rows that still count: what every
     candidate covers, and the best candidate of every slide, for all slides at once; the numbers it
-    covers then leave. No slide is held in a task."""
-    left = cut(candidates.join(missing_numbers, ["slide_id", "number"], "left_semi").select("slide_id", "kind", "id", "pos", "number").distinct())
+    covers then leave."""
+    left = cut(left)
     picked = []
     for added in range(1, rounds + 1):
         gain = left.groupBy("slide_id", "pos", "kind", "id").agg(F.count(F.lit(1)).alias("n"))

@@ -30,6 +30,14 @@ def test_greedy_cover(spark, rows):
     assert rows(outline.greedy_cover(missing, cand), "id", "added") == [("b", 1), ("c", 2)]
 
 
+def test_small_slides_are_covered_without_rounds(spark):
+    rng = random.Random(5)
+    missing = spark.createDataFrame([(s, n) for s in range(20) for n in range(s)], "slide_id int, number int")
+    given = spark.createDataFrame([(s, "ab"[k % 2], k, k % 3, rng.randrange(25)) for s in range(22) for k in range(8) for _ in range(s)], "slide_id int, kind string, id int, pos int, number int")
+    got = [sorted(map(tuple, outline.greedy_cover(missing, given, **how).collect())) for how in ({"rounds": 0}, {"slide_rows": 0}, {"slide_rows": 40})]
+    assert len(got[0]) == 53 and got[0] == got[1] == got[2]
+
+
 def test_greedy_cover_against_a_plain_loop(spark):
     rng = random.Random(4)
     need = {s: set(rng.sample(range(30), rng.randrange(0, 20))) for s in range(12)}
